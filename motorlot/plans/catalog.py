@@ -8,8 +8,10 @@ from datetime import date, datetime
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
-from motorlot.plans import reports as R
-from motorlot.sources import adapter as A
+from motorlot.functions import scalar as S
+from motorlot.operators import checks as C, overlap as O
+from motorlot.plans import lookups as L, reports as R
+from motorlot.sources import adapter as A, loaders, sinks as K
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -79,6 +81,99 @@ def report_queries() -> dict[str, Query]:
     }
 
 
+def _booked(s: SparkSession, d: str, status: str | None = None) -> DataFrame:
+    return A.with_customer(A.rentals(s, d, status), s, d)
+
+
+def _view(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    return A.customers(s, d), A.vehicles(s, d), A.locations(s, d)
+
+
+def _fleet(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    return A.vehicles(s, d), A.categories(s, d), A.locations(s, d)
+
+
+def _latest(s: SparkSession, d: str, how: str) -> DataFrame:
+    cars = A.vehicles(s, d)
+    if how == "left":
+        cars = cars.where(F.col("is_active") == "Y")
+    return L.latest_per_row(
+        cars.select("vehicle_id", "make", "model"), R.completed(A.rentals(s, d, "COMPLETED")), "vehicle_id",
+        ["actual_dropoff", "rental_ref"], ["rental_ref", "total_charge", "actual_dropoff"], how)
+
+
+def _rule_violations(s: SparkSession, d: str) -> DataFrame:
+    rules = {
+        **C.rental_rules(),
+        "base_charge_limit": F.col("base_charge") <= 90000,
+        "fuel_in_minimum": C.within("fuel_level_in", 70, 100),
+        "notes_length": C.at_most_long("damage_notes", 5),
+        "late_fee_present": C.present("late_fee"),
+    }
+    return C.check_rules(A.rentals(s, d), rules, ["rental_ref"])
+
+
+JSON_NAMES = {
+    "rental_ref": "rentalRef", "vehicle_id": "vehicleId", "actual_pickup": "actualPickup", "pickup_date": "pickupDate",
+    "odometer_in": "odometerIn", "base_charge": "baseCharge", "total_charge": "totalCharge", "status": "status",
+}
+
+
+def lookup_queries() -> dict[str, Query]:
+    done = "COMPLETED"
+    return {
+        "projection_concat": lambda s, d: A.vehicles(s, d).select("vehicle_id", L.vehicle_info().alias("vehicle")),
+        "derived_columns": lambda s, d: L.with_derived(A.rentals(s, d)).select(
+            "rental_ref", "total_days", "miles_driven"),
+        "customer_derived_columns": lambda s, d: L.customers_derived(A.customers(s, d), AS_OF).select(
+            "customer_id", "full_name", "age", F.col("address.city").alias("city")),
+        "predicate_mix": lambda s, d: L.predicate_mix(A.rentals(s, d)).select("rental_ref", "status", "actual_dropoff"),
+        "search_customers": lambda s, d: L.search_customers(A.customers(s, d), "0001", AS_OF),
+        "search_vehicles": lambda s, d: L.search_vehicles(*_fleet(s, d), "RiNg"),
+        "available_vehicles": lambda s, d: L.available(*_fleet(s, d), location=4, category="ECONOMY"),
+        "available_vehicles_all": lambda s, d: L.available(*_fleet(s, d)),
+        "rental_by_id": lambda s, d: L.rental_by_id(_booked(s, d), *_view(s, d), 561),
+        "rule_violations": _rule_violations,
+        "duplicate_keys": lambda s, d: C.check_unique(A.rentals(s, d), ["order_id", "line_number"]),
+        "vehicle_availability": lambda s, d: L.vehicle_availability(*_fleet(s, d), AS_OF),
+        "list_customers": lambda s, d: L.list_customers(A.customers(s, d), AS_OF),
+        "active_rentals_view": lambda s, d: L.active_rentals_view(_booked(s, d, "ACTIVE"), *_view(s, d), AS_OF),
+        "active_rentals_tvf": lambda s, d: L.active_rentals(
+            _booked(s, d, "ACTIVE"), A.customers(s, d), A.vehicles(s, d), 3),
+        "overdue_rentals": lambda s, d: L.overdue(_booked(s, d, "ACTIVE"), *_view(s, d), AS_OF),
+        "overlapping_bookings": lambda s, d: O.clash_counts(
+            A.rentals(s, d), "vehicle_id", "pickup_date", "dropoff_date").select("rental_ref", "vehicle_id", "clashes"),
+        "overlapping_span": lambda s, d: O.overlapping_span(
+            A.rentals(s, d), date(1998, 6, 1), date(1998, 6, 30), "pickup_date", "dropoff_date").select(
+            "rental_ref", "vehicle_id", "pickup_date", "dropoff_date"),
+        "vehicle_utilization": lambda s, d: L.vehicle_utilization(A.vehicles(s, d), A.rentals(s, d, done), *SPAN),
+        "latest_rental_lateral": lambda s, d: _latest(s, d, "inner"),
+        "latest_rental_left_lateral": lambda s, d: _latest(s, d, "left"),
+        "semi_join_in": lambda s, d: L.semi(
+            A.customers(s, d).select("customer_id", "email"),
+            A.order_rentals(s, d).where(F.col("total_charge") > 400000), "customer_id"),
+        "orphan_keys": lambda s, d: C.orphans(
+            A.maintenance(s, d), A.vehicles(s, d).where(F.col("is_active") == "Y"), "vehicle_id", "vehicle_id"),
+        "conditional_functions": lambda s, d: S.conditional_functions(A.rentals(s, d), ["rental_ref"]),
+        "numeric_functions": lambda s, d: S.numeric_functions(A.rentals(s, d), ["rental_ref"]),
+        "date_functions": lambda s, d: S.date_functions(A.rentals(s, d, done), ["rental_ref"], AS_OF),
+        "string_functions": lambda s, d: S.string_functions(A.customers(s, d)),
+        "regex_functions": lambda s, d: S.regex_functions(A.customers(s, d)),
+        "currency_convert": lambda s, d: S.currency_convert(A.payments(s, d)),
+        "json_flat_map": lambda s, d: loaders.flat_json_map(loaders.load(s, d, "events"), "props", "fields").select(
+            "event_id", F.explode("fields").alias("key", "value")),
+        "json_rows": lambda s, d: K.rows_to_json(A.rentals(s, d), JSON_NAMES),
+        "json_object": lambda s, d: K.json_object(A.rentals(s, d), "rental_ref", {"id": "rental_ref", "status": "status"}),
+        "xml_element": lambda s, d: K.rows_to_xml(_booked(s, d), "rental_ref"),
+        "date_series": lambda s, d: K.daily_counts(A.order_rentals(s, d), AS_OF.date(), 30),
+        "partition_range_counts": lambda s, d: K.bucket_counts(A.vehicles(s, d), K.range_bucket("model_year")),
+        "partition_month_counts": lambda s, d: K.bucket_counts(A.rentals(s, d), K.month_bucket("pickup_date")),
+        "partition_list_counts": lambda s, d: K.bucket_counts(A.payments(s, d), K.list_bucket("payment_method")),
+        "sample_rows": lambda s, d: K.sample_rows(A.order_rentals(s, d, done), 10),
+        "sample_blocks": lambda s, d: K.sample_blocks(loaders.load(s, d, "orders"), 5),
+    }
+
+
 def all_queries() -> dict[str, Query]:
-    plans = {**report_queries()}
+    plans = {**report_queries(), **lookup_queries()}
     return {name: (lambda s, d, plan=plan: plain_types(plan(s, d))) for name, plan in plans.items()}

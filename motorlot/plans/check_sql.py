@@ -353,5 +353,202 @@ REPORTS["revenue_rollup"] = _GROUPED + f"ROLLUP(location_name, category_name, {L
 REPORTS["revenue_grouping_sets"] = _GROUPED + f"GROUPING SETS ((location_name, category_name), ({LABEL}), ())"
 
 
+NOW = f"TIMESTAMP '{AS_OF}'"
+HOURS = quotient(f"epoch_us({NOW}) - epoch_us(actual_pickup)", "3600000000", 1, 1)
+FULL_NAME = "first_name || ' ' || last_name"
+FLEET = """
+    SELECT v.vehicle_id, v.category_name, v.location_id, location_name, make, model, model_year, color, license_plate,
+           mileage, fuel_type, transmission, seats, status,
+           CAST(COALESCE(daily_override, c.daily_rate) AS DOUBLE) AS daily_rate,
+           CAST(daily_override AS DOUBLE) AS daily_override, CAST(last_service_date AS TIMESTAMP) AS last_service_date,
+           CAST(insurance_expiry AS TIMESTAMP) AS insurance_expiry
+      FROM vehicles v JOIN categories c ON v.category_name = c.category_name
+      LEFT JOIN locations l ON v.location_id = l.location_id WHERE is_active = 'Y' AND """
+AGE = "date_part('year', age(TIMESTAMP '2001-07-15', CAST(date_of_birth AS TIMESTAMP)))"
+PEOPLE = f"""
+    SELECT customer_id, first_name, last_name, {FULL_NAME} AS full_name, email, license_number,
+           CAST(license_expiry AS TIMESTAMP) AS license_expiry, CAST(date_of_birth AS TIMESTAMP) AS date_of_birth,
+           CAST({AGE} AS BIGINT) AS age, loyalty_points, is_active FROM customers WHERE is_active = 'Y'"""
+NAMED = """booked r JOIN customers c ON r.customer_id = c.customer_id JOIN vehicles v ON r.vehicle_id = v.vehicle_id
+      JOIN locations p ON r.pickup_location = p.location_id JOIN locations q ON r.dropoff_location = q.location_id"""
+INFO = "make || ' ' || model || ' (' || model_year || ')'"
+LATEST = f"""(SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY vehicle_id ORDER BY actual_dropoff DESC, rental_ref DESC) AS k
+                  FROM rentals WHERE {DONE}) WHERE k = 1)"""
+LATEST_COLUMNS = "v.vehicle_id, make, model, rental_ref, CAST(total_charge AS DOUBLE) AS total_charge, actual_dropoff"
+WHOLE_MONTHS = ("(year(actual_dropoff) - year(actual_pickup)) * 12 + month(actual_dropoff) - month(actual_pickup)")
+CAR_BUCKET = """CASE WHEN model_year < 2015 THEN 'legacy' WHEN model_year < 2020 THEN 'mid'
+                     WHEN model_year < 2024 THEN 'recent' ELSE 'current' END"""
+
+
+def _rule(name: str, broken: str) -> str:
+    return f"SELECT rental_ref, '{name}' AS rule FROM rentals WHERE {broken}"
+
+
+LOOKUPS = {
+    "projection_concat": f"SELECT vehicle_id, {INFO} AS vehicle FROM vehicles",
+    "derived_columns": """
+        SELECT rental_ref, CAST(dropoff_date - pickup_date AS BIGINT) AS total_days, odometer_in - odometer_out AS miles_driven
+          FROM rentals""",
+    "customer_derived_columns": f"""
+        SELECT customer_id, {FULL_NAME} AS full_name, CAST({AGE} AS BIGINT) AS age, city FROM customers""",
+    "predicate_mix": """
+        SELECT rental_ref, status, actual_dropoff FROM rentals
+         WHERE status NOT IN ('ACTIVE') AND actual_dropoff BETWEEN TIMESTAMP '1997-01-01' AND TIMESTAMP '1999-12-31'
+           AND (damage_notes IS NULL OR late_fee > 1000)""",
+    "search_customers": PEOPLE + f""" AND (upper({FULL_NAME}) LIKE '%0001%' OR upper(email) LIKE '%0001%'
+        OR upper(license_number) LIKE '%0001%')""",
+    "search_vehicles": FLEET + "(upper(make) LIKE '%RING%' OR upper(model) LIKE '%RING%' OR upper(license_plate) LIKE '%RING%')",
+    "available_vehicles": FLEET + "status = 'AVAILABLE' AND v.location_id = 4 AND v.category_name = 'ECONOMY'",
+    "available_vehicles_all": FLEET + "status = 'AVAILABLE'",
+    "rental_by_id": f"""
+        SELECT rental_id, rental_ref, r.customer_id, {FULL_NAME} AS customer_name, r.vehicle_id, {INFO} AS vehicle_info,
+               p.location_name AS pickup_location_name, q.location_name AS dropoff_location_name, actual_pickup,
+               actual_dropoff, CAST(total_charge AS DOUBLE) AS total_charge, r.status
+          FROM {NAMED} WHERE rental_id = 561""",
+    "rule_violations": " UNION ALL ".join([
+        _rule("status_list", "status NOT IN ('ACTIVE', 'COMPLETED', 'DISPUTED')"),
+        _rule("fuel_out_range", "fuel_level_out NOT BETWEEN 0 AND 100"),
+        _rule("fuel_in_range", "fuel_level_in NOT BETWEEN 0 AND 100"),
+        _rule("dates_in_order", "dropoff_date <= pickup_date"),
+        _rule("base_charge_limit", "base_charge > 90000"),
+        _rule("fuel_in_minimum", "fuel_level_in NOT BETWEEN 70 AND 100"),
+        _rule("notes_length", "length(damage_notes) > 5"),
+        _rule("late_fee_present", "late_fee IS NULL"),
+    ]),
+    "duplicate_keys": """
+        SELECT order_id, line_number, CAST(COUNT(*) AS BIGINT) AS copies FROM rentals GROUP BY 1, 2 HAVING COUNT(*) > 1""",
+    "vehicle_availability": f"""
+        SELECT vehicle_id, make, model, model_year, license_plate, color, v.category_name,
+               CAST(COALESCE(daily_override, daily_rate) AS DOUBLE) AS daily_rate, location_name, status, mileage,
+               CASE WHEN insurance_expiry < {NOW} THEN 'EXPIRED' ELSE 'VALID' END AS insurance_status,
+               CAST(last_service_date AS TIMESTAMP) AS last_service_date
+          FROM vehicles v JOIN categories c ON v.category_name = c.category_name
+          LEFT JOIN locations l ON v.location_id = l.location_id WHERE is_active = 'Y'""",
+    "list_customers": PEOPLE,
+    "active_rentals_view": f"""
+        SELECT rental_ref, r.customer_id, {FULL_NAME} AS customer_name, email AS customer_email, r.vehicle_id,
+               make || ' ' || model AS vehicle, license_plate, pickup_location, p.location_name AS pickup_location_name,
+               dropoff_location, q.location_name AS dropoff_location_name, actual_pickup, {HOURS} AS hours_out,
+               odometer_out, CAST(base_charge AS DOUBLE) AS base_charge, r.status
+          FROM {NAMED} WHERE r.status = 'ACTIVE'""",
+    "active_rentals_tvf": f"""
+        SELECT rental_ref, {FULL_NAME} AS customer_name, {INFO} AS vehicle_info, actual_pickup AS pickup_date,
+               CAST(total_charge AS DOUBLE) AS total_charge
+          FROM booked r JOIN customers c ON r.customer_id = c.customer_id JOIN vehicles v ON r.vehicle_id = v.vehicle_id
+         WHERE r.status = 'ACTIVE' AND pickup_location = 3""",
+    "overdue_rentals": f"""
+        SELECT rental_ref, r.customer_id, {FULL_NAME} AS customer_name, r.vehicle_id, make || ' ' || model AS vehicle_info,
+               license_plate, pickup_location, p.location_name AS pickup_location_name, dropoff_location,
+               q.location_name AS dropoff_location_name, actual_pickup, odometer_out, fuel_level_out,
+               CAST(base_charge AS DOUBLE) AS base_charge, r.status, {HOURS} AS hours_overdue
+          FROM {NAMED} WHERE r.status = 'ACTIVE' AND actual_pickup < {NOW} - INTERVAL 3 DAY""",
+    "overlapping_bookings": """
+        SELECT a.rental_ref, a.vehicle_id, CAST(COUNT(*) - 1 AS BIGINT) AS clashes
+          FROM rentals a JOIN rentals b ON a.vehicle_id = b.vehicle_id
+           AND b.pickup_date < a.dropoff_date AND b.dropoff_date > a.pickup_date GROUP BY 1, 2""",
+    "overlapping_span": """
+        SELECT rental_ref, vehicle_id, CAST(pickup_date AS TIMESTAMP) AS pickup_date, CAST(dropoff_date AS TIMESTAMP) AS dropoff_date
+          FROM rentals WHERE pickup_date < DATE '1998-06-30' AND dropoff_date > DATE '1998-06-01'""",
+    "vehicle_utilization": f"""
+        WITH used AS (SELECT vehicle_id, SUM(least(dropoff_date, DATE '1997-12-31') - greatest(pickup_date, DATE '1997-01-01')) AS days
+                        FROM rentals WHERE {DONE} AND actual_pickup < TIMESTAMP '1997-12-31'
+                         AND actual_dropoff > TIMESTAMP '1997-01-01' GROUP BY 1)
+        SELECT v.vehicle_id, {quotient('COALESCE(days, 0)', '364', 100)} AS utilization_pct
+          FROM vehicles v LEFT JOIN used u ON v.vehicle_id = u.vehicle_id""",
+    "latest_rental_lateral": f"SELECT {LATEST_COLUMNS} FROM vehicles v JOIN {LATEST} t ON v.vehicle_id = t.vehicle_id",
+    "latest_rental_left_lateral": f"""
+        SELECT {LATEST_COLUMNS} FROM vehicles v LEFT JOIN {LATEST} t ON v.vehicle_id = t.vehicle_id WHERE is_active = 'Y'""",
+    "semi_join_in": """
+        SELECT customer_id, email FROM customers
+         WHERE customer_id IN (SELECT customer_id FROM order_rentals WHERE total_charge > 400000)""",
+    "orphan_keys": """
+        SELECT vehicle_id AS missing_key, CAST(COUNT(*) AS BIGINT) AS children FROM maintenance
+         WHERE vehicle_id NOT IN (SELECT vehicle_id FROM vehicles WHERE is_active = 'Y') GROUP BY 1""",
+    "conditional_functions": """
+        SELECT rental_ref,
+               CASE status WHEN 'ACTIVE' THEN 'On Road' WHEN 'COMPLETED' THEN 'Returned' WHEN 'DISPUTED' THEN 'Under Review'
+                    ELSE 'Unknown' END AS status_label,
+               CAST(COALESCE(total_charge, 0) AS DOUBLE) AS safe_charge,
+               CASE WHEN damage_notes IS NULL THEN 'No Damage' ELSE 'Has Damage' END AS damage_status,
+               CAST(NULLIF(fuel_charge, 0) AS DOUBLE) AS fuel_charge_if_any, CAST(COALESCE(late_fee, 0) AS DOUBLE) AS late_amt,
+               CASE WHEN total_charge > 1000 THEN 'Premium' WHEN total_charge > 500 THEN 'Standard'
+                    WHEN total_charge > 0 THEN 'Economy' ELSE 'Pending' END AS rental_tier
+          FROM rentals""",
+    "numeric_functions": f"""
+        SELECT rental_ref, {quotient('base_charge', '8', 1, 1)} AS rounded, CAST(floor(base_charge) AS DOUBLE) AS floored,
+               CAST(ceil(base_charge) AS DOUBLE) AS ceiled, CAST((dropoff_date - pickup_date) % 7 AS BIGINT) AS spare_days,
+               CAST((dropoff_date - pickup_date) // 7 AS BIGINT) AS weeks,
+               CASE WHEN late_fee IS NOT NULL THEN CAST(greatest(base_charge, late_fee) AS DOUBLE) END AS higher,
+               CASE WHEN late_fee IS NOT NULL THEN CAST(least(base_charge, late_fee) AS DOUBLE) END AS lower,
+               CAST(-floor(base_charge) AS DOUBLE) AS truncated FROM rentals""",
+    "date_functions": f"""
+        SELECT rental_ref,
+               CASE WHEN day(actual_pickup) = day(actual_dropoff)
+                      OR (pickup_date = last_day(pickup_date) AND dropoff_date = last_day(dropoff_date))
+                    THEN CAST({WHOLE_MONTHS} AS DOUBLE)
+                    ELSE round({WHOLE_MONTHS} + (day(actual_dropoff) - day(actual_pickup)) / 31.0, 2)::DOUBLE END AS months_rented,
+               CAST(CASE WHEN pickup_date = last_day(pickup_date) THEN last_day(pickup_date + INTERVAL 1 MONTH)
+                         ELSE pickup_date + INTERVAL 1 MONTH END AS TIMESTAMP) AS one_month_later,
+               CAST(date_trunc('month', actual_pickup) AS TIMESTAMP) AS month_start,
+               CAST(date_trunc('week', actual_pickup) AS TIMESTAMP) AS week_start,
+               CAST(date_trunc('year', actual_pickup) AS TIMESTAMP) AS year_start, CAST(pickup_date AS TIMESTAMP) AS pickup_day,
+               year(actual_pickup) AS rental_year, month(actual_pickup) AS rental_month,
+               rpad(strftime(actual_pickup, '%A'), 9, ' ') || ', ' || strftime(actual_pickup, '%d ')
+                   || rpad(strftime(actual_pickup, '%B'), 9, ' ') || strftime(actual_pickup, ' %Y %H:%M:%S') AS formatted_date,
+               CAST(last_day(actual_pickup) AS TIMESTAMP) AS last_of_month,
+               CAST(date_trunc('week', actual_pickup) + INTERVAL 7 DAY AS TIMESTAMP) AS next_monday,
+               CAST(strptime(strftime(actual_pickup, '%Y-%m-%d'), '%Y-%m-%d') AS TIMESTAMP) AS parsed,
+               CAST(pickup_date + 7 AS TIMESTAMP) AS week_later, CAST(pickup_date - 30 AS TIMESTAMP) AS month_before,
+               actual_pickup + INTERVAL 1 MONTH AS plus_interval, {NOW} AS as_of
+          FROM rentals WHERE {DONE}""",
+    "string_functions": """
+        SELECT customer_id, CASE WHEN strpos(email, '@') > 1 THEN substr(email, 1, strpos(email, '@') - 1) END AS email_user,
+               substr(email, strpos(email, '@') + 1) AS email_domain, strpos(email, '@') AS at_position,
+               strpos(license_number, '-') + strpos(substr(license_number, strpos(license_number, '-') + 1), '-') AS second_dash,
+               trim('  ' || first_name || ' ') AS trimmed_name, ltrim('  ' || first_name) AS left_trimmed,
+               rtrim(first_name || '  ') AS right_trimmed, replace(license_number, '-', '') AS license_clean,
+               upper(left(first_name, 1)) || lower(substr(first_name, 2)) AS proper_name,
+               upper(email) AS upper_email, lower(first_name) AS lower_name, lpad(CAST(customer_id AS VARCHAR), 8, '0') AS padded_id,
+               rpad(first_name, 10, ' ') AS padded_name, length(email) AS email_len, strlen(email) AS email_bytes,
+               ascii(first_name) AS first_code, chr(ascii(first_name)) AS first_letter, concat(first_name, NULL, ' ', last_name) AS joined,
+               CAST(TRY_CAST(last_name AS DECIMAL(18,2)) AS DOUBLE) AS name_number,
+               CAST(TRY_CAST(first_name AS DECIMAL(18,2)) AS DOUBLE) AS not_a_number,
+               format('{:,.2f}', CAST(loyalty_points AS DOUBLE)) AS points_text
+          FROM customers WHERE is_active = 'Y'""",
+    "regex_functions": r"""
+        SELECT customer_id,
+               CASE WHEN regexp_matches(email, '^[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}$') THEN 'Valid' ELSE 'Invalid' END AS email_valid,
+               regexp_replace(license_number, '[^A-Z0-9]', '', 'g') AS license_alphanum,
+               regexp_extract_all(email, '[^@]+')[2] AS domain_part FROM customers""",
+    "currency_convert": """
+        SELECT payment_id, CAST(amount AS DOUBLE) AS amount, CAST(round(amount * exchange_rate, 2) AS DOUBLE) AS converted FROM payments""",
+    "json_flat_map": """
+        SELECT event_id, unnest(json_keys(props)) AS key, props ->> ('$."' || unnest(json_keys(props)) || '"') AS value FROM events""",
+    "json_rows": """
+        SELECT '{"rentalRef":"' || rental_ref || '","vehicleId":' || vehicle_id || ',"actualPickup":"'
+               || strftime(actual_pickup, '%Y-%m-%dT%H:%M:%S') || '","pickupDate":"' || strftime(pickup_date, '%Y-%m-%d')
+               || '","odometerIn":' || COALESCE(CAST(odometer_in AS VARCHAR), 'null') || ',"baseCharge":' || base_charge
+               || ',"totalCharge":' || COALESCE(CAST(total_charge AS VARCHAR), 'null') || ',"status":"' || status || '"}' AS json
+          FROM rentals""",
+    "json_object": """
+        SELECT rental_ref, '{"id":"' || rental_ref || '","status":"' || status || '"}' AS object FROM rentals""",
+    "xml_element": """
+        SELECT rental_ref, '<rental id="' || rental_ref || '"><customer>' || customer_id || '</customer><vehicle>' || vehicle_id
+               || '</vehicle><amount>' || COALESCE(CAST(total_charge AS VARCHAR), '') || '</amount><status>' || status
+               || '</status></rental>' AS rental_xml FROM booked""",
+    "date_series": f"""
+        WITH days AS (SELECT unnest(range(DATE '{AS_OF}', DATE '{AS_OF}' + 30, INTERVAL 1 DAY)) AS rental_date),
+             n AS (SELECT CAST(actual_pickup AS DATE) AS d, COUNT(*) AS pickups FROM order_rentals GROUP BY 1)
+        SELECT CAST(rental_date AS TIMESTAMP) AS rental_date, upper(strftime(rental_date, '%a')) AS day_name,
+               CAST(COALESCE(pickups, 0) AS BIGINT) AS pickups FROM days LEFT JOIN n ON rental_date = d""",
+    "partition_range_counts": f"SELECT {CAR_BUCKET} AS bucket, CAST(COUNT(*) AS BIGINT) AS rows FROM vehicles GROUP BY 1",
+    "partition_month_counts": """
+        SELECT strftime(pickup_date, '%Y-%m') AS bucket, CAST(COUNT(*) AS BIGINT) AS rows FROM rentals GROUP BY 1""",
+    "partition_list_counts": """
+        SELECT CASE WHEN payment_method IN ('CREDIT_CARD', 'DEBIT_CARD') THEN 'card' WHEN payment_method = 'CASH' THEN 'cash'
+                    ELSE 'other' END AS bucket, CAST(COUNT(*) AS BIGINT) AS rows FROM payments GROUP BY 1""",
+}
+
+
 def all_texts() -> dict[str, str]:
-    return {name: with_views(text) for name, text in {**REPORTS}.items()}
+    return {name: with_views(text) for name, text in {**REPORTS, **LOOKUPS}.items()}
