@@ -4,14 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import date, datetime
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
 from motorlot.functions import scalar as S
-from motorlot.operators import checks as C, overlap as O
+from motorlot.operators import changes as J, checks as C, hierarchy as H, overlap as O, pricing as P, rentals as Q
 from motorlot.plans import lookups as L, reports as R
+from motorlot.session import checkpoint_dir
 from motorlot.sources import adapter as A, loaders, sinks as K
+from motorlot.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -132,7 +135,7 @@ def lookup_queries() -> dict[str, Query]:
         "search_vehicles": lambda s, d: L.search_vehicles(*_fleet(s, d), "RiNg"),
         "available_vehicles": lambda s, d: L.available(*_fleet(s, d), location=4, category="ECONOMY"),
         "available_vehicles_all": lambda s, d: L.available(*_fleet(s, d)),
-        "rental_by_id": lambda s, d: L.rental_by_id(_booked(s, d), *_view(s, d), 561),
+        "rental_by_id": lambda s, d: L.rental_by_id(_booked(s, d), *_view(s, d), 97),
         "rule_violations": _rule_violations,
         "duplicate_keys": lambda s, d: C.check_unique(A.rentals(s, d), ["order_id", "line_number"]),
         "vehicle_availability": lambda s, d: L.vehicle_availability(*_fleet(s, d), AS_OF),
@@ -170,10 +173,204 @@ def lookup_queries() -> dict[str, Query]:
         "partition_month_counts": lambda s, d: K.bucket_counts(A.rentals(s, d), K.month_bucket("pickup_date")),
         "partition_list_counts": lambda s, d: K.bucket_counts(A.payments(s, d), K.list_bucket("payment_method")),
         "sample_rows": lambda s, d: K.sample_rows(A.order_rentals(s, d, done), 10),
-        "sample_blocks": lambda s, d: K.sample_blocks(loaders.load(s, d, "orders"), 5),
+        "sample_blocks": lambda s, d: K.sample_blocks(loaders.load(s, d, "lineitem"), 5, block_rows=128),
+    }
+
+
+def _rates(s: SparkSession, d: str) -> DataFrame:
+    return P.rate_table(A.vehicles(s, d), A.categories(s, d))
+
+
+def _priced(rows: DataFrame, s: SparkSession, d: str, **options) -> DataFrame:
+    return P.price(rows, _rates(s, d), "pickup_date", "dropoff_date", **options)
+
+
+def _promo_priced(s: SparkSession, d: str) -> DataFrame:
+    return P.apply_promo(_priced(A.requests(s, d), s, d), A.promo_codes(s), AS_OF)
+
+
+def _decisions(s: SparkSession, d: str) -> DataFrame:
+    return Q.decide_reservations(
+        A.requests(s, d), A.rentals(s, d, "DISPUTED").select("vehicle_id", "pickup_date", "dropoff_date"),
+        A.customers(s, d), A.vehicles(s, d), _rates(s, d), A.promo_codes(s), AS_OF, "rental_ref")
+
+
+def _settled(s: SparkSession, d: str) -> DataFrame:
+    return Q.settle(A.returns(s, d), _rates(s, d), A.promo_codes(s), AS_OF).select(
+        "rental_ref", "base_charge", "fuel_charge", "damage_charge", "late_fee", "total_charge", "status")
+
+
+def rule_queries() -> dict[str, Query]:
+    return {
+        "tiered_pricing": lambda s, d: _priced(A.rentals(s, d), s, d).select(
+            "rental_ref", "days", "daily_rate", "base_price"),
+        "tiered_pricing_scaled": lambda s, d: _priced(A.rentals(s, d), s, d, fix_fallback=True).select(
+            "rental_ref", "base_price"),
+        "promo_pricing": lambda s, d: _promo_priced(s, d).select("rental_ref", "promo_code", "base_price", "price"),
+        "loyalty_pricing": lambda s, d: P.apply_loyalty(_promo_priced(s, d), A.customers(s, d)).select(
+            "rental_ref", "tier", "price", "cost"),
+        "customer_tiers": lambda s, d: A.customers(s, d).select(
+            "customer_id", "loyalty_points", P.tier(F.col("loyalty_points")).alias("tier")),
+        "promo_validity": lambda s, d: P.check_promos(A.requests(s, d), A.promo_codes(s), AS_OF).select(
+            "rental_ref", "promo_code", "promo_check"),
+        "promo_valid_at": lambda s, d: O.valid_at(
+            A.requests(s, d), A.promo_codes(s), "promo_code", F.col("pickup_date"), "valid_from", "valid_to").select(
+            "rental_ref", "promo_code", "discount_type"),
+        "availability_check": lambda s, d: Q.check_available(A.requests(s, d), A.vehicles(s, d)).select(
+            "rental_ref", "vehicle_status", "start_check"),
+        "reservation_decisions": _decisions,
+        "begin_rentals": lambda s, d: Q.begin_rentals(A.reservations(s, d), A.pickups(s, d), AS_OF, 9001)[0],
+        "begin_rentals_reservations": lambda s, d: Q.begin_rentals(
+            A.reservations(s, d), A.pickups(s, d), AS_OF, 9001)[1].select("reservation_id", "status"),
+        "begin_rentals_refused": lambda s, d: Q.begin_rentals(
+            A.reservations(s, d), A.pickups(s, d), AS_OF, 9001)[2].select("reservation_id", "reason"),
+        "rental_settlement": _settled,
+    }
+
+
+HISTORY_AS_OF = datetime(2024, 1, 15)
+
+
+def _upsert(s: SparkSession, d: str) -> DataFrame:
+    rows = A.order_rentals(s, d, "COMPLETED")
+
+    def since(text: str):
+        return F.lit(text).cast("timestamp_ntz")
+
+    target = J.customer_stats(rows.where(F.col("actual_pickup") < since("1999-01-01"))).withColumn(
+        "updated_at", since("1999-01-01"))
+    source = J.customer_stats(rows.where(F.col("actual_pickup") >= since("2000-01-01")))
+    return J.merge_upsert(target, source, ["customer_id"], {"updated_at": since(str(AS_OF))})
+
+
+def _gappy_vehicles(s: SparkSession, d: str) -> DataFrame:
+    """Vehicles with values left out, as inserts with missing fields."""
+    def without(column: str, test) -> object:
+        return F.when(~test, F.col(column))
+
+    key = F.col("vehicle_id")
+    return A.vehicles(s, d).select("vehicle_id", "mileage", "fuel_type", "transmission", "seats", "status", "is_active").withColumns({
+        "mileage": without("mileage", key % 4 == 0), "fuel_type": without("fuel_type", key % 3 == 0),
+        "transmission": without("transmission", key % 6 == 1), "seats": without("seats", key % 5 == 2),
+        "status": without("status", key % 7 == 3),
+    })
+
+
+def _customer_updates(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Rich customers get a new address and lose their points; customers without points are sent under unknown keys."""
+    people = A.customers(s, d).select("customer_id", "email", "loyalty_points")
+    rich = people.where(F.col("loyalty_points") > 5000).select(
+        "customer_id", F.concat(F.lit("vip."), "email").alias("email"), F.lit(None).cast("long").alias("loyalty_points"))
+    unknown = people.where(F.col("loyalty_points").isNull()).select(
+        (F.col("customer_id") + 1_000_000_000).alias("customer_id"), "email", "loyalty_points")
+    return J.apply_updates(people, rich.unionByName(unknown), "customer_id", ["email", "loyalty_points"])
+
+
+def _cheap(s: SparkSession, d: str) -> DataFrame:
+    return A.order_rentals(s, d).where(F.col("total_charge") < 60000).select("rental_id")
+
+
+def _audit_diff(s: SparkSession, d: str) -> DataFrame:
+    rows = A.payments(s, d).select("payment_id", "payment_date", "amount", "payment_method", "status")
+
+    def day(text: str):
+        return F.lit(text).cast("timestamp_ntz")
+
+    old = rows.where(F.col("payment_date") < day("2001-01-01"))
+    wallet = F.col("payment_method") == "DIGITAL_WALLET"
+    new = rows.where(F.col("payment_date") >= day("1995-07-01")).withColumns({
+        "amount": F.when(wallet, F.col("amount") + F.lit(10.5).cast("decimal(4,2)")).otherwise(F.col("amount")).cast("decimal(10,2)"),
+        "status": F.when(F.col("status") == "PENDING", "COMPLETED").otherwise(F.col("status")),
+    })
+    return J.payment_audit(J.snapshot_diff(old, new, "payment_id"))
+
+
+def _guarded(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return J.delete_rentals(A.order_rentals(s, d).select("rental_id", "status"), _cheap(s, d), "rental_id")
+
+
+def change_queries() -> dict[str, Query]:
+    return {
+        "assign_keys": lambda s, d: J.assign_keys(
+            A.order_rentals(s, d).select("rental_id", "actual_pickup"), ["actual_pickup", "rental_id"], "new_id", 5001),
+        "merge_customer_stats": _upsert,
+        "promo_usage": lambda s, d: J.bump_usage(A.promo_codes(s), A.requests(s, d)).select("promo_code", "current_uses"),
+        "insert_defaults": lambda s, d: J.apply_defaults(_gappy_vehicles(s, d), J.vehicle_defaults()),
+        "apply_updates": lambda s, d: _customer_updates(s, d)[0],
+        "apply_updates_unknown": lambda s, d: _customer_updates(s, d)[1],
+        "soft_delete": lambda s, d: J.soft_delete(
+            A.customers(s, d).select("customer_id", "is_active"),
+            A.order_rentals(s, d, "DISPUTED").where(F.col("total_charge") > 450000), "customer_id"),
+        "guarded_delete": lambda s, d: _guarded(s, d)[0],
+        "guarded_delete_refused": lambda s, d: _guarded(s, d)[1],
+        "purge_audit": lambda s, d: J.purge(A.history(s, d), datetime(2024, 1, 30), 10),
+        "audit_diff": _audit_diff,
+        "vehicle_state": lambda s, d: J.apply_vehicle_events(
+            A.vehicles(s, d).select("vehicle_id", "status", "mileage"), A.vehicle_events_of(A.rentals(s, d))),
+        "loyalty_award": lambda s, d: J.award_points(
+            A.customers(s, d).select("customer_id", "loyalty_points"), A.order_rentals(s, d, "COMPLETED")),
+        "as_of_state": lambda s, d: J.as_of(A.history(s, d), HISTORY_AS_OF, "row_key", ["state", "amount"]),
+        "version_history": lambda s, d: J.versions(
+            A.history(s, d), "row_key", datetime(2024, 1, 10), datetime(2024, 1, 20), ["state", "amount"]),
+        "delete_ids": lambda s, d: J.delete_ids(
+            A.order_rentals(s, d).select("rental_id", "customer_id"), _cheap(s, d), "rental_id"),
+    }
+
+
+def _looped_links(s: SparkSession, d: str) -> DataFrame:
+    """Place links, with each region also pointing at the nation of its own number."""
+    back = loaders.load(s, d, "region").select(
+        F.concat(F.lit("R"), "r_regionkey").alias("src"), F.concat(F.lit("N"), "r_regionkey").alias("dst"))
+    return A.place_links(s, d).unionByName(back)
+
+
+def _checked_links(s: SparkSession, d: str) -> DataFrame:
+    known = A.place_edges(s, d).where(F.col("name") != "ASIA")
+    return H.dependency_checks(_looped_links(s, d), known)
+
+
+def tree_queries() -> dict[str, Query]:
+    return {
+        "hierarchy_recursive": lambda s, d: H.org_chart(A.place_edges(s, d)),
+        "hierarchy_connect_by": lambda s, d: H.connect_by(A.place_edges(s, d)).drop("steps"),
+        "dependency_closure": lambda s, d: H.closure_summary(A.place_links(s, d)),
+        "dependency_pairs": lambda s, d: H.closure(_looped_links(s, d)),
+        "dependency_checks": _checked_links,
+    }
+
+
+def _run(s: SparkSession, start: Callable, *inputs) -> str:
+    """Run a streaming job over what its folder holds now and return its output folder."""
+    path = f"{checkpoint_dir(s)}/streams/{uuid4().hex}"
+    start(*inputs, path).awaitTermination()
+    return path
+
+
+def _stream_audit(s: SparkSession, d: str) -> DataFrame:
+    feed = A.payment_changes_of(A.payments_of(loaders.load_stream(s, d, "orders")))
+    return jobs.read_audit(s, _run(s, jobs.stream_audit, feed))
+
+
+def _stream_vehicle_state(s: SparkSession, d: str) -> DataFrame:
+    feed = A.vehicle_events_of(A.rentals_of(loaders.load_stream(s, d, "lineitem")))
+    cars = A.vehicles(s, d).select("vehicle_id", "status", "mileage")
+    return jobs.read_vehicle_state(s, _run(s, jobs.stream_vehicle_state, feed), cars)
+
+
+def _stream_monthly_revenue(s: SparkSession, d: str) -> DataFrame:
+    feed = A.rentals_of(loaders.load_stream(s, d, "lineitem"))
+    return jobs.read_monthly_revenue(s, _run(s, jobs.stream_monthly_revenue, feed))
+
+
+def stream_queries() -> dict[str, Query]:
+    return {
+        "stream_audit": _stream_audit,
+        "stream_vehicle_state": _stream_vehicle_state,
+        "stream_monthly_revenue": _stream_monthly_revenue,
     }
 
 
 def all_queries() -> dict[str, Query]:
-    plans = {**report_queries(), **lookup_queries()}
+    plans = {**report_queries(), **lookup_queries(), **rule_queries(), **change_queries(), **tree_queries(),
+             **stream_queries()}
     return {name: (lambda s, d, plan=plan: plain_types(plan(s, d))) for name, plan in plans.items()}

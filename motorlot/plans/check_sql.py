@@ -15,7 +15,7 @@ AS_OF = "2001-07-15"
 VIEWS = {
     "rentals": """
         SELECT l_orderkey * 10 + l_linenumber AS rental_id,
-               concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS rental_ref,
+               concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, strftime(l_shipdate, '%Y%m%d')) AS rental_ref,
                l_orderkey AS order_id, CAST(l_linenumber AS BIGINT) AS line_number, l_partkey AS vehicle_id,
                l_suppkey AS pickup_location, l_partkey % 10 AS dropoff_location,
                l_shipdate - to_days(CAST(l_quantity AS INTEGER)) AS actual_pickup, l_shipdate AS actual_dropoff,
@@ -404,7 +404,7 @@ LOOKUPS = {
         SELECT rental_id, rental_ref, r.customer_id, {FULL_NAME} AS customer_name, r.vehicle_id, {INFO} AS vehicle_info,
                p.location_name AS pickup_location_name, q.location_name AS dropoff_location_name, actual_pickup,
                actual_dropoff, CAST(total_charge AS DOUBLE) AS total_charge, r.status
-          FROM {NAMED} WHERE rental_id = 561""",
+          FROM {NAMED} WHERE rental_id = 97""",
     "rule_violations": " UNION ALL ".join([
         _rule("status_list", "status NOT IN ('ACTIVE', 'COMPLETED', 'DISPUTED')"),
         _rule("fuel_out_range", "fuel_level_out NOT BETWEEN 0 AND 100"),
@@ -526,7 +526,7 @@ LOOKUPS = {
         SELECT event_id, unnest(json_keys(props)) AS key, props ->> ('$."' || unnest(json_keys(props)) || '"') AS value FROM events""",
     "json_rows": """
         SELECT '{"rentalRef":"' || rental_ref || '","vehicleId":' || vehicle_id || ',"actualPickup":"'
-               || strftime(actual_pickup, '%Y-%m-%dT%H:%M:%S') || '","pickupDate":"' || strftime(pickup_date, '%Y-%m-%d')
+               || strftime(actual_pickup, '%Y-%m-%d %H:%M:%S') || '","pickupDate":"' || strftime(pickup_date, '%Y-%m-%d')
                || '","odometerIn":' || COALESCE(CAST(odometer_in AS VARCHAR), 'null') || ',"baseCharge":' || base_charge
                || ',"totalCharge":' || COALESCE(CAST(total_charge AS VARCHAR), 'null') || ',"status":"' || status || '"}' AS json
           FROM rentals""",
@@ -550,5 +550,235 @@ LOOKUPS = {
 }
 
 
+RATES = """(SELECT vehicle_id, COALESCE(daily_override, daily_rate) AS rate, weekly_rate, monthly_rate
+              FROM vehicles v JOIN categories c ON v.category_name = c.category_name)"""
+
+
+def _sevenths(days: str, week: int = 1, month: int = 1) -> str:
+    weekly = f"COALESCE(weekly_rate, rate * 0.80 * {week})"
+    monthly = f"COALESCE(monthly_rate, rate * 0.65 * {month})"
+    return f"""CAST(CASE WHEN {days} >= 28 THEN {days} // 28 * 7 * {monthly} + {days} % 28 * {weekly}
+                    WHEN {days} >= 7 THEN {days} // 7 * 7 * {weekly} + {days} % 7 * 7 * rate
+                    ELSE {days} * 7 * rate END AS DECIMAL(18,4))"""
+
+
+def _priced(source: str, end: str = "dropoff_date", week: int = 1, month: int = 1) -> str:
+    return f"""(SELECT s.*, rate, {_sevenths('days', week, month)} AS sevenths
+                 FROM (SELECT *, greatest(1, {end} - pickup_date) AS days FROM {source}) s
+                 LEFT JOIN {RATES} t ON s.vehicle_id = t.vehicle_id)"""
+
+
+BASE_PRICE = quotient("sevenths * 100", "700")
+PRICE = f"""CASE WHEN r.promo_code IS NULL THEN {BASE_PRICE}
+                 WHEN m.discount_type = 'PERCENT' THEN {quotient("sevenths * (100 - discount_value) * 10000", "7000000")}
+                 WHEN m.discount_type = 'FIXED' THEN
+                      CASE WHEN discount_value * 7 < sevenths THEN {quotient("(sevenths - discount_value * 7) * 100", "700")} ELSE 0 END
+            END"""
+VALID = f"(SELECT * FROM promo_codes WHERE is_active = 'Y' AND {NOW} BETWEEN valid_from AND valid_to)"
+TIER = """CASE WHEN loyalty_points < 500 THEN 'BRONZE' WHEN loyalty_points < 2000 THEN 'SILVER'
+               WHEN loyalty_points < 5000 THEN 'GOLD' ELSE 'PLATINUM' END"""
+PROMO_CHECK = f"""CASE WHEN r.promo_code IS NULL THEN 'OK' WHEN m.promo_code IS NULL THEN 'INVALID_PROMO'
+                       WHEN m.is_active = 'N' OR NOT {NOW} BETWEEN valid_from AND valid_to THEN 'PROMO_EXPIRED_OR_INACTIVE'
+                       WHEN current_uses >= max_uses THEN 'PROMO_LIMIT_REACHED' ELSE 'OK' END"""
+PRICED_REQUESTS = f"""priced AS (SELECT r.*, {BASE_PRICE} AS base_price, {PRICE} AS price
+                        FROM {_priced('requests')} r LEFT JOIN {VALID} m ON r.promo_code = m.promo_code)"""
+COST = f"""CASE WHEN price IS NOT NULL THEN {quotient("CAST(ROUND(price * 100) AS HUGEINT) * (100 - CASE tier WHEN 'GOLD' THEN 5 WHEN 'PLATINUM' THEN 10 ELSE 0 END)", "10000")} END"""
+STAGE = """reservations AS (
+        SELECT o_orderkey AS reservation_id, o_custkey AS customer_id, o_custkey AS vehicle_id, o_custkey % 10 AS pickup_location,
+               (o_custkey + 1) % 10 AS dropoff_location, o_orderstatus = 'O' AS asked,
+               CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 'CONFIRMED' WHEN o_orderpriority = '3-MEDIUM' THEN 'CANCELLED'
+                    ELSE 'PENDING' END AS status FROM orders)"""
+
+RULES = {
+    "tiered_pricing": f"""
+        SELECT rental_ref, CAST(days AS BIGINT) AS days, CAST(rate AS DOUBLE) AS daily_rate, {BASE_PRICE} AS base_price
+          FROM {_priced('rentals')}""",
+    "tiered_pricing_scaled": f"SELECT rental_ref, {BASE_PRICE} AS base_price FROM {_priced('rentals', week=7, month=28)}",
+    "promo_pricing": f"WITH {PRICED_REQUESTS} SELECT rental_ref, promo_code, base_price, price FROM priced",
+    "loyalty_pricing": f"""
+        WITH {PRICED_REQUESTS} SELECT rental_ref, tier, price, {COST} AS cost
+          FROM priced p JOIN (SELECT customer_id, {TIER} AS tier FROM customers) c ON p.customer_id = c.customer_id""",
+    "customer_tiers": f"SELECT customer_id, loyalty_points, {TIER} AS tier FROM customers",
+    "promo_validity": f"""
+        SELECT rental_ref, r.promo_code, {PROMO_CHECK} AS promo_check
+          FROM requests r LEFT JOIN promo_codes m ON r.promo_code = m.promo_code""",
+    "promo_valid_at": """
+        SELECT rental_ref, r.promo_code, discount_type FROM requests r LEFT JOIN promo_codes m
+            ON r.promo_code = m.promo_code AND pickup_date BETWEEN valid_from AND valid_to""",
+    "availability_check": """
+        SELECT rental_ref, v.status AS vehicle_status,
+               CASE WHEN v.status IS NULL THEN 'UNKNOWN_VEHICLE' WHEN v.status <> 'AVAILABLE' THEN 'NOT_AVAILABLE' ELSE 'OK' END AS start_check
+          FROM requests r LEFT JOIN vehicles v ON r.vehicle_id = v.vehicle_id""",
+    # One request after another in each vehicle, carrying the accepted spans.
+    "reservation_decisions": f"""
+        WITH RECURSIVE {PRICED_REQUESTS},
+        judged AS (SELECT r.*, {PROMO_CHECK} AS promo_check, dropoff_date > pickup_date AS dates_ok,
+                          COALESCE(c.is_active = 'Y', FALSE) AS customer_ok, {TIER} AS tier,
+                          ROW_NUMBER() OVER (PARTITION BY vehicle_id ORDER BY rental_ref) AS k
+                     FROM priced r LEFT JOIN promo_codes m ON r.promo_code = m.promo_code
+                     LEFT JOIN customers c ON r.customer_id = c.customer_id),
+        walk AS (
+            SELECT vehicle_id, CAST(0 AS BIGINT) AS k, CAST(NULL AS VARCHAR) AS rental_ref, CAST(NULL AS BOOLEAN) AS clash,
+                   COALESCE(list({{'s': pickup_date, 'e': dropoff_date}}), []) AS spans
+              FROM rentals WHERE status = 'DISPUTED' GROUP BY vehicle_id
+            UNION ALL
+            SELECT j.vehicle_id, j.k, j.rental_ref,
+                   len(list_filter(w.spans, lambda x: x.s < j.dropoff_date AND x.e > j.pickup_date)) > 0,
+                   CASE WHEN j.dates_ok AND j.customer_ok AND j.promo_check = 'OK'
+                             AND len(list_filter(w.spans, lambda x: x.s < j.dropoff_date AND x.e > j.pickup_date)) = 0
+                        THEN list_append(w.spans, {{'s': j.pickup_date, 'e': j.dropoff_date}}) ELSE w.spans END
+              FROM walk w JOIN judged j ON w.vehicle_id = j.vehicle_id AND j.k = w.k + 1)
+        SELECT j.rental_ref, customer_id, j.vehicle_id, CAST(pickup_date AS TIMESTAMP) AS pickup_date,
+               CAST(dropoff_date AS TIMESTAMP) AS dropoff_date, promo_code,
+               CASE WHEN dates_ok AND NOT clash AND customer_ok AND promo_check = 'OK' THEN 'CONFIRMED' ELSE 'REFUSED' END AS decision,
+               CASE WHEN NOT dates_ok THEN 'INVALID_DATES' WHEN clash THEN 'VEHICLE_UNAVAILABLE'
+                    WHEN NOT customer_ok THEN 'CUSTOMER_NOT_FOUND' WHEN promo_check <> 'OK' THEN promo_check END AS reason,
+               CASE WHEN dates_ok AND NOT clash AND customer_ok AND promo_check = 'OK' THEN {COST} END AS estimated_cost
+          FROM judged j JOIN walk w ON j.rental_ref = w.rental_ref""",
+    "begin_rentals": f"""
+        WITH {STAGE} SELECT 9000 + ROW_NUMBER() OVER (ORDER BY reservation_id) AS rental_id, reservation_id, customer_id, vehicle_id,
+               pickup_location, dropoff_location, {NOW} AS actual_pickup, reservation_id * 2 AS odometer_out,
+               customer_id % 4 + 6001 AS employee_out, 'ACTIVE' AS status FROM reservations WHERE asked AND status = 'CONFIRMED'""",
+    "begin_rentals_reservations": f"""
+        WITH {STAGE} SELECT reservation_id, CASE WHEN asked AND status = 'CONFIRMED' THEN 'COMPLETED' ELSE status END AS status
+          FROM reservations""",
+    "begin_rentals_refused": f"""
+        WITH {STAGE} SELECT reservation_id, 'NOT_CONFIRMED' AS reason FROM reservations WHERE asked AND status <> 'CONFIRMED'""",
+    "rental_settlement": f"""
+        WITH backs AS (SELECT *, CASE line_number WHEN 1 THEN 'TEN' WHEN 2 THEN 'FLAT50' WHEN 5 THEN 'OLD' END AS promo_code,
+                              CASE WHEN line_number <> 6 THEN 100 - line_number * 5 END AS fuel_back FROM rentals WHERE status = 'ACTIVE'),
+             parts AS (SELECT r.rental_ref, {PRICE} AS base_charge,
+                              CASE WHEN fuel_back < 100 THEN (100 - fuel_back) * 3 ELSE 0 END AS fuel_charge,
+                              CASE WHEN length(damage_notes) > 0 THEN 250 ELSE 0 END AS damage_charge,
+                              CASE WHEN line_number <> 7 THEN {quotient(f"greatest(0, DATE '{AS_OF}' - dropoff_date) * rate * 15", "10")} ELSE 0 END AS late_fee
+                         FROM {_priced('backs', f"DATE '{AS_OF}'")} r LEFT JOIN {VALID} m ON r.promo_code = m.promo_code)
+        SELECT rental_ref, base_charge, CAST(fuel_charge AS DOUBLE) AS fuel_charge, CAST(damage_charge AS DOUBLE) AS damage_charge,
+               late_fee, CAST(CAST(COALESCE(base_charge, 0) AS DECIMAL(18,2)) + fuel_charge + damage_charge
+                              + CAST(late_fee AS DECIMAL(18,2)) AS DOUBLE) AS total_charge, 'COMPLETED' AS status FROM parts""",
+}
+
+STATS = "COUNT(*) AS n, SUM(total_charge) AS total, MAX(actual_pickup) AS latest"
+EVENTS = """(
+    SELECT vehicle_id, actual_pickup AS at, 'START' AS event, rental_ref || '-A' AS seq, CAST(NULL AS BIGINT) AS odometer FROM rentals
+    UNION ALL SELECT vehicle_id, actual_dropoff, 'COMPLETE', rental_ref || '-B', CASE WHEN line_number <> 7 THEN odometer_in END
+      FROM rentals WHERE status = 'COMPLETED'
+    UNION ALL SELECT vehicle_id, actual_dropoff, 'MAINTENANCE', rental_ref || '-C', NULL FROM rentals WHERE status = 'DISPUTED')"""
+VEHICLE_STATE = f"""
+    WITH marked AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY vehicle_id ORDER BY at DESC, seq DESC) AS k FROM {EVENTS}),
+         readings AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY vehicle_id ORDER BY at DESC, seq DESC) AS k FROM {EVENTS}
+                    WHERE odometer IS NOT NULL)
+    SELECT v.vehicle_id, COALESCE(CASE m.event WHEN 'START' THEN 'RENTED' WHEN 'COMPLETE' THEN 'AVAILABLE' ELSE m.event END, v.status) AS status,
+           COALESCE(r.odometer, mileage) AS mileage
+      FROM vehicles v LEFT JOIN (SELECT * FROM marked WHERE k = 1) m ON v.vehicle_id = m.vehicle_id
+      LEFT JOIN (SELECT * FROM readings WHERE k = 1) r ON v.vehicle_id = r.vehicle_id"""
+
+
+def _plain(number: str) -> str:
+    return f"regexp_replace(CAST({number} AS VARCHAR), '\\.?0+$', '')"
+
+
+LOGGED = f"""
+    SELECT 'PAYMENTS' AS table_name, operation, payment_id AS record_id,
+           CASE operation WHEN 'UPDATE' THEN 'amount=' || {_plain('old_amount')} || ',status=' || old_status
+                WHEN 'DELETE' THEN 'amount=' || {_plain('old_amount')} || ',method=' || payment_method END AS old_values,
+           CASE operation WHEN 'UPDATE' THEN 'amount=' || {_plain('new_amount')} || ',status=' || new_status
+                WHEN 'INSERT' THEN 'amount=' || {_plain('new_amount')} || ',method=' || payment_method || ',status=' || new_status END AS new_values
+      FROM """
+UPDATES = """(SELECT customer_id, 'vip.' || email AS email, CAST(NULL AS BIGINT) AS loyalty_points FROM customers WHERE loyalty_points > 5000)"""
+
+CHANGES = {
+    "assign_keys": """
+        SELECT 5000 + ROW_NUMBER() OVER (ORDER BY actual_pickup, rental_id) AS new_id, rental_id, actual_pickup FROM order_rentals""",
+    "merge_customer_stats": f"""
+        WITH old AS (SELECT customer_id, {STATS} FROM order_rentals WHERE {DONE} AND actual_pickup < TIMESTAMP '1999-01-01' GROUP BY 1),
+             fresh AS (SELECT customer_id, {STATS} FROM order_rentals WHERE {DONE} AND actual_pickup >= TIMESTAMP '2000-01-01' GROUP BY 1)
+        SELECT customer_id, n AS rental_count, CAST(total AS DOUBLE) AS total_spend, latest AS last_rental, {NOW} AS updated_at FROM fresh
+        UNION ALL SELECT customer_id, n, CAST(total AS DOUBLE), latest, TIMESTAMP '1999-01-01' FROM old
+         WHERE customer_id NOT IN (SELECT customer_id FROM fresh)""",
+    "promo_usage": """
+        SELECT m.promo_code, CAST(current_uses + COUNT(r.promo_code) AS BIGINT) AS current_uses
+          FROM promo_codes m LEFT JOIN requests r ON m.promo_code = r.promo_code GROUP BY m.promo_code, current_uses""",
+    "insert_defaults": """
+        SELECT vehicle_id, CASE WHEN vehicle_id % 4 = 0 THEN 0 ELSE mileage END AS mileage,
+               CASE WHEN vehicle_id % 3 = 0 THEN 'GASOLINE' ELSE fuel_type END AS fuel_type,
+               CASE WHEN vehicle_id % 6 = 1 THEN 'AUTOMATIC' ELSE transmission END AS transmission,
+               CASE WHEN vehicle_id % 5 = 2 THEN 5 ELSE seats END AS seats,
+               CASE WHEN vehicle_id % 7 = 3 THEN 'AVAILABLE' ELSE status END AS status, is_active FROM vehicles""",
+    "apply_updates": f"""
+        SELECT c.customer_id, COALESCE(u.email, c.email) AS email,
+               CASE WHEN u.customer_id IS NULL THEN c.loyalty_points END AS loyalty_points
+          FROM customers c LEFT JOIN {UPDATES} u ON c.customer_id = u.customer_id""",
+    "apply_updates_unknown": """
+        SELECT customer_id + 1000000000 AS customer_id, email, loyalty_points FROM customers WHERE loyalty_points IS NULL""",
+    "soft_delete": """
+        SELECT customer_id, CASE WHEN customer_id IN (SELECT customer_id FROM order_rentals WHERE status = 'DISPUTED' AND total_charge > 450000)
+                                 THEN 'N' ELSE is_active END AS is_active FROM customers""",
+    "guarded_delete": "SELECT rental_id, status FROM order_rentals WHERE total_charge >= 60000 OR status = 'ACTIVE'",
+    "guarded_delete_refused": """
+        SELECT rental_id, 'ACTIVE_RENTAL' AS reason FROM order_rentals WHERE total_charge < 60000 AND status = 'ACTIVE'""",
+    "purge_audit": """
+        SELECT row_key, seq, changed_at, operation, state, CAST(amount AS DOUBLE) AS amount FROM history
+         WHERE changed_at >= TIMESTAMP '2024-01-20'""",
+    "audit_diff": LOGGED + """(
+        SELECT COALESCE(o.payment_id, n.payment_id) AS payment_id, COALESCE(o.payment_method, n.payment_method) AS payment_method,
+               o.amount AS old_amount, o.status AS old_status, n.amount AS new_amount, n.status AS new_status,
+               CASE WHEN o.payment_id IS NULL THEN 'INSERT' WHEN n.payment_id IS NULL THEN 'DELETE' ELSE 'UPDATE' END AS operation
+          FROM (SELECT * FROM payments WHERE payment_date < TIMESTAMP '2001-01-01') o FULL JOIN (
+                SELECT payment_id, payment_method, CASE WHEN status = 'PENDING' THEN 'COMPLETED' ELSE status END AS status,
+                       CAST(CASE WHEN payment_method = 'DIGITAL_WALLET' THEN amount + 10.50 ELSE amount END AS DECIMAL(10,2)) AS amount
+                  FROM payments WHERE payment_date >= TIMESTAMP '1995-07-01') n ON o.payment_id = n.payment_id
+         WHERE o.payment_id IS NULL OR n.payment_id IS NULL OR o.amount <> n.amount OR o.status <> n.status)""",
+    "vehicle_state": VEHICLE_STATE,
+    "loyalty_award": f"""
+        WITH won AS (SELECT customer_id, CAST(SUM(ROUND(total_charge, 0)) AS BIGINT) AS points FROM order_rentals WHERE {DONE} GROUP BY 1),
+             after AS (SELECT c.customer_id, CAST(loyalty_points + COALESCE(points, 0) AS BIGINT) AS loyalty_points
+                         FROM customers c LEFT JOIN won w ON c.customer_id = w.customer_id)
+        SELECT customer_id, loyalty_points, {TIER} AS tier FROM after""",
+    "as_of_state": """
+        SELECT row_key, state, CAST(amount AS DOUBLE) AS amount, changed_at FROM (
+            SELECT *, ROW_NUMBER() OVER (PARTITION BY row_key ORDER BY changed_at DESC, seq DESC) AS k
+              FROM history WHERE changed_at <= TIMESTAMP '2024-01-15') WHERE k = 1 AND operation <> 'DELETE'""",
+    "version_history": """
+        SELECT row_key, state, CAST(amount AS DOUBLE) AS amount, changed_at AS version_start, version_end, left(operation, 1) AS version_operation
+          FROM (SELECT *, LEAD(changed_at) OVER (PARTITION BY row_key ORDER BY changed_at, seq) AS version_end FROM history)
+         WHERE changed_at BETWEEN TIMESTAMP '2024-01-10' AND TIMESTAMP '2024-01-20'""",
+    "delete_ids": "SELECT rental_id, customer_id FROM order_rentals WHERE total_charge >= 60000",
+}
+
+TREE = """WITH RECURSIVE parents AS (SELECT DISTINCT parent FROM place_edges WHERE parent IS NOT NULL), tree AS (
+    SELECT id, name, 1 AS level, name AS root, [name] AS steps FROM place_edges WHERE parent IS NULL UNION ALL
+    SELECT e.id, e.name, t.level + 1, t.root, list_append(t.steps, e.name) FROM place_edges e JOIN tree t ON e.parent = t.id)
+    """
+LINKS = "links AS (SELECT id AS src, parent AS dst FROM place_edges WHERE parent IS NOT NULL)"
+LOOPED = """links AS (SELECT id AS src, parent AS dst FROM place_edges WHERE parent IS NOT NULL
+    UNION ALL SELECT 'R' || r_regionkey, 'N' || r_regionkey FROM region)"""
+PAIRS = "pairs AS (SELECT src, dst FROM links UNION SELECT p.src, l.dst FROM pairs p JOIN links l ON p.dst = l.src)"
+
+TREES = {
+    "hierarchy_recursive": TREE + """SELECT repeat(' ', (level - 1) * 4) || name AS org_chart, CAST(level AS BIGINT) AS level,
+        array_to_string(steps, ' > ') AS path FROM tree""",
+    "hierarchy_connect_by": TREE + """SELECT CAST(level AS BIGINT) AS level, repeat(' ', level * 2 - 2) || name AS member,
+        ' / ' || array_to_string(steps, ' / ') AS full_path, root,
+        CAST(CASE WHEN id IN (SELECT parent FROM parents) THEN 0 ELSE 1 END AS BIGINT) AS is_leaf FROM tree""",
+    "dependency_closure": f"""WITH RECURSIVE {LINKS}, {PAIRS},
+        chains AS (SELECT src, dst, 1 AS depth FROM links UNION ALL
+                   SELECT c.src, l.dst, depth + 1 FROM chains c JOIN links l ON c.dst = l.src)
+        SELECT p.src, CAST(COUNT(*) AS BIGINT) AS dependencies, CAST(MAX(depth) AS BIGINT) AS depth FROM pairs p
+          JOIN (SELECT src, MAX(depth) AS depth FROM chains GROUP BY src) c ON p.src = c.src GROUP BY p.src""",
+    "dependency_pairs": f"WITH RECURSIVE {LOOPED}, {PAIRS} SELECT src, dst FROM pairs",
+    "dependency_checks": f"""WITH RECURSIVE {LOOPED}, {PAIRS}
+        SELECT src AS node, 'CYCLE' AS problem FROM pairs WHERE src = dst UNION ALL
+        SELECT DISTINCT dst, 'UNKNOWN_TARGET' FROM links WHERE dst NOT IN (SELECT id FROM place_edges WHERE name <> 'ASIA')""",
+}
+
+STREAMS = {
+    "stream_audit": LOGGED + """(
+        SELECT payment_id, payment_method, amount + 5 AS old_amount, 'FAILED' AS old_status, amount AS new_amount, status AS new_status,
+               CASE status WHEN 'COMPLETED' THEN 'INSERT' WHEN 'REFUNDED' THEN 'DELETE' ELSE 'UPDATE' END AS operation FROM payments)""",
+    "stream_vehicle_state": VEHICLE_STATE,
+    "stream_monthly_revenue": REPORTS["monthly_revenue_snapshot"],
+}
+
+
 def all_texts() -> dict[str, str]:
-    return {name: with_views(text) for name, text in {**REPORTS, **LOOKUPS}.items()}
+    return {name: with_views(text) for name, text in {**REPORTS, **LOOKUPS, **RULES, **CHANGES, **TREES, **STREAMS}.items()}

@@ -38,7 +38,10 @@ def _only(df: DataFrame, column: str, pairs: dict[str, str], status: str | None)
 
 def rentals(spark: SparkSession, folder: str, status: str | None = None) -> DataFrame:
     """Line-grain rentals without the customer. ``rental_ref`` is unique, ``rental_id`` nearly so."""
-    lines = _only(load(spark, folder, "lineitem"), "l_returnflag", LINE_STATUS, status)
+    return rentals_of(_only(load(spark, folder, "lineitem"), "l_returnflag", LINE_STATUS, status))
+
+
+def rentals_of(lines: DataFrame) -> DataFrame:
     closed = F.col("l_returnflag") != "N"
     days = F.col("l_quantity").cast("int")
     base = money(F.col("l_extendedprice"))
@@ -47,7 +50,8 @@ def rentals(spark: SparkSession, folder: str, status: str | None = None) -> Data
     late = money(F.round(base * F.col("l_discount").cast("decimal(4,2)"), 2))
     return lines.select(
         (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("rental_id"),
-        F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("rental_ref"),
+        F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.date_format("l_shipdate", "yyyyMMdd"))
+        .alias("rental_ref"),
         F.col("l_orderkey").alias("order_id"),
         F.col("l_linenumber").cast("long").alias("line_number"),
         F.col("l_partkey").alias("vehicle_id"),
@@ -94,7 +98,11 @@ def order_rentals(spark: SparkSession, folder: str, status: str | None = None) -
 
 
 def payments(spark: SparkSession, folder: str) -> DataFrame:
-    return load(spark, folder, "orders").select(
+    return payments_of(load(spark, folder, "orders"))
+
+
+def payments_of(orders: DataFrame) -> DataFrame:
+    return orders.select(
         F.col("o_orderkey").alias("payment_id"),
         F.col("o_custkey").alias("customer_id"),
         F.col("o_orderdate").alias("payment_date"),
@@ -247,3 +255,66 @@ def requests(spark: SparkSession, folder: str) -> DataFrame:
         "rental_ref", "rental_id", "customer_id", "vehicle_id", "pickup_location", "pickup_date", "dropoff_date",
         code.alias("promo_code"),
     )
+
+
+def payment_changes_of(rows: DataFrame) -> DataFrame:
+    """A change feed: completed payments are inserted, refunded ones deleted, pending ones updated."""
+    row = F.struct("amount", "payment_method", "status")
+    before = F.struct((F.col("amount") + 5).cast("decimal(10,2)").alias("amount"), "payment_method", F.lit("FAILED").alias("status"))
+    operation = F.when(F.col("status") == "COMPLETED", "INSERT").when(F.col("status") == "REFUNDED", "DELETE").otherwise("UPDATE")
+    return rows.select(
+        "payment_id", operation.alias("operation"), F.when(operation != "INSERT", before).alias("old"),
+        F.when(operation != "DELETE", row).alias("new"),
+    )
+
+
+def vehicle_events_of(rows: DataFrame) -> DataFrame:
+    """Events of line-grain rentals: every start, the return of completed ones, a workshop visit for
+    disputed ones. Returns on line 7 carry no odometer reading."""
+    reading = F.when(F.col("line_number") != 7, F.col("odometer_in"))
+    nothing = F.lit(None).cast("long")
+
+    def event(when, name, suffix, odometer):
+        return F.struct(F.col(when).alias("happened_at"), F.lit(name).alias("event"),
+                        F.concat("rental_ref", F.lit(suffix)).alias("seq"), odometer.alias("odometer"))
+
+    happened = F.array(
+        event("actual_pickup", "START", "-A", nothing),
+        F.when(F.col("status") == "COMPLETED", event("actual_dropoff", "COMPLETE", "-B", reading)),
+        F.when(F.col("status") == "DISPUTED", event("actual_dropoff", "MAINTENANCE", "-C", nothing)),
+    )
+    return rows.select("vehicle_id", F.inline(F.filter(happened, lambda e: e.isNotNull())))
+
+
+def reservations(spark: SparkSession, folder: str) -> DataFrame:
+    return load(spark, folder, "orders").select(
+        F.col("o_orderkey").alias("reservation_id"), F.col("o_custkey").alias("customer_id"),
+        F.col("o_custkey").alias("vehicle_id"), (F.col("o_custkey") % 10).alias("pickup_location"),
+        ((F.col("o_custkey") + 1) % 10).alias("dropoff_location"),
+        F.when(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH"), "CONFIRMED")
+        .when(F.col("o_orderpriority") == "3-MEDIUM", "CANCELLED").otherwise("PENDING").alias("status"),
+    )
+
+
+def pickups(spark: SparkSession, folder: str) -> DataFrame:
+    """Requests to start a reserved rental."""
+    return load(spark, folder, "orders").where(F.col("o_orderstatus") == "O").select(
+        F.col("o_orderkey").alias("reservation_id"), (F.col("o_orderkey") * 2).alias("odometer_out"),
+        (F.col("o_custkey") % 4 + 6001).alias("employee_out"),
+    )
+
+
+def returns(spark: SparkSession, folder: str) -> DataFrame:
+    """Open rentals with their reservation (none on line 7) and the readings at return (no fuel on line 6)."""
+    line = F.col("line_number")
+    code = F.when(line == 1, "TEN").when(line == 2, "FLAT50").when(line == 5, "OLD")
+    return rentals(spark, folder, "ACTIVE").withColumns({
+        "reserved_dropoff": F.when(line != 7, F.col("dropoff_date")), "promo_code": code,
+        "fuel_level_in": F.when(line != 6, 100 - line * 5),
+    })
+
+
+def place_links(spark: SparkSession, folder: str) -> DataFrame:
+    """Place edges as (src, dst): each place depends on the one that holds it."""
+    return place_edges(spark, folder).where(F.col("parent").isNotNull()).select(
+        F.col("id").alias("src"), F.col("parent").alias("dst"))

@@ -12,6 +12,11 @@ def load(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.read.schema(schema_of(table)).parquet(f"{folder}/{table}.parquet")
 
 
+def load_stream(spark: SparkSession, folder: str, table: str) -> DataFrame:
+    """The same scan as a stream over the files of a folder."""
+    return spark.readStream.schema(schema_of(table)).option("pathGlobFilter", f"{table}*.parquet").parquet(folder)
+
+
 def load_requirements(spark: SparkSession, path: str) -> DataFrame:
     """One row per requirement from a folder of linked-data documents."""
     documents = spark.read.schema(f"hasRequirement array<struct<{REQUIREMENT_FIELDS}>>").option(

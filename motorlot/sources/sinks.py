@@ -60,7 +60,7 @@ def refresh_monthly_revenue(rentals: DataFrame, path: str) -> DataFrame:
 def rows_to_json(df: DataFrame, names: Mapping[str, str]) -> DataFrame:
     """Rows as JSON objects; nulls stay, dates and times have fixed formats."""
     fields = F.struct(*[F.col(c).alias(n) for c, n in names.items()])
-    options = {"timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss", "dateFormat": "yyyy-MM-dd", "ignoreNullFields": "false"}
+    options = {"timestampNTZFormat": "yyyy-MM-dd HH:mm:ss", "dateFormat": "yyyy-MM-dd", "ignoreNullFields": "false"}
     return df.select(F.to_json(fields, options).alias("json"))
 
 
