@@ -135,7 +135,7 @@ def lookup_queries() -> dict[str, Query]:
         "search_vehicles": lambda s, d: L.search_vehicles(*_fleet(s, d), "RiNg"),
         "available_vehicles": lambda s, d: L.available(*_fleet(s, d), location=4, category="ECONOMY"),
         "available_vehicles_all": lambda s, d: L.available(*_fleet(s, d)),
-        "rental_by_id": lambda s, d: L.rental_by_id(_booked(s, d), *_view(s, d), 97),
+        "rental_by_id": lambda s, d: L.rental_by_id(_booked(s, d), *_view(s, d), 13),
         "rule_violations": _rule_violations,
         "duplicate_keys": lambda s, d: C.check_unique(A.rentals(s, d), ["order_id", "line_number"]),
         "vehicle_availability": lambda s, d: L.vehicle_availability(*_fleet(s, d), AS_OF),

@@ -139,8 +139,8 @@ def with_views(text: str) -> str:
 
 def quotient(top: str, bottom: str, factor: int = 1, digits: int = 2) -> str:
     """top * factor / bottom rounded half up, from whole cents; null when the bottom is zero."""
-    n = f"(CAST(({top}) * 100 AS HUGEINT) * {factor * 10 ** digits})"
-    d = f"CAST(({bottom}) * 100 AS HUGEINT)"
+    n = f"(CAST(CAST({top} AS DECIMAL(38,2)) * 100 AS HUGEINT) * {factor * 10 ** digits})"
+    d = f"CAST(CAST({bottom} AS DECIMAL(38,2)) * 100 AS HUGEINT)"
     return (f"(sign({n}) * sign({d}) * CAST((2 * abs({n}) + abs({d})) // NULLIF(2 * abs({d}), 0) AS DOUBLE) "
             f"/ {10 ** digits}.0)")
 
@@ -404,7 +404,7 @@ LOOKUPS = {
         SELECT rental_id, rental_ref, r.customer_id, {FULL_NAME} AS customer_name, r.vehicle_id, {INFO} AS vehicle_info,
                p.location_name AS pickup_location_name, q.location_name AS dropoff_location_name, actual_pickup,
                actual_dropoff, CAST(total_charge AS DOUBLE) AS total_charge, r.status
-          FROM {NAMED} WHERE rental_id = 97""",
+          FROM {NAMED} WHERE rental_id = 13""",
     "rule_violations": " UNION ALL ".join([
         _rule("status_list", "status NOT IN ('ACTIVE', 'COMPLETED', 'DISPUTED')"),
         _rule("fuel_out_range", "fuel_level_out NOT BETWEEN 0 AND 100"),
@@ -559,7 +559,7 @@ def _sevenths(days: str, week: int = 1, month: int = 1) -> str:
     monthly = f"COALESCE(monthly_rate, rate * 0.65 * {month})"
     return f"""CAST(CASE WHEN {days} >= 28 THEN {days} // 28 * 7 * {monthly} + {days} % 28 * {weekly}
                     WHEN {days} >= 7 THEN {days} // 7 * 7 * {weekly} + {days} % 7 * 7 * rate
-                    ELSE {days} * 7 * rate END AS DECIMAL(18,4))"""
+                    ELSE {days} * 7 * rate END AS DECIMAL(28,4))"""
 
 
 def _priced(source: str, end: str = "dropoff_date", week: int = 1, month: int = 1) -> str:
@@ -659,13 +659,13 @@ RULES = {
 
 STATS = "COUNT(*) AS n, SUM(total_charge) AS total, MAX(actual_pickup) AS latest"
 EVENTS = """(
-    SELECT vehicle_id, actual_pickup AS at, 'START' AS event, rental_ref || '-A' AS seq, CAST(NULL AS BIGINT) AS odometer FROM rentals
+    SELECT vehicle_id, actual_pickup AS happened, 'START' AS event, rental_ref || '-A' AS seq, CAST(NULL AS BIGINT) AS odometer FROM rentals
     UNION ALL SELECT vehicle_id, actual_dropoff, 'COMPLETE', rental_ref || '-B', CASE WHEN line_number <> 7 THEN odometer_in END
       FROM rentals WHERE status = 'COMPLETED'
     UNION ALL SELECT vehicle_id, actual_dropoff, 'MAINTENANCE', rental_ref || '-C', NULL FROM rentals WHERE status = 'DISPUTED')"""
 VEHICLE_STATE = f"""
-    WITH marked AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY vehicle_id ORDER BY at DESC, seq DESC) AS k FROM {EVENTS}),
-         readings AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY vehicle_id ORDER BY at DESC, seq DESC) AS k FROM {EVENTS}
+    WITH marked AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY vehicle_id ORDER BY happened DESC, seq DESC) AS k FROM {EVENTS}),
+         readings AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY vehicle_id ORDER BY happened DESC, seq DESC) AS k FROM {EVENTS}
                     WHERE odometer IS NOT NULL)
     SELECT v.vehicle_id, COALESCE(CASE m.event WHEN 'START' THEN 'RENTED' WHEN 'COMPLETE' THEN 'AVAILABLE' ELSE m.event END, v.status) AS status,
            COALESCE(r.odometer, mileage) AS mileage
