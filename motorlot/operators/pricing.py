@@ -93,13 +93,13 @@ def apply_promo(priced: DataFrame, promos: DataFrame, as_of: datetime) -> DataFr
     ).drop("discount_type", "discount_value")
 
 
-def apply_loyalty(priced: DataFrame, customers: DataFrame) -> DataFrame:
+def apply_loyalty(priced: DataFrame, customers: DataFrame, how: str = "inner") -> DataFrame:
     """Add ``tier`` and ``cost``, the price less the discount of the customer's tier."""
     percent = F.lit(0)
     for name, share in TIER_DISCOUNT.items():
         percent = F.when(F.col("tier") == name, share).otherwise(percent)
     tiers = customers.select("customer_id", tier(F.col("loyalty_points")).alias("tier"))
-    return priced.join(tiers, "customer_id").withColumn("cost", ratio(F.col("price") * (F.lit(100) - percent), F.lit(100)))
+    return priced.join(tiers, "customer_id", how).withColumn("cost", ratio(F.col("price") * (F.lit(100) - percent), F.lit(100)))
 
 
 def check_promos(requests: DataFrame, promos: DataFrame, as_of: datetime) -> DataFrame:

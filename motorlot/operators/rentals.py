@@ -37,18 +37,16 @@ def grant_in_order(requests: DataFrame, order: str) -> DataFrame:
 
     Two requests overlap when they share a vehicle day. In every round the open request that is
     first on all of its days is granted, because nothing before it can still take them; open
-    requests on granted days fall out. The result equals the sequential one, the work per round
-    is two aggregations, and busy vehicles are spread over their days.
+    requests on granted days fall out. The result equals the sequential one, and a busy vehicle is
+    spread over its days.
     """
-    columns = requests.columns
+    lengths = checkpointed(requests.select(order, F.datediff("dropoff_date", "pickup_date").alias("_days")))
     open_slots = checkpointed(day_slots(requests, order))
     granted = None
     while True:
-        first = open_slots.groupBy("vehicle_id", "day").agg(F.min(order).alias("_first"))
-        wins = open_slots.join(first, ["vehicle_id", "day"]).groupBy(order).agg(
-            F.min(F.col("_first") == F.col(order)).alias("_wins")
-        )
-        won = checkpointed(wins.where("_wins").select(order))
+        first = open_slots.groupBy("vehicle_id", "day").agg(F.min(order).alias(order))
+        leads = first.groupBy(order).agg(F.count(F.lit(1)).alias("_led"))
+        won = checkpointed(leads.join(lengths, order).where(F.col("_led") == F.col("_days")).select(order))
         if won.isEmpty():
             break
         granted = won if granted is None else granted.unionByName(won)
@@ -57,11 +55,65 @@ def grant_in_order(requests: DataFrame, order: str) -> DataFrame:
         open_slots = checkpointed(open_slots.join(losers, order, "left_anti"))
     if granted is None:
         return requests.limit(0)
-    return requests.join(granted, order, "left_semi").select(columns)
+    return requests.join(granted, order, "left_semi").select(*requests.columns)
 
 
-def decide_reservations(requests: DataFrame, existing: DataFrame, customers: DataFrame, vehicles: DataFrame,
-                        rates: DataFrame, promos: DataFrame, as_of: datetime, order: str) -> DataFrame:
+# A vehicle with at most this many bookings and requests is decided in one row.
+FOLD_ROWS = 2000
+
+
+def clash_flags(requests: DataFrame, existing: DataFrame, order: str, fold_rows: int = FOLD_ROWS) -> DataFrame:
+    """(order, clash): whether a request overlaps an existing booking or an earlier accepted request.
+
+    ``able`` tells whether a request would be accepted but for a clash. The outcome of a request
+    hangs on the ones before it, so bookings of a vehicle are folded in order; vehicles with too
+    many of them for one row are decided by ``grant_in_order`` instead.
+    """
+    spans = ["vehicle_id", F.col("pickup_date").alias("s"), F.col("dropoff_date").alias("e")]
+    held = existing.where(F.col("pickup_date") < F.col("dropoff_date"))
+    asked = requests.where(F.col("pickup_date") < F.col("dropoff_date"))
+    rows = held.select(*spans, F.lit(False).alias("asks"), F.lit(None).cast(requests.schema[order].dataType).alias("o"),
+                       F.lit(True).alias("able")).unionByName(
+        asked.select(*spans, F.lit(True).alias("asks"), F.col(order).alias("o"), "able"))
+    busy = checkpointed(rows.groupBy("vehicle_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > fold_rows).select("vehicle_id"))
+    if busy.isEmpty():
+        return _folded(rows, order)
+    few = _folded(rows.join(busy, "vehicle_id", "left_anti"), order)
+    many = _by_days(asked.join(busy, "vehicle_id", "left_semi"), held.join(busy, "vehicle_id", "left_semi"), order)
+    return few.unionByName(many)
+
+
+def _folded(rows: DataFrame, order: str) -> DataFrame:
+    entry = F.struct("asks", "o", "s", "e", "able")
+    lined = rows.groupBy("vehicle_id").agg(F.array_sort(F.collect_list(entry)).alias("line"))
+    kind = lined.schema["line"].dataType.elementType.simpleString().replace("struct<", "struct<clash:boolean,", 1)
+
+    def step(done, x):
+        hit = F.exists(done, lambda h: h["able"] & ~h["clash"] & (h["s"] < x["e"]) & (h["e"] > x["s"]))
+        return F.array_append(done, F.struct(
+            (x["asks"] & hit).alias("clash"), *[x[c].alias(c) for c in ("asks", "o", "s", "e", "able")]))
+
+    done = F.aggregate("line", F.array().cast(f"array<{kind}>"), step)
+    return lined.select(F.explode(done).alias("d")).where("d.asks").select(F.col("d.o").alias(order), F.col("d.clash").alias("clash"))
+
+
+def _by_days(requests: DataFrame, existing: DataFrame, order: str) -> DataFrame:
+    requests = checkpointed(requests)
+    booked = day_slots(existing).distinct()
+    blocked = day_slots(requests, order).join(booked, ["vehicle_id", "day"], "left_semi").select(order).distinct()
+    free = requests.where("able").join(blocked, order, "left_anti")
+    granted = grant_in_order(free.select(order, "vehicle_id", "pickup_date", "dropoff_date"), order)
+    # A day is held by a booking from the start, or by the one request granted on it.
+    holders = booked.withColumn("_holder", F.lit(None).cast(requests.schema[order].dataType)).unionByName(
+        day_slots(granted, order).withColumnRenamed(order, "_holder"))
+    clashing = day_slots(requests, order).join(holders, ["vehicle_id", "day"]).where(
+        F.col("_holder").isNull() | (F.col("_holder") < F.col(order))
+    ).select(order).distinct().withColumn("_hit", F.lit(True))
+    return requests.join(clashing, order, "left").select(order, F.coalesce("_hit", F.lit(False)).alias("clash"))
+
+
+def decide_reservations(requests: DataFrame, existing: DataFrame, customers: DataFrame, rates: DataFrame,
+                        promos: DataFrame, as_of: datetime, order: str, fold_rows: int = FOLD_ROWS) -> DataFrame:
     """Accept or refuse each request, in ``order``.
 
     Checks in turn: dates, clash with a booking or with a request accepted earlier in the order,
@@ -73,31 +125,19 @@ def decide_reservations(requests: DataFrame, existing: DataFrame, customers: Dat
         "_dates_ok": F.col("dropoff_date") > F.col("pickup_date"),
         "_customer_ok": F.coalesce(F.col("_active") == "Y", F.lit(False)),
     })
-    checked = checkpointed(checked)
-    booked = day_slots(existing).distinct()
-    able = checked.where(F.col("_dates_ok") & F.col("_customer_ok") & (F.col("promo_check") == "OK"))
-    blocked = day_slots(able, order).join(booked, ["vehicle_id", "day"], "left_semi").select(order).distinct()
-    granted = checkpointed(grant_in_order(able.join(blocked, order, "left_anti"), order).select(order, "vehicle_id", "pickup_date", "dropoff_date"))
-
-    # A day is held by a booking from the start, or by the one request granted on it. Requests are
-    # matched to holders day by day, so a busy vehicle spreads over its days.
-    holders = booked.withColumn("_holder", F.lit(None).cast(requests.schema[order].dataType)).unionByName(
-        day_slots(granted, order).withColumnRenamed(order, "_holder")
-    )
-    clashing = day_slots(checked, order).join(holders, ["vehicle_id", "day"]).where(
-        F.col("_holder").isNull() | (F.col("_holder") < F.col(order))
-    ).select(order).distinct().withColumn("_clash", F.lit(True))
+    checked = checkpointed(checked.withColumn(
+        "able", F.col("_dates_ok") & F.col("_customer_ok") & (F.col("promo_check") == "OK")))
+    flags = clash_flags(checked.select(order, "vehicle_id", "pickup_date", "dropoff_date", "able"), existing, order, fold_rows)
     reason = (
-        F.when(~F.col("_dates_ok"), "INVALID_DATES").when(F.col("_clash"), "VEHICLE_UNAVAILABLE")
+        F.when(~F.col("_dates_ok"), "INVALID_DATES").when(F.col("clash"), "VEHICLE_UNAVAILABLE")
         .when(~F.col("_customer_ok"), "CUSTOMER_NOT_FOUND").when(F.col("promo_check") != "OK", F.col("promo_check"))
     )
-    decided = checked.join(clashing, order, "left").withColumn("reason", reason)
-    costs = apply_loyalty(apply_promo(price(
-        decided.where(F.col("reason").isNull()).select(order, "vehicle_id", "customer_id", "pickup_date", "dropoff_date", "promo_code"),
-        rates, "pickup_date", "dropoff_date"), promos, as_of), customers).select(order, F.col("cost").alias("estimated_cost"))
-    return decided.join(costs, order, "left").select(
+    decided = checked.join(flags, order, "left").withColumn("reason", reason)
+    priced = apply_promo(price(decided, rates, "pickup_date", "dropoff_date"), promos, as_of)
+    return apply_loyalty(priced, customers, "left").select(
         order, "customer_id", "vehicle_id", "pickup_date", "dropoff_date", "promo_code",
-        F.when(F.col("reason").isNull(), "CONFIRMED").otherwise("REFUSED").alias("decision"), "reason", "estimated_cost",
+        F.when(F.col("reason").isNull(), "CONFIRMED").otherwise("REFUSED").alias("decision"), "reason",
+        F.when(F.col("reason").isNull(), F.col("cost")).alias("estimated_cost"),
     )
 
 

@@ -192,7 +192,7 @@ def _promo_priced(s: SparkSession, d: str) -> DataFrame:
 def _decisions(s: SparkSession, d: str) -> DataFrame:
     return Q.decide_reservations(
         A.requests(s, d), A.rentals(s, d, "DISPUTED").select("vehicle_id", "pickup_date", "dropoff_date"),
-        A.customers(s, d), A.vehicles(s, d), _rates(s, d), A.promo_codes(s), AS_OF, "rental_ref")
+        A.customers(s, d), _rates(s, d), A.promo_codes(s), AS_OF, "rental_ref")
 
 
 def _settled(s: SparkSession, d: str) -> DataFrame:
