@@ -74,11 +74,12 @@ def closure(edges: DataFrame) -> DataFrame:
     step = checkpointed(edges.select("src", "dst").distinct())
     hop = step.select(F.col("src").alias("dst"), F.col("dst").alias("next"))
     known, fresh = step, step
-    while not fresh.isEmpty():
+    while True:
         reached = fresh.join(hop, "dst").select("src", F.col("next").alias("dst")).distinct()
         fresh = checkpointed(reached.join(known, ["src", "dst"], "left_anti"))
-        known = checkpointed(known.unionByName(fresh))
-    return known
+        if fresh.isEmpty():
+            return known
+        known = known.unionByName(fresh)
 
 
 def chain_depth(edges: DataFrame) -> DataFrame:

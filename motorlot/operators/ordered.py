@@ -14,7 +14,7 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import StringType
 
-from motorlot.session import TASK_ROWS
+from motorlot.session import TASK_ROWS, checkpointed
 
 MAX_RANGES = 8192
 SAMPLE_PER_RANGE = 16
@@ -110,6 +110,8 @@ def ordered_scan(
     ranks: bool = True,
     task_rows: int = TASK_ROWS,
     ranges: int | None = None,
+    sizes: tuple[int, int] | None = None,
+    costly: bool = False,
 ) -> DataFrame:
     """Add ordered columns to every row of each ``partition`` group (the whole table if empty).
 
@@ -121,14 +123,19 @@ def ordered_scan(
     * ``run_<c>`` and ``total_<c>`` for each of ``sums``; ``first_<c>`` and ``last_<c>`` for ``edges``
     * one column per ``neighbours`` entry, built over the ordered window; the expressions may look
       up to ``reach`` rows back or forward.
+
+    ``sizes`` hands over a known ``group_sizes`` result. ``costly`` marks an input that is dear to
+    compute again; it is checkpointed before a scan by ranges, which reads it three times.
     """
     neighbours = dict(neighbours or {})
-    rows, largest = group_sizes(df, partition)
+    rows, largest = sizes or group_sizes(df, partition)
     if largest <= task_rows:
         return _plain(df, order, tie, partition, sums, edges, neighbours, ranks)
     if ranges is None:
         shuffle = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         ranges = min(MAX_RANGES, max(shuffle, 2 * rows // max(task_rows, 1) + 1))
+    if costly:
+        df = checkpointed(df)
     return _by_range(df, order, tie, partition, sums, edges, neighbours, reach, ranks, rows, ranges)
 
 

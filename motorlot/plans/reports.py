@@ -13,7 +13,7 @@ from datetime import date, datetime
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from motorlot.functions.money import mean, ratio
-from motorlot.operators.ordered import cume_dist, ntile, ordered_scan, percent_rank
+from motorlot.operators.ordered import cume_dist, group_sizes, ntile, ordered_scan, percent_rank
 from motorlot.session import TASK_ROWS, checkpointed
 
 
@@ -111,14 +111,17 @@ def revenue_by_month(rentals: DataFrame, start: date, end: date) -> DataFrame:
 
 
 def _place_category_month(rentals, vehicles, locations) -> DataFrame:
-    """Finest groups of the location reports: (location, category, month)."""
+    """Finest groups of the location reports: (location, category, month).
+
+    Categories are few, so the fact rows shrink right after the vehicle join; places are named on the groups.
+    """
     fine = (
-        completed(rentals).groupBy("pickup_location", "vehicle_id", month_of("actual_dropoff").alias("month"))
+        completed(rentals).join(vehicles.select("vehicle_id", "category_name"), "vehicle_id")
+        .groupBy("pickup_location", "category_name", month_of("actual_dropoff").alias("month"))
         .agg(tally().alias("n"), F.sum("total_charge").alias("revenue"))
     )
     return (
-        fine.join(vehicles.select("vehicle_id", "category_name"), "vehicle_id")
-        .join(locations.select(F.col("location_id").alias("pickup_location"), "location_name"), "pickup_location")
+        fine.join(locations.select(F.col("location_id").alias("pickup_location"), "location_name"), "pickup_location")
         .groupBy("location_name", "category_name", "month")
         .agg(F.sum("n").alias("n"), F.sum("revenue").alias("revenue"))
     )
@@ -176,18 +179,23 @@ def revenue_cube(rentals: DataFrame, vehicles: DataFrame) -> DataFrame:
     )
 
 
+def _category_month(rentals: DataFrame, vehicles: DataFrame) -> DataFrame:
+    return (
+        completed(rentals).join(vehicles.select("vehicle_id", "category_name"), "vehicle_id")
+        .groupBy("category_name", month_of("actual_dropoff").alias("month"))
+        .agg(tally().alias("n"), F.sum("total_charge").alias("revenue"))
+    )
+
+
 def pivot_monthly(rentals: DataFrame, vehicles: DataFrame, months: Sequence[str]) -> DataFrame:
     """Revenue and count of each listed month as columns; a month without rentals counts 0.
 
-    Other months share one null cell, which keeps the row of a category that has only those.
+    A category whose rentals all lie in other months keeps its row.
     """
-    label = month_label("actual_dropoff")
-    fine = completed(rentals).groupBy("vehicle_id", F.when(label.isin(list(months)), label).alias("rev_month")).agg(
-        tally().alias("n"), F.sum("total_charge").alias("revenue")
+    fine = _category_month(rentals, vehicles)
+    cells = fine.withColumn("rev_month", month_label()).groupBy("category_name").pivot("rev_month", list(months)).agg(
+        F.sum("revenue").alias("revenue"), F.sum("n").alias("cnt")
     )
-    cells = fine.join(vehicles.select("vehicle_id", "category_name"), "vehicle_id").groupBy("category_name").pivot(
-        "rev_month", list(months)
-    ).agg(F.sum("revenue").alias("revenue"), F.sum("n").alias("cnt"))
     columns = []
     for m in months:
         name = datetime.strptime(m, "%Y-%m").strftime("%b_%Y").lower()
@@ -198,10 +206,7 @@ def pivot_monthly(rentals: DataFrame, vehicles: DataFrame, months: Sequence[str]
 
 def pivot_conditional(rentals: DataFrame, vehicles: DataFrame, months: Sequence[str]) -> DataFrame:
     """Pivot by conditional sums."""
-    fine = completed(rentals).groupBy("vehicle_id", month_of("actual_dropoff").alias("month")).agg(
-        F.sum("total_charge").alias("revenue")
-    )
-    fine = fine.join(vehicles.select("vehicle_id", "category_name"), "vehicle_id")
+    fine = _category_month(rentals, vehicles)
     sums = [
         F.sum(F.when(F.col("month") == F.lit(f"{m}-01").cast("date"), F.col("revenue")))
         .alias(datetime.strptime(m, "%Y-%m").strftime("%b").lower())
@@ -470,9 +475,11 @@ def customer_history(rentals: DataFrame, vehicles: DataFrame, customer_id: int |
         rows = rows.where(F.col("customer_id") == customer_id)
     rows = rows.select("customer_id", key, "vehicle_id", "actual_pickup", "actual_dropoff", "total_charge",
                        (-F.col("total_charge")).alias("_down"))
+    sizes = group_sizes(rows, ["customer_id"])
     spent = ordered_scan(rows, ["actual_pickup"], [key], ["customer_id"], sums=["total_charge"], ranks=False,
-                         task_rows=task_rows).select(*rows.columns, F.col("run_total_charge").alias("running_total"))
-    ranked = ordered_scan(spent, ["_down"], [key], ["customer_id"], task_rows=task_rows)
+                         task_rows=task_rows, sizes=sizes, costly=True)
+    spent = spent.select(*rows.columns, F.col("run_total_charge").alias("running_total"))
+    ranked = ordered_scan(spent, ["_down"], [key], ["customer_id"], task_rows=task_rows, sizes=sizes, costly=True)
     cars = vehicles.select("vehicle_id", F.concat_ws(" ", "make", "model").alias("vehicle"), "license_plate")
     return ranked.join(cars, "vehicle_id").select(
         "customer_id", key, "vehicle", "license_plate", "actual_pickup", "actual_dropoff", "total_charge",

@@ -45,6 +45,25 @@ def write_partitioned(df: DataFrame, bucket: Column, path: str, name: str = "buc
     spread.write.mode("overwrite").partitionBy(name).parquet(path)
 
 
+def buckets_between(low: int, high: int, cuts: Mapping[str, int] = MODEL_YEAR_CUTS, rest: str = MODEL_YEAR_OPEN) -> list[str]:
+    """Names of the range buckets that can hold values from low to high."""
+    names, floor = [], None
+    for name, cut in [*cuts.items(), (rest, None)]:
+        if (cut is None or low < cut) and (floor is None or high >= floor):
+            names.append(name)
+        floor = cut
+    return names
+
+
+def read_range(spark: SparkSession, path: str, schema, column: str, low: int, high: int, name: str = "bucket") -> DataFrame:
+    """Rows of a range-partitioned table between two values; other buckets are not listed for reading.
+
+    A filter on the value alone would read every bucket, since the bucket is derived from it.
+    """
+    table = spark.read.schema(schema).parquet(path)
+    return table.where(F.col(name).isin(buckets_between(low, high)) & F.col(column).between(low, high)).drop(name)
+
+
 def bucket_counts(df: DataFrame, bucket: Column) -> DataFrame:
     return df.groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("rows"))
 
