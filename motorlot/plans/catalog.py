@@ -28,15 +28,16 @@ def plain_types(df: DataFrame) -> DataFrame:
     """Money as doubles, whole numbers as longs and days as timestamps, as the check texts give them."""
     columns = []
     for field in df.schema.fields:
-        column = F.col(f"`{field.name}`")
+        name = f"`{field.name}`"
         if isinstance(field.dataType, T.DecimalType):
-            column = column.cast("double")
+            columns.append(f"cast({name} as double) as {name}")
         elif isinstance(field.dataType, (T.ByteType, T.ShortType, T.IntegerType)):
-            column = column.cast("long")
+            columns.append(f"cast({name} as bigint) as {name}")
         elif isinstance(field.dataType, T.DateType):
-            column = column.cast("timestamp_ntz")
-        columns.append(column.alias(field.name))
-    return df.select(*columns)
+            columns.append(f"cast({name} as timestamp_ntz) as {name}")
+        else:
+            columns.append(name)
+    return df.selectExpr(*columns)
 
 
 def report_queries() -> dict[str, Query]:

@@ -15,7 +15,7 @@ AS_OF = "2001-07-15"
 VIEWS = {
     "rentals": """
         SELECT l_orderkey * 10 + l_linenumber AS rental_id,
-               concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, strftime(l_shipdate, '%Y%m%d')) AS rental_ref,
+               concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(l_shipdate AS DATE)) AS rental_ref,
                l_orderkey AS order_id, CAST(l_linenumber AS BIGINT) AS line_number, l_partkey AS vehicle_id,
                l_suppkey AS pickup_location, l_partkey % 10 AS dropoff_location,
                l_shipdate - to_days(CAST(l_quantity AS INTEGER)) AS actual_pickup, l_shipdate AS actual_dropoff,

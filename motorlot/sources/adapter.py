@@ -6,9 +6,8 @@ Each function is a lazy projection of one or two stored tables; callers read onl
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from motorlot.functions.money import money
 from motorlot.sources.loaders import load
 
 # Rental status by line flag and by order flag.
@@ -21,12 +20,8 @@ PAYMENT_METHOD = {
 PAYMENT_STATUS = {"F": "COMPLETED", "O": "PENDING", "P": "REFUNDED"}
 
 
-def _lookup(column: str, pairs: dict[str, str]) -> Column:
-    result = None
-    for code, label in pairs.items():
-        test = F.col(column) == code
-        result = F.when(test, label) if result is None else result.when(test, label)
-    return result
+def _label(column: str, pairs: dict[str, str]) -> str:
+    return f"case {column} " + " ".join(f"when '{code}' then '{label}'" for code, label in pairs.items()) + " end"
 
 
 def _only(df: DataFrame, column: str, pairs: dict[str, str], status: str | None) -> DataFrame:
@@ -42,36 +37,36 @@ def rentals(spark: SparkSession, folder: str, status: str | None = None) -> Data
 
 
 def rentals_of(lines: DataFrame) -> DataFrame:
-    closed = F.col("l_returnflag") != "N"
-    days = F.col("l_quantity").cast("int")
-    base = money(F.col("l_extendedprice"))
-    fuel = money(F.round(base * F.col("l_tax").cast("decimal(4,2)"), 2))
-    damage = money(F.when(F.col("l_tax").cast("decimal(4,2)") == 0.08, 250).otherwise(0))
-    late = money(F.round(base * F.col("l_discount").cast("decimal(4,2)"), 2))
-    return lines.select(
-        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("rental_id"),
-        F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.date_format("l_shipdate", "yyyyMMdd"))
-        .alias("rental_ref"),
-        F.col("l_orderkey").alias("order_id"),
-        F.col("l_linenumber").cast("long").alias("line_number"),
-        F.col("l_partkey").alias("vehicle_id"),
-        F.col("l_suppkey").alias("pickup_location"),
-        (F.col("l_partkey") % 10).alias("dropoff_location"),
-        (F.col("l_shipdate") - F.make_dt_interval(days)).alias("actual_pickup"),
-        F.col("l_shipdate").alias("actual_dropoff"),
-        F.to_date(F.col("l_shipdate") - F.make_dt_interval(days)).alias("pickup_date"),
-        F.to_date("l_shipdate").alias("dropoff_date"),
-        (F.col("l_partkey") * 100).alias("odometer_out"),
-        F.when(closed, F.col("l_partkey") * 100 + days * 30).alias("odometer_in"),
-        F.lit(100).cast("long").alias("fuel_level_out"),
-        F.when(closed, 100 - F.col("l_linenumber").cast("long") * 5).alias("fuel_level_in"),
-        base.alias("base_charge"),
-        fuel.alias("fuel_charge"),
-        damage.alias("damage_charge"),
-        F.nullif(late, money(F.lit(0))).alias("late_fee"),
-        F.when(closed, money(base + fuel + damage + late)).alias("total_charge"),
-        _lookup("l_returnflag", LINE_STATUS).alias("status"),
-        F.when(F.col("l_tax").cast("decimal(4,2)") == 0.08, F.lit("scratched")).alias("damage_notes"),
+    base, tax, share = "cast(l_extendedprice as decimal(10,2))", "cast(l_tax as decimal(4,2))", "cast(l_discount as decimal(4,2))"
+    fuel = f"cast(round({base} * {tax}, 2) as decimal(10,2))"
+    damage = f"cast(if({tax} = 0.08, 250, 0) as decimal(10,2))"
+    late = f"cast(round({base} * {share}, 2) as decimal(10,2))"
+    days = "cast(l_quantity as int)"
+    pickup = f"l_shipdate - make_dt_interval({days})"
+    closed = "l_returnflag != 'N'"
+    return lines.selectExpr(
+        "l_orderkey * 10 + l_linenumber as rental_id",
+        "concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, cast(l_shipdate as date)) as rental_ref",
+        "l_orderkey as order_id",
+        "cast(l_linenumber as bigint) as line_number",
+        "l_partkey as vehicle_id",
+        "l_suppkey as pickup_location",
+        "l_partkey % 10 as dropoff_location",
+        f"{pickup} as actual_pickup",
+        "l_shipdate as actual_dropoff",
+        f"date_sub(cast(l_shipdate as date), {days}) as pickup_date",
+        "cast(l_shipdate as date) as dropoff_date",
+        "l_partkey * 100 as odometer_out",
+        f"if({closed}, l_partkey * 100 + {days} * 30, null) as odometer_in",
+        "cast(100 as bigint) as fuel_level_out",
+        f"if({closed}, 100 - cast(l_linenumber as bigint) * 5, null) as fuel_level_in",
+        f"{base} as base_charge",
+        f"{fuel} as fuel_charge",
+        f"{damage} as damage_charge",
+        f"nullif({late}, cast(0 as decimal(10,2))) as late_fee",
+        f"if({closed}, cast({base} + {fuel} + {damage} + {late} as decimal(10,2)), null) as total_charge",
+        f"{_label('l_returnflag', LINE_STATUS)} as status",
+        f"if({tax} = 0.08, 'scratched', null) as damage_notes",
     )
 
 
@@ -86,14 +81,10 @@ def with_customer(rows: DataFrame, spark: SparkSession, folder: str) -> DataFram
 def order_rentals(spark: SparkSession, folder: str, status: str | None = None) -> DataFrame:
     """Order-grain rentals with a unique ``rental_id``."""
     orders = _only(load(spark, folder, "orders"), "o_orderstatus", ORDER_STATUS, status)
-    return orders.select(
-        F.col("o_orderkey").alias("rental_id"),
-        F.col("o_custkey").alias("customer_id"),
-        F.col("o_orderdate").alias("actual_pickup"),
-        F.col("o_orderdate").alias("actual_dropoff"),
-        F.col("o_orderdate").alias("created_at"),
-        money(F.col("o_totalprice")).alias("total_charge"),
-        _lookup("o_orderstatus", ORDER_STATUS).alias("status"),
+    return orders.selectExpr(
+        "o_orderkey as rental_id", "o_custkey as customer_id", "o_orderdate as actual_pickup",
+        "o_orderdate as actual_dropoff", "o_orderdate as created_at", "cast(o_totalprice as decimal(10,2)) as total_charge",
+        f"{_label('o_orderstatus', ORDER_STATUS)} as status",
     )
 
 
@@ -102,54 +93,42 @@ def payments(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def payments_of(orders: DataFrame) -> DataFrame:
-    return orders.select(
-        F.col("o_orderkey").alias("payment_id"),
-        F.col("o_custkey").alias("customer_id"),
-        F.col("o_orderdate").alias("payment_date"),
-        money(F.col("o_totalprice")).alias("amount"),
-        _lookup("o_orderpriority", PAYMENT_METHOD).alias("payment_method"),
-        _lookup("o_orderstatus", PAYMENT_STATUS).alias("status"),
-        (F.lit(1) + (F.col("o_custkey") % 25) / F.lit(100)).cast("decimal(10,6)").alias("exchange_rate"),
+    return orders.selectExpr(
+        "o_orderkey as payment_id", "o_custkey as customer_id", "o_orderdate as payment_date",
+        "cast(o_totalprice as decimal(10,2)) as amount",
+        f"{_label('o_orderpriority', PAYMENT_METHOD)} as payment_method",
+        f"{_label('o_orderstatus', PAYMENT_STATUS)} as status",
+        "cast(1 + (o_custkey % 25) / 100 as decimal(10,6)) as exchange_rate",
     )
 
 
 def vehicles(spark: SparkSession, folder: str) -> DataFrame:
-    key = F.col("p_partkey")
-    fuel = F.element_at(F.array(*map(F.lit, ["GASOLINE", "DIESEL", "HYBRID", "ELECTRIC"])), F.col("p_size") % 4 + 1)
-    return load(spark, folder, "part").select(
-        key.alias("vehicle_id"),
-        F.col("p_type").alias("category_name"),
-        F.when(key % 7 != 0, key % 10).alias("location_id"),
-        F.col("p_brand").alias("make"),
-        F.col("p_name").alias("model"),
-        (F.col("p_size") % 15 + 2010).cast("long").alias("model_year"),
-        F.split("p_name", " ")[0].alias("color"),
-        F.concat(F.lit("PLT-"), F.lpad(key.cast("string"), 8, "0")).alias("license_plate"),
-        (key * 10 % 200000).alias("mileage"),
-        fuel.alias("fuel_type"),
-        F.when(F.col("p_size") % 2 == 0, "AUTOMATIC").otherwise("MANUAL").alias("transmission"),
-        F.col("p_size").cast("long").alias("seats"),
-        F.when(key % 10 == 0, "MAINTENANCE").when(key % 10 < 3, "RENTED").otherwise("AVAILABLE").alias("status"),
-        F.concat(F.split("p_name", " "), F.array("p_type")).alias("features"),
-        F.when(key % 5 == 0, money(F.round(money(F.col("p_retailprice")) * F.lit(0.05).cast("decimal(3,2)"), 2)))
-        .alias("daily_override"),
-        F.date_add(F.lit("2000-06-01").cast("date"), (key % 300).cast("int")).alias("last_service_date"),
-        F.when(key % 11 != 0, F.date_add(F.lit("2001-01-01").cast("date"), (key % 400).cast("int")))
-        .alias("insurance_expiry"),
-        F.when(key % 10 == 3, "N").otherwise("Y").alias("is_active"),
+    return load(spark, folder, "part").selectExpr(
+        "p_partkey as vehicle_id", "p_type as category_name", "if(p_partkey % 7 != 0, p_partkey % 10, null) as location_id",
+        "p_brand as make", "p_name as model", "cast(p_size % 15 + 2010 as bigint) as model_year",
+        "split(p_name, ' ')[0] as color", "concat('PLT-', lpad(cast(p_partkey as string), 8, '0')) as license_plate",
+        "p_partkey * 10 % 200000 as mileage",
+        "case p_size % 4 when 0 then 'GASOLINE' when 1 then 'DIESEL' when 2 then 'HYBRID' else 'ELECTRIC' end as fuel_type",
+        "if(p_size % 2 = 0, 'AUTOMATIC', 'MANUAL') as transmission", "cast(p_size as bigint) as seats",
+        "case when p_partkey % 10 = 0 then 'MAINTENANCE' when p_partkey % 10 < 3 then 'RENTED' else 'AVAILABLE' end as status",
+        "concat(split(p_name, ' '), array(p_type)) as features",
+        "if(p_partkey % 5 = 0, cast(round(cast(p_retailprice as decimal(10,2)) * 0.05, 2) as decimal(10,2)), null) "
+        "as daily_override",
+        "date_add(date '2000-06-01', cast(p_partkey % 300 as int)) as last_service_date",
+        "if(p_partkey % 11 != 0, date_add(date '2001-01-01', cast(p_partkey % 400 as int)), null) as insurance_expiry",
+        "if(p_partkey % 10 = 3, 'N', 'Y') as is_active",
     )
 
 
 def categories(spark: SparkSession, folder: str) -> DataFrame:
     """One row per vehicle category; PROMO has neither a weekly nor a monthly rate."""
     top = load(spark, folder, "part").groupBy("p_type").agg(F.max("p_retailprice").alias("top"))
-    daily = money(F.round(money(F.col("top")) * F.lit(0.05).cast("decimal(3,2)"), 2))
-    flat = F.col("p_type") == "PROMO"
-    return top.select(
-        F.col("p_type").alias("category_name"),
-        daily.alias("daily_rate"),
-        F.when(~flat, money(daily * 6)).alias("weekly_rate"),
-        F.when(~flat, money(daily * 20)).alias("monthly_rate"),
+    rates = top.selectExpr(
+        "p_type as category_name", "cast(round(cast(top as decimal(10,2)) * 0.05, 2) as decimal(10,2)) as daily_rate")
+    return rates.selectExpr(
+        "category_name", "daily_rate",
+        "if(category_name != 'PROMO', cast(daily_rate * 6 as decimal(10,2)), null) as weekly_rate",
+        "if(category_name != 'PROMO', cast(daily_rate * 20 as decimal(10,2)), null) as monthly_rate",
     )
 
 
@@ -163,44 +142,32 @@ def locations(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def customers(spark: SparkSession, folder: str) -> DataFrame:
-    key = F.col("c_custkey")
-    last = F.split("c_name", "#")[1]
-    points = F.greatest(F.lit(0), F.floor(F.col("c_acctbal").cast("decimal(12,2)"))).cast("long")
-    return load(spark, folder, "customer").select(
-        key.alias("customer_id"),
-        F.split("c_name", "#")[0].alias("first_name"),
-        last.alias("last_name"),
-        F.when(key % 13 == 0, F.concat(F.lit("broken."), last))
-        .otherwise(F.concat(F.lower("c_mktsegment"), F.lit("."), last, F.lit("@example.com"))).alias("email"),
-        F.concat_ws("-", F.lit("DL"), F.col("c_nationkey"), last).alias("license_number"),
-        F.date_add(F.lit("2000-01-01").cast("date"), (key % 1000).cast("int")).alias("license_expiry"),
-        F.date_add(F.lit("1950-01-01").cast("date"), (key % 18000).cast("int")).alias("date_of_birth"),
-        F.when(key % 17 != 0, points).alias("loyalty_points"),
-        F.struct(F.col("c_mktsegment").alias("street"), F.concat(F.lit("City "), F.col("c_nationkey")).alias("city")).alias("address"),
-        F.when(key % 10 == 0, "N").otherwise("Y").alias("is_active"),
+    last = "split(c_name, '#')[1]"
+    return load(spark, folder, "customer").selectExpr(
+        "c_custkey as customer_id", "split(c_name, '#')[0] as first_name", f"{last} as last_name",
+        f"if(c_custkey % 13 = 0, concat('broken.', {last}), concat(lower(c_mktsegment), '.', {last}, '@example.com')) as email",
+        f"concat_ws('-', 'DL', c_nationkey, {last}) as license_number",
+        "date_add(date '2000-01-01', cast(c_custkey % 1000 as int)) as license_expiry",
+        "date_add(date '1950-01-01', cast(c_custkey % 18000 as int)) as date_of_birth",
+        "if(c_custkey % 17 != 0, cast(greatest(0, floor(cast(c_acctbal as decimal(12,2)))) as bigint), null) as loyalty_points",
+        "named_struct('street', c_mktsegment, 'city', concat('City ', c_nationkey)) as address",
+        "if(c_custkey % 10 = 0, 'N', 'Y') as is_active",
     )
 
 
 def maintenance(spark: SparkSession, folder: str) -> DataFrame:
-    lines = load(spark, folder, "lineitem").where(F.col("l_returnflag") == "A")
-    return lines.select(
-        F.col("l_partkey").alias("vehicle_id"),
-        money(F.round(money(F.col("l_extendedprice")) * F.lit(0.05).cast("decimal(3,2)"), 2)).alias("cost"),
-        F.when(F.col("l_linestatus") == "F", "COMPLETED").otherwise("SCHEDULED").alias("status"),
-        F.col("l_shipdate").alias("start_date"),
+    return load(spark, folder, "lineitem").where(F.col("l_returnflag") == "A").selectExpr(
+        "l_partkey as vehicle_id", "cast(round(cast(l_extendedprice as decimal(10,2)) * 0.05, 2) as decimal(10,2)) as cost",
+        "if(l_linestatus = 'F', 'COMPLETED', 'SCHEDULED') as status", "l_shipdate as start_date",
     )
 
 
 def history(spark: SparkSession, folder: str) -> DataFrame:
     """Row changes over time: a signup inserts the row, an error deletes it, anything else updates it."""
-    return load(spark, folder, "events").select(
-        F.col("user_id").alias("row_key"),
-        F.col("event_id").alias("seq"),
-        F.col("ts").alias("changed_at"),
-        F.when(F.col("event_type") == "signup", "INSERT").when(F.col("event_type") == "error", "DELETE")
-        .otherwise("UPDATE").alias("operation"),
-        F.col("event_type").alias("state"),
-        F.col("value").cast("decimal(10,2)").alias("amount"),
+    return load(spark, folder, "events").selectExpr(
+        "user_id as row_key", "event_id as seq", "ts as changed_at",
+        "case event_type when 'signup' then 'INSERT' when 'error' then 'DELETE' else 'UPDATE' end as operation",
+        "event_type as state", "cast(value as decimal(10,2)) as amount",
     )
 
 
