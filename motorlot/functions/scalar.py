@@ -86,9 +86,12 @@ def age(born: Column, as_of: Column) -> Column:
 
 
 def elapsed_hours(start: Column, as_of: datetime, digits: int = 1) -> Column:
-    """Hours up to ``as_of``, from whole microseconds."""
-    micros = F.unix_micros(F.lit(f"{as_of}").cast("timestamp_ntz").cast("timestamp")) - F.unix_micros(start.cast("timestamp"))
-    return F.round(micros.cast("decimal(20,0)") / F.lit(3_600_000_000).cast("decimal(12,0)"), digits)
+    """Hours up to ``as_of``. Taken from the interval, so no session time zone plays a part."""
+    gap = F.lit(str(as_of)).cast("timestamp_ntz") - start
+    parts = [F.extract(F.lit(unit), gap).cast("decimal(16,6)") * seconds
+             for unit, seconds in (("DAY", 86400), ("HOUR", 3600), ("MINUTE", 60), ("SECOND", 1))]
+    total = (parts[0] + parts[1] + parts[2] + parts[3]).cast("decimal(18,6)")
+    return F.round(total / F.lit(3600).cast("decimal(4,0)"), digits)
 
 
 def nth_position(column: Column, part: str, n: int) -> Column:
