@@ -618,9 +618,9 @@ RULES = {
                      FROM priced r LEFT JOIN promo_codes m ON r.promo_code = m.promo_code
                      LEFT JOIN customers c ON r.customer_id = c.customer_id),
         walk AS (
-            SELECT vehicle_id, CAST(0 AS BIGINT) AS k, CAST(NULL AS VARCHAR) AS rental_ref, CAST(NULL AS BOOLEAN) AS clash,
-                   COALESCE(list({{'s': pickup_date, 'e': dropoff_date}}), []) AS spans
-              FROM rentals WHERE status = 'DISPUTED' GROUP BY vehicle_id
+            SELECT v.vehicle_id, CAST(0 AS BIGINT) AS k, CAST(NULL AS VARCHAR) AS rental_ref, CAST(NULL AS BOOLEAN) AS clash,
+                   COALESCE(list({{'s': pickup_date, 'e': dropoff_date}}) FILTER (pickup_date IS NOT NULL), []) AS spans
+              FROM vehicles v LEFT JOIN rentals r ON v.vehicle_id = r.vehicle_id AND r.status = 'DISPUTED' GROUP BY v.vehicle_id
             UNION ALL
             SELECT j.vehicle_id, j.k, j.rental_ref,
                    len(list_filter(w.spans, lambda x: x.s < j.dropoff_date AND x.e > j.pickup_date)) > 0,
