@@ -12,11 +12,12 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import BooleanType, IntegerType, StructType
 
 from motorlot.session import TASK_ROWS, checkpointed
 
 MAX_RANGES = 8192
+FAN = 24
 SAMPLE_PER_RANGE = 16
 HASH_SPACE = 1 << 40
 
@@ -25,40 +26,15 @@ def _ascending(names: Sequence[str]) -> list[Column]:
     return [F.col(n).asc_nulls_last() for n in names]
 
 
-def _literal(value, data_type) -> Column:
-    if value is None or isinstance(data_type, StringType):
-        return F.lit(value)
-    return F.lit(str(value)).cast(data_type)
-
-
-def _precedes(columns, cut, types) -> Column:
+def _precedes(columns: Sequence[Column], cut: Sequence[Column]) -> Column:
     """True when a row sorts before ``cut``, ascending with nulls last."""
     result = None
-    for column, value, data_type in reversed(list(zip(columns, cut, types))):
-        if value is None:
-            less = column.isNotNull()
-        else:
-            less = F.coalesce(column < _literal(value, data_type), F.lit(False))
-        if result is not None:
-            less = less | (column.eqNullSafe(_literal(value, data_type)) & result)
-        result = less
+    for column, value in reversed(list(zip(columns, cut))):
+        less = F.coalesce(column < value, column.isNotNull() & value.isNull())
+        result = less if result is None else less | (column.eqNullSafe(value) & result)
     return result
 
 
-def _range_column(columns, cuts, types) -> Column:
-    """Range number of a row by binary search over the cuts."""
-
-    def search(low: int, high: int) -> Column:
-        if low == high:
-            return F.lit(low)
-        middle = (low + high) // 2
-        return F.when(_precedes(columns, cuts[middle], types), search(low, middle)).otherwise(
-            search(middle + 1, high)
-        )
-
-    return search(0, len(cuts))
-
-
 def range_cuts(df: DataFrame, keys: Sequence[str], rows: int, ranges: int) -> list[tuple]:
     """At most ``ranges - 1`` key tuples that split the rows into ranges of similar size.
 
@@ -78,11 +54,52 @@ def range_cuts(df: DataFrame, keys: Sequence[str], rows: int, ranges: int) -> li
     return cuts[: ranges - 1]
 
 
+def _fan(cuts: list[tuple]) -> tuple[list[tuple], list[list[tuple]]]:
+    """Up to FAN - 1 evenly spaced pivots and the cuts left between them."""
+    if len(cuts) < FAN:
+        return cuts, [[] for _ in range(len(cuts) + 1)]
+    places = [len(cuts) * i // FAN for i in range(1, FAN)]
+    edges = [-1, *places, len(cuts)]
+    return [cuts[i] for i in places], [cuts[low + 1:high] for low, high in zip(edges, edges[1:])]
+
+
 def with_ranges(df: DataFrame, keys: Sequence[str], rows: int, ranges: int) -> DataFrame:
-    """Add ``_range``, the number of the key range a row belongs to."""
+    """Add ``_range``, a number that rises with the key range a row belongs to.
+
+    The range is searched level by level. A level joins the few pivots of the range found so far
+    (a broadcast table of at most MAX_RANGES / FAN rows) and finds the row's place among them.
+    """
     cuts = range_cuts(df, keys, rows, ranges)
-    types = [df.schema[k].dataType for k in keys]
-    return df.withColumn("_range", _range_column([F.col(k) for k in keys], cuts, types))
+    out = df.withColumn("_range", F.lit(0))
+    columns = [F.col(k) for k in keys]
+    open_ranges = {0: cuts}
+    while any(open_ranges.values()):
+        table, deeper = [], {}
+        for number, inside in open_ranges.items():
+            pivots, parts = _fan(inside)
+            flat = [number]
+            for i in range(FAN - 1):
+                flat += [i < len(pivots), *(pivots[i] if i < len(pivots) else [None] * len(keys))]
+            table.append(tuple(flat))
+            deeper.update({number * FAN + i: part for i, part in enumerate(parts)})
+        schema = StructType().add("_range", IntegerType())
+        for i in range(FAN - 1):
+            schema = schema.add(f"_on{i}", BooleanType())
+            for j, k in enumerate(keys):
+                schema = schema.add(f"_p{i}_{j}", df.schema[k].dataType)
+        pivots = df.sparkSession.createDataFrame(table, schema)
+
+        def search(low: int, high: int) -> Column:
+            if low == high:
+                return F.lit(low)
+            i = (low + high) // 2
+            before = ~F.col(f"_on{i}") | _precedes(columns, [F.col(f"_p{i}_{j}") for j in range(len(keys))])
+            return F.when(before, search(low, i)).otherwise(search(i + 1, high))
+
+        found = out.join(F.broadcast(pivots), "_range")
+        out = found.select(*df.columns, (F.col("_range") * FAN + search(0, FAN - 1)).alias("_range"))
+        open_ranges = deeper
+    return out
 
 
 def group_sizes(df: DataFrame, partition: Sequence[str]) -> tuple[int, int]:
