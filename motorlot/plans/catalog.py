@@ -137,6 +137,9 @@ def lookup_queries() -> dict[str, Query]:
         "available_vehicles": lambda s, d: L.available(*_fleet(s, d), location=4, category="ECONOMY"),
         "available_vehicles_all": lambda s, d: L.available(*_fleet(s, d)),
         "rental_by_id": lambda s, d: L.rental_by_id(_booked(s, d), *_view(s, d), 13),
+        "vehicle_by_id": lambda s, d: L.vehicle_by_id(*_fleet(s, d), 13),
+        "customer_by_id": lambda s, d: L.customer_by_id(A.customers(s, d), AS_OF, 20),
+        "list_customers_all": lambda s, d: L.list_customers(A.customers(s, d), AS_OF, active_only=False),
         "rule_violations": _rule_violations,
         "duplicate_keys": lambda s, d: C.check_unique(A.rentals(s, d), ["order_id", "line_number"]),
         "vehicle_availability": lambda s, d: L.vehicle_availability(*_fleet(s, d), AS_OF),

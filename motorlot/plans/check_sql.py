@@ -400,6 +400,9 @@ LOOKUPS = {
     "search_vehicles": FLEET + "(upper(make) LIKE '%RING%' OR upper(model) LIKE '%RING%' OR upper(license_plate) LIKE '%RING%')",
     "available_vehicles": FLEET + "status = 'AVAILABLE' AND v.location_id = 4 AND v.category_name = 'ECONOMY'",
     "available_vehicles_all": FLEET + "status = 'AVAILABLE'",
+    "vehicle_by_id": FLEET.replace("status,", "status, is_active,").replace("is_active = 'Y' AND", "") + "vehicle_id = 13",
+    "customer_by_id": PEOPLE.replace("is_active = 'Y'", "customer_id = 20"),
+    "list_customers_all": PEOPLE.replace("WHERE is_active = 'Y'", ""),
     "rental_by_id": f"""
         SELECT rental_id, rental_ref, r.customer_id, {FULL_NAME} AS customer_name, r.vehicle_id, {INFO} AS vehicle_info,
                p.location_name AS pickup_location_name, q.location_name AS dropoff_location_name, actual_pickup,

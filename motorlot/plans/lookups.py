@@ -56,6 +56,10 @@ def list_customers(customers: DataFrame, as_of: datetime, active_only: bool = Tr
     )
 
 
+def customer_by_id(customers: DataFrame, as_of: datetime, customer_id: int) -> DataFrame:
+    return list_customers(customers.where(F.col("customer_id") == customer_id), as_of, active_only=False)
+
+
 def search_customers(customers: DataFrame, keyword: str, as_of: datetime) -> DataFrame:
     rows = list_customers(customers, as_of)
     return rows.where(matches([F.col("full_name"), F.col("email"), F.col("license_number")], keyword))
@@ -69,8 +73,12 @@ def effective_rate() -> Column:
 
 def fleet(vehicles: DataFrame, categories: DataFrame, locations: DataFrame) -> DataFrame:
     """Vehicles in service with category, place (null when unplaced) and daily rate."""
+    return _placed(vehicles.where(F.col("is_active") == "Y"), categories, locations)
+
+
+def _placed(vehicles: DataFrame, categories: DataFrame, locations: DataFrame) -> DataFrame:
     places = locations.select("location_id", "location_name")
-    return vehicles.where(F.col("is_active") == "Y").join(
+    return vehicles.join(
         categories.select("category_name", F.col("daily_rate").alias("category_rate")), "category_name"
     ).join(places, "location_id", "left").withColumn("daily_rate", F.coalesce("daily_override", "category_rate"))
 
@@ -95,6 +103,11 @@ def search_vehicles(vehicles, categories, locations, keyword: str) -> DataFrame:
     return fleet(vehicles.where(hit), categories, locations).select(*FLEET_COLUMNS)
 
 
+def vehicle_by_id(vehicles, categories, locations, vehicle_id: int) -> DataFrame:
+    """One vehicle, in service or not."""
+    return _placed(vehicles.where(F.col("vehicle_id") == vehicle_id), categories, locations).select(*FLEET_COLUMNS, "is_active")
+
+
 def vehicle_availability(vehicles, categories, locations, as_of: datetime) -> DataFrame:
     """Fleet list with insurance state; an unknown expiry counts as valid."""
     lapsed = F.col("insurance_expiry") < F.lit(str(as_of)).cast("timestamp_ntz")
