@@ -6,6 +6,8 @@ from datetime import date
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from motorlot.session import checkpointed
+
 
 def overlaps(start: str, end: str, other_start: Column, other_end: Column) -> Column:
     return (F.col(start) < other_end) & (F.col(end) > other_start)
@@ -33,11 +35,12 @@ def clash_counts(bookings: DataFrame, key: str, start: str, end: str) -> DataFra
         .groupBy(key, "_day").agg(F.sum("_in").alias("_in"), F.sum("_out").alias("_out"))
     )
     days = Window.partitionBy(key).orderBy("_day")
-    counts = marks.select(
+    # Checkpointed because both joins below read it.
+    counts = checkpointed(marks.select(
         key, "_day",
         F.coalesce(F.sum("_in").over(days.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_started"),
         F.sum("_out").over(days.rowsBetween(Window.unboundedPreceding, 0)).alias("_ended"),
-    )
+    ))
     at_end = counts.select(key, F.col("_day").alias(end), "_started")
     at_start = counts.select(key, F.col("_day").alias(start), "_ended")
     return (
