@@ -240,10 +240,12 @@ REPORTS = {
                          FROM rentals r JOIN vehicles v ON r.vehicle_id = v.vehicle_id WHERE r.{DONE}
                         GROUP BY ALL),
              ranked AS (SELECT *, RANK() OVER (PARTITION BY category_name ORDER BY total_revenue DESC) AS cat_rank,
-                               SUM(total_revenue) OVER (PARTITION BY category_name) AS cat_revenue FROM named)
+                               SUM(total_revenue) OVER (PARTITION BY category_name) AS cat_revenue,
+                               SUM(rental_count) OVER (PARTITION BY category_name) AS cat_rentals FROM named)
         SELECT category_name, make || ' ' || model || ' (' || model_year || ')' AS vehicle, vehicle_id,
                {dbl('total_revenue', 'total_revenue')}, {big('rental_count', 'rental_count')},
-               {quotient('total_revenue', 'cat_revenue', 100)} AS pct_of_category, {big('cat_rank', 'cat_rank')}
+               {quotient('total_revenue', 'cat_revenue', 100)} AS pct_of_category, {big('cat_rank', 'cat_rank')},
+               {big('cat_rentals', 'cat_rentals')}
           FROM ranked WHERE cat_rank <= 3""",
     "top_n_with_ties": f"""
         SELECT vehicle_id, make, model, CAST(revenue AS DOUBLE) AS revenue FROM (

@@ -265,14 +265,16 @@ def top_vehicles_by_category(rentals: DataFrame, vehicles: DataFrame, top: int =
         F.sum("total_charge").alias("total_revenue"), tally().alias("rental_count")
     )
     named = revenue.join(vehicles.select("vehicle_id", "make", "model", "model_year", "category_name"), "vehicle_id")
-    totals = named.groupBy("category_name").agg(F.sum("total_revenue").alias("cat_revenue"))
+    # Both totals are kept, so this branch needs the same vehicle sums as the ranking and Spark reuses them.
+    totals = named.groupBy("category_name").agg(
+        F.sum("total_revenue").alias("cat_revenue"), F.sum("rental_count").alias("cat_rentals"))
     best = Window.partitionBy("category_name").orderBy(F.col("total_revenue").desc_nulls_last())
     ranked = named.withColumn("cat_rank", F.rank().over(best)).where(F.col("cat_rank") <= top)
     return ranked.join(totals, "category_name").select(
         "category_name",
         F.format_string("%s %s (%d)", "make", "model", "model_year").alias("vehicle"),
         "vehicle_id", "total_revenue", "rental_count",
-        ratio(F.col("total_revenue"), F.col("cat_revenue"), 100).alias("pct_of_category"), "cat_rank",
+        ratio(F.col("total_revenue"), F.col("cat_revenue"), 100).alias("pct_of_category"), "cat_rank", "cat_rentals",
     ).orderBy("category_name", "cat_rank", "vehicle_id")
 
 
@@ -325,10 +327,11 @@ def cohort_ltv(rentals: DataFrame) -> DataFrame:
     activity = rentals.groupBy("customer_id", month_of("actual_pickup").alias("month")).agg(
         F.sum(F.when(done, F.col("total_charge"))).alias("spend"), F.count(F.when(done, 1)).alias("n")
     )
-    first = activity.groupBy("customer_id").agg(F.min("month").alias("cohort_month"))
-    # (customer, month) is unique here, so counting rows counts distinct customers.
+    # A customer has one row per month here, so the window groups are small, and counting rows
+    # counts distinct customers.
+    first = F.min("month").over(Window.partitionBy("customer_id"))
     return (
-        activity.where(F.col("n") > 0).join(first, "customer_id")
+        activity.withColumn("cohort_month", first).where(F.col("n") > 0)
         .groupBy("cohort_month", F.months_between("month", "cohort_month").cast("long").alias("months_since_first"))
         .agg(tally().alias("active_customers"), F.sum("spend").alias("cohort_revenue"),
              ratio(F.sum("spend"), F.count("spend")).alias("avg_clv"))
