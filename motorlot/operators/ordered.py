@@ -17,7 +17,7 @@ from pyspark.sql.types import BooleanType, IntegerType, StructType
 from motorlot.session import TASK_ROWS, checkpointed
 
 MAX_RANGES = 8192
-FAN = 24
+FAN = 32
 SAMPLE_PER_RANGE = 16
 HASH_SPACE = 1 << 40
 
@@ -26,12 +26,12 @@ def _ascending(names: Sequence[str]) -> list[Column]:
     return [F.col(n).asc_nulls_last() for n in names]
 
 
-def _precedes(columns: Sequence[Column], cut: Sequence[Column]) -> Column:
-    """True when a row sorts before ``cut``, ascending with nulls last."""
+def _precedes(keys: Sequence[str], cut: Sequence[str]) -> str:
+    """SQL test that a row sorts before ``cut``, ascending with nulls last."""
     result = None
-    for column, value in reversed(list(zip(columns, cut))):
-        less = F.coalesce(column < value, column.isNotNull() & value.isNull())
-        result = less if result is None else less | (column.eqNullSafe(value) & result)
+    for key, value in reversed(list(zip(keys, cut))):
+        less = f"coalesce({key} < {value}, {key} is not null and {value} is null)"
+        result = less if result is None else f"({less} or ({key} <=> {value} and {result}))"
     return result
 
 
@@ -71,7 +71,7 @@ def with_ranges(df: DataFrame, keys: Sequence[str], rows: int, ranges: int) -> D
     """
     cuts = range_cuts(df, keys, rows, ranges)
     out = df.withColumn("_range", F.lit(0))
-    columns = [F.col(k) for k in keys]
+    names = [f"`{k}`" for k in keys]
     open_ranges = {0: cuts}
     while any(open_ranges.values()):
         table, deeper = [], {}
@@ -89,15 +89,16 @@ def with_ranges(df: DataFrame, keys: Sequence[str], rows: int, ranges: int) -> D
                 schema = schema.add(f"_p{i}_{j}", df.schema[k].dataType)
         pivots = df.sparkSession.createDataFrame(table, schema)
 
-        def search(low: int, high: int) -> Column:
+        def search(low: int, high: int) -> str:
             if low == high:
-                return F.lit(low)
+                return str(low)
             i = (low + high) // 2
-            before = ~F.col(f"_on{i}") | _precedes(columns, [F.col(f"_p{i}_{j}") for j in range(len(keys))])
-            return F.when(before, search(low, i)).otherwise(search(i + 1, high))
+            before = f"not _on{i} or {_precedes(names, [f'_p{i}_{j}' for j in range(len(keys))])}"
+            return f"case when {before} then {search(low, i)} else {search(i + 1, high)} end"
 
         found = out.join(F.broadcast(pivots), "_range")
-        out = found.select(*df.columns, (F.col("_range") * FAN + search(0, FAN - 1)).alias("_range"))
+        place = F.expr(f"_range * {FAN} + {search(0, FAN - 1)}")
+        out = found.select(*df.columns, place.alias("_range"))
         open_ranges = deeper
     return out
 
