@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from motorlot.llm import mixing, sharding, token_counts, url_rules, warc
+from motorlot.llm import decontamination, lines, mixing, sharding, token_counts, url_rules, warc
 from motorlot.llm.store import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,14 +29,22 @@ def op6_warc_derivatives(spark: SparkSession, folder: str) -> DataFrame:
     return warc.derived(warc.responses(table(spark, folder, "pages")))
 
 
+def op7_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontamination.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+def op9_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return lines.digest(lines.deduped(table(spark, folder, "documents")))
+
+
 def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.digest(table(spark, folder, "documents"))
 
 
 def queries() -> dict[str, Query]:
-    own = (op3_url_rules, op4_sharding, op5_token_counts, op6_warc_derivatives, op10_mixing)
+    own = (op3_url_rules, op4_sharding, op5_token_counts, op6_warc_derivatives, op7_decontamination, op9_line_dedup, op10_mixing)
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_url_rules": url_rules.SQL, "op10_mixing": mixing.SQL}
+    return {"op3_url_rules": url_rules.SQL, "op7_decontamination": decontamination.SQL, "op9_line_dedup": lines.SQL, "op10_mixing": mixing.SQL}
