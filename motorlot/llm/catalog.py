@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from motorlot.llm import decontamination, lines, mixing, sharding, token_counts, url_rules, warc
+from motorlot.llm import decontamination, lines, minhash, mixing, sharding, token_counts, url_rules, warc
 from motorlot.llm.store import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,6 +33,10 @@ def op7_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontamination.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+def op8_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, folder, "documents"))
+
+
 def op9_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return lines.digest(lines.deduped(table(spark, folder, "documents")))
 
@@ -42,7 +46,7 @@ def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    own = (op3_url_rules, op4_sharding, op5_token_counts, op6_warc_derivatives, op7_decontamination, op9_line_dedup, op10_mixing)
+    own = (op3_url_rules, op4_sharding, op5_token_counts, op6_warc_derivatives, op7_decontamination, op8_minhash_near_dedup, op9_line_dedup, op10_mixing)
     return {f.__name__: f for f in own}
 
 

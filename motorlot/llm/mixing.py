@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from motorlot.llm.store import NOT_BLANK
+from motorlot.llm.store import NOT_BLANK, saved
 
 MOST_REPEATS = 3
 WEIGHTS = (5, 2, 1)
@@ -48,12 +48,12 @@ def repeats(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOS
 
     rate = target / source_size, so copies never exceed `most`. A null source is a source of its own; null and empty
     texts have size 0 and follow their source's rate, or are taken once where all of the source is empty. Rows of one id
-    draw alike. Sizes are summed by source before any shuffle, and the table of sources, one row each, is joined back:
-    Spark broadcasts it only under its own size limit and otherwise splits the sources with many rows.
+    draw alike. Sizes are summed by source before any shuffle, and the table of sources, one row each, is written and
+    joined back: knowing its size, Spark broadcasts it below its own limit and otherwise splits the sources with many rows.
     """
     docs = docs.drop("size", "source_size", "target", "copies")
     sizes = docs.groupBy("source").agg(F.sum(word_count()).alias("source_size"))
-    targets = source_targets(sizes, weights, most).withColumnRenamed("source", "_source")
+    targets = saved(source_targets(sizes, weights, most).withColumnRenamed("source", "_source"), "targets")
     joined = docs.join(targets, docs["source"].eqNullSafe(targets["_source"]), "left").drop("_source")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(1.0))
     whole = F.floor(rate)
