@@ -7,12 +7,20 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from motorlot.llm import decontamination, lines, minhash, mixing, sharding, token_counts, url_rules, warc
+from motorlot.llm import decontamination, lines, minhash, mixing, quality, sharding, token_counts, url_rules, vectors, warc
 from motorlot.llm.store import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_cover_tree(spark: SparkSession, folder: str) -> DataFrame:
+    return vectors.near_vectors(table(spark, folder, "embeddings"))
+
+
+def op2_quality_votes(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.digest(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def op3_url_rules(spark: SparkSession, folder: str) -> DataFrame:
     return url_rules.judged(spark, table(spark, folder, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
@@ -46,9 +54,9 @@ def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    own = (op3_url_rules, op4_sharding, op5_token_counts, op6_warc_derivatives, op7_decontamination, op8_minhash_near_dedup, op9_line_dedup, op10_mixing)
+    own = (op1_cover_tree, op2_quality_votes, op3_url_rules, op4_sharding, op5_token_counts, op6_warc_derivatives, op7_decontamination, op8_minhash_near_dedup, op9_line_dedup, op10_mixing)
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_url_rules": url_rules.SQL, "op7_decontamination": decontamination.SQL, "op9_line_dedup": lines.SQL, "op10_mixing": mixing.SQL}
+    return {"op1_cover_tree": vectors.SQL, "op3_url_rules": url_rules.SQL, "op7_decontamination": decontamination.SQL, "op9_line_dedup": lines.SQL, "op10_mixing": mixing.SQL}
