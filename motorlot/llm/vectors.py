@@ -177,7 +177,7 @@ def traversed(left: Tree, right: Tree | None, cosine: float) -> tuple[np.ndarray
             on = ~inside & (d <= reach + wide + SLACK)
             next_p.append(a[on])
             next_q.append(b[on])
-        if leaf:
+        if leaf or not next_p:
             break
         p, q = np.concatenate(next_p), np.concatenate(next_q)
         above_l, above_r = sl, sr
