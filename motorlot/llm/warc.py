@@ -106,15 +106,15 @@ def as_batch(rows: list[tuple], key_type: pa.DataType) -> pa.RecordBatch:
 
 
 def record_text() -> Column:
-    """A record as it stands in a file."""
+    """A record as it stands in a file, but for the line end behind it."""
     line = lambda name, column: F.when(F.col(column).isNotNull(), F.concat(F.lit(f"{name}: "), F.col(column).cast("string"), F.lit("\r\n"))).otherwise("")
     named = (("WARC-Type", "warc_type"), ("WARC-Record-ID", "record_id"), ("WARC-Refers-To", "refers_to"), ("WARC-Target-URI", "target_uri"), ("WARC-Date", "warc_date"), ("WARC-Block-Digest", "block_digest"), ("WARC-Payload-Digest", "payload_digest"), ("Content-Type", "content_type"), ("Content-Length", "content_length"))
-    return F.concat(F.lit("WARC/1.1\r\n"), *[line(n, c) for n, c in named], F.lit("\r\n"), "block", F.lit("\r\n\r\n"))
+    return F.concat(F.lit("WARC/1.1\r\n"), *[line(n, c) for n, c in named], F.lit("\r\n"), "block", F.lit("\r\n"))
 
 
 def write_records(records: DataFrame, folder: str, compression: str = "gzip") -> None:
     """WARC files under `folder`, one for each partition of records."""
-    records.select(record_text()).write.option("lineSep", "").option("compression", compression).text(folder)
+    records.select(record_text()).write.option("lineSep", "\r\n").option("compression", compression).text(folder)
 
 
 def read_records(spark: SparkSession, folder: str) -> DataFrame:
@@ -124,13 +124,16 @@ def read_records(spark: SparkSession, folder: str) -> DataFrame:
     such record passes as whole. Header names are matched in any case.
     """
     raw = spark.read.option("lineSep", "\r\n\r\nWARC/1.1\r\n").text(folder).where("length(value) > 0")
-    text = F.regexp_replace(F.regexp_replace("value", r"^WARC/1\.1\r\n", ""), r"\r\n\r\n\z", "")
-    parts = raw.select(text.alias("t")).withColumn("cut", F.instr("t", "\r\n\r\n")).withColumn("head", F.when(F.col("cut") > 0, F.substr("t", F.lit(1), F.col("cut") - 1)).otherwise(F.regexp_replace("t", r"\r\n\z", "")))
+    parts = raw.select(F.regexp_replace("value", r"^WARC/1\.1\r\n", "").alias("t")).withColumn("cut", F.instr("t", "\r\n\r\n"))
+    parts = parts.withColumn("head", F.when(F.col("cut") > 0, F.substr("t", F.lit(1), F.col("cut") - 1)).otherwise(F.col("t")))
     value = lambda name: F.nullif(F.regexp_extract("head", rf"(?im)^{name}: *(.*?)\r?$", 1), F.lit(""))
+    length, rest = value("Content-Length").cast("long"), F.when(F.col("cut") > 0, F.substr("t", F.col("cut") + 4)).otherwise("")
+    # The last record of a file still has the line ends behind it.
+    ended = (F.octet_length(rest) == length + 4) & F.endswith(rest, F.lit("\r\n\r\n"))
     out = parts.select(
         value("WARC-Record-ID").alias("record_id"), value("WARC-Type").alias("warc_type"), value("WARC-Refers-To").alias("refers_to"),
         value("WARC-Target-URI").alias("target_uri"), value("WARC-Date").alias("warc_date"), value("Content-Type").alias("content_type"),
-        F.when(F.col("cut") > 0, F.substr("t", F.col("cut") + 4)).otherwise("").alias("block"), value("WARC-Block-Digest").alias("block_digest"),
-        value("WARC-Payload-Digest").alias("payload_digest"), value("Content-Length").cast("long").alias("content_length"),
+        F.when(ended, F.substr(rest, F.lit(1), F.length(rest) - 4)).otherwise(rest).alias("block"), value("WARC-Block-Digest").alias("block_digest"),
+        value("WARC-Payload-Digest").alias("payload_digest"), length.alias("content_length"),
     )
     return out.withColumn("whole", F.coalesce(F.octet_length("block") == F.col("content_length"), F.lit(False)))
