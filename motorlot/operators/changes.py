@@ -24,12 +24,17 @@ def assign_keys(df: DataFrame, order: Sequence[str], name: str, start: int, task
 
 
 def merge_upsert(target: DataFrame, source: DataFrame, keys: Sequence[str], stamp: Mapping[str, Column] | None = None) -> DataFrame:
-    """Source rows replace target rows of the same key and new keys are added; ``stamp`` columns mark both."""
+    """Source rows replace target rows of the same key and new keys are added; ``stamp`` columns mark both.
+
+    A key that the source repeats fails the job, as it has no single new row.
+    """
     stamp = dict(stamp or {})
     values = [c for c in target.columns if c not in keys]
-    fresh = source.select(*keys, *[
-        (stamp[c] if c in stamp else F.col(c)).alias(f"_new_{c}") for c in values
-    ], F.lit(True).alias("_hit"))
+    stamped = source.select(*keys, *[(stamp[c] if c in stamp else F.col(c)).alias(f"_new_{c}") for c in values])
+    once = stamped.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("_n"), F.any_value(F.struct(*[f"_new_{c}" for c in values])).alias("_new"))
+    repeated = F.raise_error(F.concat(F.lit("repeated source key "), F.to_json(F.struct(*keys)))).cast("boolean")
+    fresh = once.select(*keys, "_new.*", F.when(F.col("_n") == 1, F.lit(True)).otherwise(repeated).alias("_hit"))
     merged = target.join(fresh, list(keys), "full_outer")
     return merged.select(*keys, *[
         F.when(F.col("_hit"), F.col(f"_new_{c}")).otherwise(F.col(c)).alias(c) for c in values
@@ -63,9 +68,14 @@ def vehicle_defaults() -> dict[str, Column]:
             "seats": F.lit(5).cast("long"), "status": F.lit("AVAILABLE"), "is_active": F.lit("Y")}
 
 
-def apply_updates(target: DataFrame, changes: DataFrame, key: str, columns: Sequence[str]) -> tuple[DataFrame, DataFrame]:
-    """(rows with the changed columns set, changes whose key is unknown). A null in a change sets null."""
-    fresh = changes.select(key, *[F.col(c).alias(f"_new_{c}") for c in columns], F.lit(True).alias("_hit"))
+def apply_updates(target: DataFrame, changes: DataFrame, key: str, columns: Sequence[str],
+                  order: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """(rows with the changed columns set, changes whose key is unknown). A null in a change sets null.
+
+    Of several changes of a key the last in ``order`` wins, of equal ones the one with the largest values.
+    """
+    last = F.max_by(F.struct(*[F.col(c).alias(f"_new_{c}") for c in columns]), F.struct(*order, *columns))
+    fresh = changes.groupBy(key).agg(last.alias("_new")).select(key, "_new.*", F.lit(True).alias("_hit"))
     after = target.join(fresh, key, "left").withColumns({
         c: F.when(F.col("_hit"), F.col(f"_new_{c}")).otherwise(F.col(c)) for c in columns
     }).select(*target.columns)
@@ -114,11 +124,12 @@ def snapshot_diff(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
 
 
 def number_text(column: Column) -> Column:
-    """Decimal text without trailing zeros."""
-    return F.regexp_replace(column.cast("string"), r"\.?0+$", "")
+    """Decimal text without zeros at the end of its fraction; whole numbers keep theirs."""
+    return F.regexp_replace(column.cast("string"), r"(?<=\.\d{0,40})0+$|\.0+$", "")
 
 
 def _image(side: str, names: Mapping[str, str]) -> Column:
+    # The labels amount, method and status are fixed values.
     parts = []
     for label, column in names.items():
         value = F.col(side)[column]

@@ -147,14 +147,21 @@ def ordered_scan(
     """
     neighbours = dict(neighbours or {})
     rows, largest = sizes or group_sizes(df, partition)
+    kinds = df.agg(*[F.sum(c).alias(c) for c in sums]).schema if sums else ()
+    typed = {f"{part}_{f.name}": f.dataType for f in kinds for part in ("run", "total")}
+
+    def same_types(out: DataFrame) -> DataFrame:
+        """Sums of both ways have the type of a plain sum."""
+        return out.withColumns({name: F.col(name).cast(kind) for name, kind in typed.items()})
+
     if largest <= task_rows:
-        return _plain(df, order, tie, partition, sums, edges, neighbours, ranks)
+        return same_types(_plain(df, order, tie, partition, sums, edges, neighbours, ranks))
     if ranges is None:
         shuffle = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         ranges = min(MAX_RANGES, max(shuffle, 2 * rows // max(task_rows, 1) + 1))
     if costly:
         df = checkpointed(df)
-    return _by_range(df, order, tie, partition, sums, edges, neighbours, reach, ranks, rows, ranges)
+    return same_types(_by_range(df, order, tie, partition, sums, edges, neighbours, reach, ranks, rows, ranges))
 
 
 def _plain(df, order, tie, partition, sums, edges, neighbours, ranks) -> DataFrame:

@@ -6,8 +6,6 @@ from datetime import date
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from motorlot.session import checkpointed
-
 
 def overlaps(start: str, end: str, other_start: Column, other_end: Column) -> Column:
     return (F.col(start) < other_end) & (F.col(end) > other_start)
@@ -24,30 +22,29 @@ def clash_counts(bookings: DataFrame, key: str, start: str, end: str) -> DataFra
 
     The number overlapping [s, e) is the number that start before e less the number that end by s.
     Both come from running counts over the days of a key, so no pairs are formed, and a busy key
-    costs one row per day. Bookings must not be empty (start < end).
+    costs one row per day. Bookings are reduced to their distinct spans before the counts are joined,
+    and each booking is joined once. Bookings must not be empty (start < end).
     """
     proper = F.col(start) < F.col(end)
+    spans = bookings.where(proper).groupBy(key, start, end).agg(F.count(F.lit(1)).alias("_n"))
     marks = (
-        bookings.where(proper).select(key, F.inline(F.array(
-            F.struct(F.col(start).alias("_day"), F.lit(1).alias("_in"), F.lit(0).alias("_out")),
-            F.struct(F.col(end).alias("_day"), F.lit(0).alias("_in"), F.lit(1).alias("_out")),
+        spans.select(key, F.inline(F.array(
+            F.struct(F.col(start).alias("_day"), F.col("_n").alias("_in"), F.lit(0).cast("long").alias("_out")),
+            F.struct(F.col(end).alias("_day"), F.lit(0).cast("long").alias("_in"), F.col("_n").alias("_out")),
         )))
         .groupBy(key, "_day").agg(F.sum("_in").alias("_in"), F.sum("_out").alias("_out"))
     )
     days = Window.partitionBy(key).orderBy("_day")
-    # Checkpointed because both joins below read it.
-    counts = checkpointed(marks.select(
+    counts = marks.select(
         key, "_day",
         F.coalesce(F.sum("_in").over(days.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_started"),
         F.sum("_out").over(days.rowsBetween(Window.unboundedPreceding, 0)).alias("_ended"),
-    ))
+    )
     at_end = counts.select(key, F.col("_day").alias(end), "_started")
     at_start = counts.select(key, F.col("_day").alias(start), "_ended")
-    return (
-        bookings.join(at_end, [key, end], "left").join(at_start, [key, start], "left")
-        .withColumn("clashes", F.when(proper, F.col("_started") - F.col("_ended") - 1))
-        .select(*bookings.columns, "clashes")
-    )
+    clashes = spans.join(at_end, [key, end]).join(at_start, [key, start]).select(
+        key, start, end, (F.col("_started") - F.col("_ended") - 1).alias("clashes"))
+    return bookings.join(clashes, [key, start, end], "left").select(*bookings.columns, "clashes")
 
 
 def clip_days(start: Column, end: Column, first: date, last: date) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -141,23 +142,49 @@ def decide_reservations(requests: DataFrame, existing: DataFrame, customers: Dat
     )
 
 
-def begin_rentals(reservations: DataFrame, requests: DataFrame, as_of: datetime, next_id: int,
-                  **scan) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Start rentals from confirmed reservations: (new rentals, reservations afterwards, refused requests)."""
+def begin_rentals(reservations: DataFrame, requests: DataFrame, vehicles: DataFrame, as_of: datetime, next_id: int,
+                  order: Sequence[str] = ("reservation_id", "odometer_out", "employee_out"),
+                  **scan) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Start rentals: (new rentals, reservations afterwards, vehicles afterwards, refused requests).
+
+    Requests are taken in ``order``. A reservation must be confirmed and starts once; a vehicle must be available and
+    takes one rental, the first. Refused requests have a reason: NOT_CONFIRMED (unknown, not confirmed or begun by an
+    earlier request) or NOT_AVAILABLE. The first request of a reservation and of a vehicle is a minimum that is taken
+    before the shuffle.
+    """
     confirmed = F.col("status") == "CONFIRMED"
-    started = requests.join(reservations.where(confirmed), "reservation_id")
+    place = F.struct(*order)
+    numbered = requests.withColumn("_place", place)
+    open_ = numbered.join(reservations.where(confirmed), "reservation_id").join(
+        vehicles.select("vehicle_id", F.col("status").alias("_state")), "vehicle_id", "left")
+    free = open_.where(F.col("_state") == "AVAILABLE")
+    # Requests of one reservation share its vehicle, so the first of the vehicle settles both.
+    first = free.groupBy("vehicle_id").agg(F.min("_place").alias("_first"))
+    copies = first.join(free, "vehicle_id").where(F.col("_first") == F.col("_place")).drop("_first", "_place", "_state")
+    started = checkpointed(copies.dropDuplicates(list(order)))
     keyed = assign_keys(started, ["reservation_id"], "rental_id", next_id, **scan)
     rentals = keyed.select(
         "rental_id", "reservation_id", "customer_id", "vehicle_id", "pickup_location", "dropoff_location",
         F.lit(str(as_of)).cast("timestamp_ntz").alias("actual_pickup"), "odometer_out", "employee_out",
         F.lit("ACTIVE").alias("status"),
     )
-    marks = requests.select("reservation_id", F.lit(True).alias("_begun"))
+    marks = started.select("reservation_id", F.lit(True).alias("_begun"))
     after = reservations.join(marks, "reservation_id", "left").withColumn(
-        "status", F.when(F.col("_begun") & confirmed, "COMPLETED").otherwise(F.col("status"))
+        "status", F.when(F.col("_begun"), "COMPLETED").otherwise(F.col("status"))
     ).drop("_begun")
-    refused = requests.join(reservations.where(confirmed).select("reservation_id"), "reservation_id", "left_anti")
-    return rentals, after, refused.withColumn("reason", F.lit("NOT_CONFIRMED"))
+    rented = started.select("vehicle_id", F.lit(True).alias("_rented"))
+    fleet = vehicles.join(rented, "vehicle_id", "left").withColumn(
+        "status", F.when(F.col("_rented"), "RENTED").otherwise(F.col("status"))
+    ).select(*vehicles.columns)
+    known = reservations.select("reservation_id", confirmed.alias("_confirmed"))
+    winners = started.select("reservation_id", F.struct(*order).alias("_won"))
+    judged = numbered.join(known, "reservation_id", "left").join(winners, "reservation_id", "left")
+    # Copies of the request that won are told apart by their number.
+    judged = judged.groupBy(*requests.columns, "_place", "_confirmed", "_won").agg(F.count(F.lit(1)).alias("_n"))
+    wins = F.coalesce(F.col("_won") == F.col("_place"), F.lit(False))
+    lost = judged.withColumn("_n", F.col("_n") - wins.cast("long")).where("_n > 0").withColumn("_k", F.explode(F.sequence(F.lit(1).cast("long"), "_n")))
+    reason = F.when(F.coalesce(F.col("_confirmed"), F.lit(False)) & F.col("_won").isNull(), "NOT_AVAILABLE").otherwise("NOT_CONFIRMED")
+    return rentals, after, fleet, lost.withColumn("reason", reason).select(*requests.columns, "reason")
 
 
 def fuel_charge(out: Column, back: Column) -> Column:
@@ -177,7 +204,8 @@ def settle(returns: DataFrame, rates: DataFrame, promos: DataFrame, as_of: datet
     """Charges of returned rentals.
 
     ``returns`` holds the open rental, its reservation's ``reserved_dropoff`` and ``promo_code`` (null
-    without one) and what was read at return. Late days cost the vehicle's own daily rate.
+    without one) and what was read at return. Late days cost the vehicle's own daily rate. Returns of
+    rentals that are not open are left to ``refused_returns``.
     """
     now = F.lit(str(as_of)).cast("timestamp_ntz")
     day = F.to_date(now)
@@ -194,3 +222,8 @@ def settle(returns: DataFrame, rates: DataFrame, promos: DataFrame, as_of: datet
     })
     total = F.coalesce("base_charge", F.lit(0)) + F.col("fuel_charge") + F.col("damage_charge") + F.col("late_fee")
     return charged.withColumn("total_charge", total.cast("decimal(18,2)"))
+
+
+def refused_returns(returns: DataFrame) -> DataFrame:
+    """Returns that settle nothing, because their rental is not open."""
+    return returns.where(~F.coalesce(F.col("status") == "ACTIVE", F.lit(False))).withColumn("reason", F.lit("NO_ACTIVE_RENTAL"))

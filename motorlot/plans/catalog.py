@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from motorlot.functions import scalar as S
 from motorlot.operators import changes as J, checks as C, hierarchy as H, overlap as O, pricing as P, rentals as Q
-from motorlot.plans import lookups as L, reports as R
+from motorlot.plans import lookups as L, reports as R, sql_api
 from motorlot.session import checkpoint_dir
 from motorlot.sources import adapter as A, loaders, sinks as K
 from motorlot.streaming import jobs
@@ -78,6 +78,13 @@ def report_queries() -> dict[str, Query]:
         "location_cumulative": lambda s, d: R.location_cumulative(A.rentals(s, d, done), A.locations(s, d)),
         "customer_history": lambda s, d: R.customer_history(
             A.with_customer(A.rentals(s, d, done), s, d), A.vehicles(s, d), key="rental_ref"),
+        # The same reports by ranges, the way of groups too large for a task.
+        "customer_spend_rank_ranged": lambda s, d: R.customer_spend_rank(
+            A.customers(s, d), A.order_rentals(s, d, done), task_rows=100),
+        "running_totals_ranged": lambda s, d: R.running_totals(A.order_rentals(s, d, done), task_rows=1000),
+        "charge_distribution_ranged": lambda s, d: R.charge_distribution(A.order_rentals(s, d, done), task_rows=1000),
+        "customer_history_ranged": lambda s, d: R.customer_history(
+            A.with_customer(A.rentals(s, d, done), s, d), A.vehicles(s, d), key="rental_ref", task_rows=10),
         "listagg_ids": lambda s, d: R.listagg(A.order_rentals(s, d), "customer_id", "rental_id", ","),
         "listagg_dates": lambda s, d: R.dates_listed(A.order_rentals(s, d), "customer_id", "actual_pickup", " | "),
         "features_listagg": lambda s, d: R.features_listed(A.vehicles(s, d)),
@@ -117,6 +124,22 @@ def _rule_violations(s: SparkSession, d: str) -> DataFrame:
     return C.check_rules(A.rentals(s, d), rules, ["rental_ref"])
 
 
+def _folder(s: SparkSession, name: str) -> str:
+    return f"{checkpoint_dir(s)}/{name}/{uuid4().hex}"
+
+
+def _partitioned(s: SparkSession, d: str) -> DataFrame:
+    """Vehicles written by model-year bucket and read back for a span of years."""
+    cars, path = A.vehicles(s, d).select("vehicle_id", "make", "model_year", "status"), _folder(s, "by_year")
+    K.write_partitioned(cars, K.range_bucket("model_year"), path)
+    return K.read_range(s, path, cars.schema.add("bucket", "string"), "model_year", 2016, 2021)
+
+
+def _sql(s: SparkSession, d: str, text: str) -> DataFrame:
+    sql_api.register(s, {"rentals": _booked(s, d), "customers": A.customers(s, d), "vehicles": A.vehicles(s, d)})
+    return s.sql(text)
+
+
 JSON_NAMES = {
     "rental_ref": "rentalRef", "vehicle_id": "vehicleId", "actual_pickup": "actualPickup", "pickup_date": "pickupDate",
     "odometer_in": "odometerIn", "base_charge": "baseCharge", "total_charge": "totalCharge", "status": "status",
@@ -176,8 +199,15 @@ def lookup_queries() -> dict[str, Query]:
         "partition_range_counts": lambda s, d: K.bucket_counts(A.vehicles(s, d), K.range_bucket("model_year")),
         "partition_month_counts": lambda s, d: K.bucket_counts(A.rentals(s, d), K.month_bucket("pickup_date")),
         "partition_list_counts": lambda s, d: K.bucket_counts(A.payments(s, d), K.list_bucket("payment_method")),
-        "sample_rows": lambda s, d: K.sample_rows(A.order_rentals(s, d, done), 10),
-        "sample_blocks": lambda s, d: K.sample_blocks(loaders.load(s, d, "lineitem"), 5, block_rows=128),
+        "sample_rows": lambda s, d: K.sample_rows(
+            A.order_rentals(s, d, done).select("rental_id", "customer_id", "total_charge"), "rental_id", 10),
+        "sample_blocks": lambda s, d: K.sample_blocks(
+            A.rentals(s, d, done).select("rental_ref", "order_id", "total_charge"), "order_id", 5, block_rows=128),
+        "monthly_revenue_refreshed": lambda s, d: K.refresh_monthly_revenue(A.rentals(s, d, done), _folder(s, "monthly")),
+        "partition_range_read": _partitioned,
+        "active_rentals_sql": lambda s, d: _sql(s, d, "select * from active_rentals(3)"),
+        "revenue_by_month_sql": lambda s, d: _sql(
+            s, d, f"select * from revenue_by_month(date '{SPAN[0]}', date '{SPAN[1]}')"),
     }
 
 
@@ -204,6 +234,14 @@ def _settled(s: SparkSession, d: str) -> DataFrame:
         "rental_ref", "base_charge", "fuel_charge", "damage_charge", "late_fee", "total_charge", "status")
 
 
+def _begun(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Starts over the stored orders; every third request is sent a second time with another reading."""
+    asked = A.pickups(s, d)
+    again = asked.where(F.col("reservation_id") % 3 == 0).withColumn("odometer_out", F.col("odometer_out") + 1)
+    cars = A.vehicles(s, d).select("vehicle_id", "status")
+    return Q.begin_rentals(A.reservations(s, d), asked.unionByName(again), cars, AS_OF, 9001)
+
+
 def rule_queries() -> dict[str, Query]:
     return {
         "tiered_pricing": lambda s, d: _priced(A.rentals(s, d), s, d).select(
@@ -223,12 +261,12 @@ def rule_queries() -> dict[str, Query]:
         "availability_check": lambda s, d: Q.check_available(A.requests(s, d), A.vehicles(s, d)).select(
             "rental_ref", "vehicle_status", "start_check"),
         "reservation_decisions": _decisions,
-        "begin_rentals": lambda s, d: Q.begin_rentals(A.reservations(s, d), A.pickups(s, d), AS_OF, 9001)[0],
-        "begin_rentals_reservations": lambda s, d: Q.begin_rentals(
-            A.reservations(s, d), A.pickups(s, d), AS_OF, 9001)[1].select("reservation_id", "status"),
-        "begin_rentals_refused": lambda s, d: Q.begin_rentals(
-            A.reservations(s, d), A.pickups(s, d), AS_OF, 9001)[2].select("reservation_id", "reason"),
+        "begin_rentals": lambda s, d: _begun(s, d)[0],
+        "begin_rentals_reservations": lambda s, d: _begun(s, d)[1].select("reservation_id", "status"),
+        "begin_rentals_vehicles": lambda s, d: _begun(s, d)[2],
+        "begin_rentals_refused": lambda s, d: _begun(s, d)[3].select("reservation_id", "odometer_out", "reason"),
         "rental_settlement": _settled,
+        "settlement_refused": lambda s, d: Q.refused_returns(A.rentals(s, d)).select("rental_ref", "status", "reason"),
     }
 
 
@@ -243,7 +281,8 @@ def _upsert(s: SparkSession, d: str) -> DataFrame:
 
     target = J.customer_stats(rows.where(F.col("actual_pickup") < since("1999-01-01"))).withColumn(
         "updated_at", since("1999-01-01"))
-    source = J.customer_stats(rows.where(F.col("actual_pickup") >= since("2000-01-01")))
+    # All completed rentals, as the procedure reads them; customers of the target alone stay as they are.
+    source = J.customer_stats(rows.where(F.col("actual_pickup").isNotNull()))
     return J.merge_upsert(target, source, ["customer_id"], {"updated_at": since(str(AS_OF))})
 
 
@@ -267,7 +306,10 @@ def _customer_updates(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
         "customer_id", F.concat(F.lit("vip."), "email").alias("email"), F.lit(None).cast("long").alias("loyalty_points"))
     unknown = people.where(F.col("loyalty_points").isNull()).select(
         (F.col("customer_id") + 1_000_000_000).alias("customer_id"), "email", "loyalty_points")
-    return J.apply_updates(people, rich.unionByName(unknown), "customer_id", ["email", "loyalty_points"])
+    # Every second rich customer is sent twice; the later change wins.
+    again = rich.where(F.col("customer_id") % 2 == 0).withColumn("email", F.concat(F.lit("second."), "email"))
+    sent = rich.unionByName(unknown).withColumn("sent", F.lit(1)).unionByName(again.withColumn("sent", F.lit(2)))
+    return J.apply_updates(people, sent, "customer_id", ["email", "loyalty_points"], ["sent"])
 
 
 def _cheap(s: SparkSession, d: str) -> DataFrame:
@@ -297,11 +339,16 @@ def change_queries() -> dict[str, Query]:
     return {
         "assign_keys": lambda s, d: J.assign_keys(
             A.order_rentals(s, d).select("rental_id", "actual_pickup"), ["actual_pickup", "rental_id"], "new_id", 5001),
+        "assign_keys_ranged": lambda s, d: J.assign_keys(
+            A.order_rentals(s, d).select("rental_id", "actual_pickup"), ["actual_pickup", "rental_id"], "new_id", 5001,
+            task_rows=1000),
+        "version_history_ranged": lambda s, d: J.versions(
+            A.history(s, d), "row_key", datetime(2024, 1, 10), datetime(2024, 1, 20), ["state", "amount"], task_rows=2),
         "merge_customer_stats": _upsert,
         "promo_usage": lambda s, d: J.bump_usage(A.promo_codes(s), A.requests(s, d)).select("promo_code", "current_uses"),
         "insert_defaults": lambda s, d: J.apply_defaults(_gappy_vehicles(s, d), J.vehicle_defaults()),
         "apply_updates": lambda s, d: _customer_updates(s, d)[0],
-        "apply_updates_unknown": lambda s, d: _customer_updates(s, d)[1],
+        "apply_updates_unknown": lambda s, d: _customer_updates(s, d)[1].drop("sent"),
         "soft_delete": lambda s, d: J.soft_delete(
             A.customers(s, d).select("customer_id", "is_active"),
             A.order_rentals(s, d, "DISPUTED").where(F.col("total_charge") > 450000), "customer_id"),
@@ -336,7 +383,7 @@ def _checked_links(s: SparkSession, d: str) -> DataFrame:
 def tree_queries() -> dict[str, Query]:
     return {
         "hierarchy_recursive": lambda s, d: H.org_chart(A.place_edges(s, d)),
-        "hierarchy_connect_by": lambda s, d: H.connect_by(A.place_edges(s, d)).drop("steps"),
+        "hierarchy_connect_by": lambda s, d: H.connect_by(A.place_edges(s, d)).orderBy("steps").drop("steps"),
         "dependency_closure": lambda s, d: H.closure_summary(A.place_links(s, d)),
         "dependency_pairs": lambda s, d: H.closure(_looped_links(s, d)),
         "dependency_checks": _checked_links,

@@ -592,7 +592,10 @@ STAGE = """reservations AS (
         SELECT o_orderkey AS reservation_id, o_custkey AS customer_id, o_custkey AS vehicle_id, o_custkey % 10 AS pickup_location,
                (o_custkey + 1) % 10 AS dropoff_location, o_orderstatus = 'O' AS asked,
                CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 'CONFIRMED' WHEN o_orderpriority = '3-MEDIUM' THEN 'CANCELLED'
-                    ELSE 'PENDING' END AS status FROM orders)"""
+                    ELSE 'PENDING' END AS status FROM orders),
+    begun AS (SELECT * FROM (SELECT r.*, ROW_NUMBER() OVER (PARTITION BY r.vehicle_id ORDER BY reservation_id) AS k
+                               FROM reservations r JOIN vehicles v ON r.vehicle_id = v.vehicle_id
+                              WHERE asked AND r.status = 'CONFIRMED' AND v.status = 'AVAILABLE') WHERE k = 1)"""
 
 RULES = {
     "tiered_pricing": f"""
@@ -643,12 +646,20 @@ RULES = {
     "begin_rentals": f"""
         WITH {STAGE} SELECT 9000 + ROW_NUMBER() OVER (ORDER BY reservation_id) AS rental_id, reservation_id, customer_id, vehicle_id,
                pickup_location, dropoff_location, {NOW} AS actual_pickup, reservation_id * 2 AS odometer_out,
-               customer_id % 4 + 6001 AS employee_out, 'ACTIVE' AS status FROM reservations WHERE asked AND status = 'CONFIRMED'""",
+               customer_id % 4 + 6001 AS employee_out, 'ACTIVE' AS status FROM begun""",
     "begin_rentals_reservations": f"""
-        WITH {STAGE} SELECT reservation_id, CASE WHEN asked AND status = 'CONFIRMED' THEN 'COMPLETED' ELSE status END AS status
+        WITH {STAGE} SELECT reservation_id, CASE WHEN reservation_id IN (SELECT reservation_id FROM begun) THEN 'COMPLETED' ELSE status END AS status
           FROM reservations""",
+    "begin_rentals_vehicles": f"""
+        WITH {STAGE} SELECT vehicle_id, CASE WHEN vehicle_id IN (SELECT vehicle_id FROM begun) THEN 'RENTED' ELSE status END AS status FROM vehicles""",
     "begin_rentals_refused": f"""
-        WITH {STAGE} SELECT reservation_id, 'NOT_CONFIRMED' AS reason FROM reservations WHERE asked AND status <> 'CONFIRMED'""",
+        WITH {STAGE}, sent AS (SELECT reservation_id, status, reservation_id * 2 AS odometer_out, FALSE AS repeated FROM reservations WHERE asked
+                               UNION ALL SELECT reservation_id, status, reservation_id * 2 + 1, TRUE FROM reservations WHERE asked AND reservation_id % 3 = 0)
+        SELECT reservation_id, odometer_out,
+               CASE WHEN status <> 'CONFIRMED' OR reservation_id IN (SELECT reservation_id FROM begun) THEN 'NOT_CONFIRMED' ELSE 'NOT_AVAILABLE' END AS reason
+          FROM sent WHERE repeated OR reservation_id NOT IN (SELECT reservation_id FROM begun)""",
+    "settlement_refused": """
+        SELECT rental_ref, status, 'NO_ACTIVE_RENTAL' AS reason FROM rentals WHERE status <> 'ACTIVE' OR status IS NULL""",
     "rental_settlement": f"""
         WITH backs AS (SELECT *, CASE line_number WHEN 1 THEN 'TEN' WHEN 2 THEN 'FLAT50' WHEN 5 THEN 'OLD' END AS promo_code,
                               CASE WHEN line_number <> 6 THEN 100 - line_number * 5 END AS fuel_back FROM rentals WHERE status = 'ACTIVE'),
@@ -679,7 +690,8 @@ VEHICLE_STATE = f"""
 
 
 def _plain(number: str) -> str:
-    return f"regexp_replace(CAST({number} AS VARCHAR), '\\.?0+$', '')"
+    text = f"CAST({number} AS VARCHAR)"
+    return f"CASE WHEN contains({text}, '.') THEN rtrim(rtrim({text}, '0'), '.') ELSE {text} END"
 
 
 LOGGED = f"""
@@ -689,14 +701,14 @@ LOGGED = f"""
            CASE operation WHEN 'UPDATE' THEN 'amount=' || {_plain('new_amount')} || ',status=' || new_status
                 WHEN 'INSERT' THEN 'amount=' || {_plain('new_amount')} || ',method=' || payment_method || ',status=' || new_status END AS new_values
       FROM """
-UPDATES = """(SELECT customer_id, 'vip.' || email AS email, CAST(NULL AS BIGINT) AS loyalty_points FROM customers WHERE loyalty_points > 5000)"""
+UPDATES = """(SELECT customer_id, CASE WHEN customer_id % 2 = 0 THEN 'second.vip.' ELSE 'vip.' END || email AS email, CAST(NULL AS BIGINT) AS loyalty_points FROM customers WHERE loyalty_points > 5000)"""
 
 CHANGES = {
     "assign_keys": """
         SELECT 5000 + ROW_NUMBER() OVER (ORDER BY actual_pickup, rental_id) AS new_id, rental_id, actual_pickup FROM order_rentals""",
     "merge_customer_stats": f"""
         WITH old AS (SELECT customer_id, {STATS} FROM order_rentals WHERE {DONE} AND actual_pickup < TIMESTAMP '1999-01-01' GROUP BY 1),
-             fresh AS (SELECT customer_id, {STATS} FROM order_rentals WHERE {DONE} AND actual_pickup >= TIMESTAMP '2000-01-01' GROUP BY 1)
+             fresh AS (SELECT customer_id, {STATS} FROM order_rentals WHERE {DONE} AND actual_pickup IS NOT NULL GROUP BY 1)
         SELECT customer_id, n AS rental_count, CAST(total AS DOUBLE) AS total_spend, latest AS last_rental, {NOW} AS updated_at FROM fresh
         UNION ALL SELECT customer_id, n, CAST(total AS DOUBLE), latest, TIMESTAMP '1999-01-01' FROM old
          WHERE customer_id NOT IN (SELECT customer_id FROM fresh)""",
@@ -785,5 +797,22 @@ STREAMS = {
 }
 
 
+HASHED = "CAST('0x' || substr(md5('42|' || CAST({key} AS VARCHAR)), 1, 7) AS BIGINT) < CAST({share} AS BIGINT) * 268435456 // 100"
+WRITES = {
+    "sample_rows": f"""
+        SELECT rental_id, customer_id, CAST(total_charge AS DOUBLE) AS total_charge FROM order_rentals
+         WHERE {DONE} AND {HASHED.format(key='rental_id', share=10)}""",
+    "sample_blocks": f"""
+        SELECT rental_ref, order_id, CAST(total_charge AS DOUBLE) AS total_charge FROM rentals
+         WHERE {DONE} AND {HASHED.format(key='order_id // 128', share=5)}""",
+    "monthly_revenue_refreshed": REPORTS["monthly_revenue_snapshot"],
+    "partition_range_read": "SELECT vehicle_id, make, model_year, status FROM vehicles WHERE model_year BETWEEN 2016 AND 2021",
+    "active_rentals_sql": LOOKUPS["active_rentals_tvf"].replace("rental_ref", "rental_id"),
+    "revenue_by_month_sql": REPORTS["revenue_by_month"],
+}
+RANGED = {f"{name}_ranged": {**REPORTS, **CHANGES}[name] for name in (
+    "customer_spend_rank", "running_totals", "charge_distribution", "customer_history", "assign_keys", "version_history")}
+
+
 def all_texts() -> dict[str, str]:
-    return {name: with_views(text) for name, text in {**REPORTS, **LOOKUPS, **RULES, **CHANGES, **TREES, **STREAMS}.items()}
+    return {name: with_views(text) for name, text in {**REPORTS, **LOOKUPS, **RULES, **CHANGES, **TREES, **STREAMS, **WRITES, **RANGED}.items()}

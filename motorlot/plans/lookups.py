@@ -53,7 +53,7 @@ def list_customers(customers: DataFrame, as_of: datetime, active_only: bool = Tr
     return customers_derived(rows, as_of).select(
         "customer_id", "first_name", "last_name", "full_name", "email", "license_number", "license_expiry",
         "date_of_birth", "age", "loyalty_points", "is_active",
-    )
+    ).orderBy("last_name", "first_name", "customer_id")
 
 
 def customer_by_id(customers: DataFrame, as_of: datetime, customer_id: int) -> DataFrame:
@@ -61,8 +61,8 @@ def customer_by_id(customers: DataFrame, as_of: datetime, customer_id: int) -> D
 
 
 def search_customers(customers: DataFrame, keyword: str, as_of: datetime) -> DataFrame:
-    rows = list_customers(customers, as_of)
-    return rows.where(matches([F.col("full_name"), F.col("email"), F.col("license_number")], keyword))
+    hit = matches([full_name(), F.col("email"), F.col("license_number")], keyword)
+    return list_customers(customers.where(hit), as_of)
 
 
 # ---- vehicles ----------------------------------------------------------------------------------
@@ -95,12 +95,12 @@ def available(vehicles, categories, locations, location: int | None = None, cate
         rows = rows.where(F.col("location_id") == location)
     if category is not None and category.strip():
         rows = rows.where(F.col("category_name") == category)
-    return fleet(rows, categories, locations).select(*FLEET_COLUMNS)
+    return fleet(rows, categories, locations).select(*FLEET_COLUMNS).orderBy("category_name", "make", "model", "vehicle_id")
 
 
 def search_vehicles(vehicles, categories, locations, keyword: str) -> DataFrame:
     hit = matches([F.col("make"), F.col("model"), F.col("license_plate")], keyword)
-    return fleet(vehicles.where(hit), categories, locations).select(*FLEET_COLUMNS)
+    return fleet(vehicles.where(hit), categories, locations).select(*FLEET_COLUMNS).orderBy("make", "model", "vehicle_id")
 
 
 def vehicle_by_id(vehicles, categories, locations, vehicle_id: int) -> DataFrame:
@@ -138,11 +138,12 @@ def active_rentals_view(rentals, customers, vehicles, locations, as_of: datetime
         "rental_ref", "customer_id", "customer_name", "customer_email", "vehicle_id", "vehicle", "license_plate",
         "pickup_location", "pickup_location_name", "dropoff_location", "dropoff_location_name", "actual_pickup",
         elapsed_hours(F.col("actual_pickup"), as_of).alias("hours_out"), "odometer_out", "base_charge", "status",
-    )
+    ).orderBy(F.col("actual_pickup").desc(), "rental_ref")
 
 
 def rental_by_id(rentals, customers, vehicles, locations, rental_id: int) -> DataFrame:
-    rows = rentals.where(F.col("rental_id") == rental_id)
+    """One rental. The id is made of order and line, so the scan is cut to that order first."""
+    rows = rentals.where((F.col("order_id") == rental_id // 10) & (F.col("rental_id") == rental_id))
     return _joined(rows, customers, vehicles, locations, vehicle_info()).select(
         "rental_id", "rental_ref", "customer_id", "customer_name", "vehicle_id", F.col("vehicle").alias("vehicle_info"),
         "pickup_location_name", "dropoff_location_name", "actual_pickup", "actual_dropoff", "total_charge", "status",
@@ -158,7 +159,7 @@ def overdue(rentals, customers, vehicles, locations, as_of: datetime, days: int
         "license_plate", "pickup_location", "pickup_location_name", "dropoff_location", "dropoff_location_name",
         "actual_pickup", "odometer_out", "fuel_level_out", "base_charge", "status",
         elapsed_hours(F.col("actual_pickup"), as_of).alias("hours_overdue"),
-    )
+    ).orderBy("actual_pickup", "rental_ref")
 
 
 def active_rentals(rentals, customers, vehicles, location_id: int | None = None) -> DataFrame:

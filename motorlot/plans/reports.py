@@ -296,15 +296,17 @@ def top_vehicles(rentals: DataFrame, vehicles: DataFrame, rows: int = 5) -> Data
 
 def page(df: DataFrame, value: str, key: str, skip: int, rows: int) -> DataFrame:
     """A page of rows by falling value; the key settles ties."""
-    return df.orderBy(F.col(value).desc_nulls_last(), key).offset(skip).limit(rows)
+    return numbered_page(df, value, key, skip + 1, skip + rows).drop("rn")
 
 
-def numbered_page(df: DataFrame, value: str, key: str, first: int, last: int) -> DataFrame:
-    """Rows first..last of that order with their row number."""
-    top = df.orderBy(F.col(value).desc_nulls_last(), key).limit(last)
-    # At most ``last`` rows are left, so one task can number them.
-    rn = F.row_number().over(Window.orderBy(F.col(value).desc_nulls_last(), key))
-    return top.withColumn("rn", rn).where(F.col("rn") >= first)
+def numbered_page(df: DataFrame, value: str, key: str, first: int, last: int, task_rows: int = TASK_ROWS) -> DataFrame:
+    """Rows first..last of that order with their row number.
+
+    Rows are numbered by an ordered scan, so a deep page is no more work for one task than the first.
+    """
+    rows = df.withColumn("_none", F.col(value).isNull()).withColumn("_down", -F.col(value))
+    scan = ordered_scan(rows, ["_none", "_down"], [key], ranks=False, task_rows=task_rows)
+    return scan.where(F.col("row_num").between(first, last)).select(*df.columns, F.col("row_num").cast("int").alias("rn")).orderBy("rn")
 
 
 def vehicle_profitability(vehicles: DataFrame, rentals: DataFrame, maintenance: DataFrame) -> DataFrame:
@@ -478,16 +480,17 @@ def customer_history(rentals: DataFrame, vehicles: DataFrame, customer_id: int |
         rows = rows.where(F.col("customer_id") == customer_id)
     rows = rows.select("customer_id", key, "vehicle_id", "actual_pickup", "actual_dropoff", "total_charge",
                        (-F.col("total_charge")).alias("_down"))
+    rows = checkpointed(rows)  # read by the sizes and by both scans
     sizes = group_sizes(rows, ["customer_id"])
     spent = ordered_scan(rows, ["actual_pickup"], [key], ["customer_id"], sums=["total_charge"], ranks=False,
-                         task_rows=task_rows, sizes=sizes, costly=True)
+                         task_rows=task_rows, sizes=sizes)
     spent = spent.select(*rows.columns, F.col("run_total_charge").alias("running_total"))
     ranked = ordered_scan(spent, ["_down"], [key], ["customer_id"], task_rows=task_rows, sizes=sizes, costly=True)
     cars = vehicles.select("vehicle_id", F.concat_ws(" ", "make", "model").alias("vehicle"), "license_plate")
     return ranked.join(cars, "vehicle_id").select(
         "customer_id", key, "vehicle", "license_plate", "actual_pickup", "actual_dropoff", "total_charge",
         "running_total", F.col("rank_num").alias("charge_rank"),
-    )
+    ).orderBy("customer_id", F.col("actual_pickup").desc(), key)
 
 
 # ---- lists -------------------------------------------------------------------------------------

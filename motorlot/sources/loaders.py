@@ -14,7 +14,7 @@ def load(spark: SparkSession, folder: str, table: str) -> DataFrame:
 
 def load_stream(spark: SparkSession, folder: str, table: str) -> DataFrame:
     """The same scan as a stream over the files of a folder."""
-    return spark.readStream.schema(schema_of(table)).option("pathGlobFilter", f"{table}*.parquet").parquet(folder)
+    return spark.readStream.schema(schema_of(table)).option("pathGlobFilter", f"{table}.parquet").parquet(folder)
 
 
 def load_requirements(spark: SparkSession, path: str) -> DataFrame:

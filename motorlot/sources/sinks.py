@@ -38,11 +38,9 @@ def list_bucket(column: str, groups: Mapping[str, Sequence[str]] = PAYMENT_GROUP
     return result
 
 
-def write_partitioned(df: DataFrame, bucket: Column, path: str, name: str = "bucket", files: int = 16) -> None:
-    """Write one folder per bucket. Rows are spread over (bucket, salt), so a large bucket is many files."""
-    salt = F.pmod(F.xxhash64(*df.columns), F.lit(files))
-    spread = df.withColumn(name, bucket).repartition(name, salt)
-    spread.write.mode("overwrite").partitionBy(name).parquet(path)
+def write_partitioned(df: DataFrame, bucket: Column, path: str, name: str = "bucket") -> None:
+    """Write one folder per bucket. A rebalance by bucket splits large buckets into tasks of the advisory size."""
+    df.withColumn(name, bucket).hint("rebalance", F.col(name)).write.mode("overwrite").partitionBy(name).parquet(path)
 
 
 def buckets_between(low: int, high: int, cuts: Mapping[str, int] = MODEL_YEAR_CUTS, rest: str = MODEL_YEAR_OPEN) -> list[str]:
@@ -71,8 +69,8 @@ def bucket_counts(df: DataFrame, bucket: Column) -> DataFrame:
 def refresh_monthly_revenue(rentals: DataFrame, path: str) -> DataFrame:
     """Rewrite the monthly revenue table and return it as stored."""
     summary = monthly_summary(rentals)
-    # A few rows per year: one file is enough.
-    summary.coalesce(1).write.mode("overwrite").parquet(path)
+    # A few rows per year: one file is enough. The aggregate itself keeps its tasks.
+    summary.repartition(1).write.mode("overwrite").parquet(path)
     return rentals.sparkSession.read.schema(summary.schema).parquet(path)
 
 
@@ -131,16 +129,20 @@ def daily_counts(rentals: DataFrame, start: date, days: int) -> DataFrame:
     ).orderBy("rental_date")
 
 
-def sample_rows(df: DataFrame, percent: float, seed: int = 42) -> DataFrame:
-    """Random share of the rows."""
-    return df.sample(fraction=percent / 100, seed=seed)
+def drawn(key: Column, percent: float, seed: int) -> Column:
+    """Whether a key is drawn: the first seven hex digits of the md5 of seed and key, as a share of their range."""
+    digits = F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), key.cast("string")).cast("binary")), 1, 7)
+    return F.conv(digits, 16, 10).cast("long") < F.lit(int(percent / 100 * 16**7))
 
 
-def sample_blocks(df: DataFrame, percent: float, block_rows: int = 1000, seed: int = 42) -> DataFrame:
-    """Random share of storage blocks: runs of neighbouring rows of a file are kept or left out together.
+def sample_rows(df: DataFrame, key: str, percent: float, seed: int = 42) -> DataFrame:
+    """Random share of the rows, drawn by a hash of the key: the same rows on every cluster and file layout."""
+    return df.where(drawn(F.col(key), percent, seed))
 
-    ``df`` must be a file scan. Blocks are runs of ``block_rows`` rows, found from the row's place in its file.
+
+def sample_blocks(df: DataFrame, key: str, percent: float, block_rows: int = 1000, seed: int = 42) -> DataFrame:
+    """Random share of blocks: runs of ``block_rows`` neighbouring key values are kept or left out together.
+
+    A block is its number, not a place in a file, so a moved or rewritten table gives the same sample.
     """
-    place = F.struct(F.col("_metadata.file_path"), F.floor(F.col("_metadata.row_index") / block_rows))
-    drawn = F.pmod(F.xxhash64(place, F.lit(seed)), F.lit(1_000_000)) < F.lit(int(percent * 10_000))
-    return df.where(drawn).select(*df.columns)
+    return df.where(drawn(F.floor(F.col(key) / block_rows), percent, seed))

@@ -124,10 +124,16 @@ def test_begin_rentals(spark):
         [(1, 10, 5, 7, 8, "CONFIRMED"), (2, 11, 6, 7, 8, "PENDING"), (3, 12, 5, 7, 8, "CONFIRMED")],
         "reservation_id long, customer_id long, vehicle_id long, pickup_location long, dropoff_location long, status string")
     asked = spark.createDataFrame([(1, 500, 6001), (2, 600, 6001), (9, 1, 1)], "reservation_id long, odometer_out long, employee_out long")
-    begun, after, refused = Q.begin_rentals(reservations, asked, datetime(2024, 1, 1), 4001)
+    asked = asked.union(spark.createDataFrame([(1, 500, 6001), (1, 510, 6001), (3, 700, 1), (4, 1, 1)], asked.schema))
+    reservations = reservations.union(spark.createDataFrame([(4, 12, 99, 7, 8, "CONFIRMED")], reservations.schema))
+    cars = spark.createDataFrame([(5, "AVAILABLE", 1), (6, "AVAILABLE", 2)], "vehicle_id long, status string, mileage long")
+    begun, after, fleet, refused = Q.begin_rentals(reservations, asked, cars, datetime(2024, 1, 1), 4001)
     assert rows(begun, "rental_id", "reservation_id", "odometer_out", "status") == [(4001, 1, 500, "ACTIVE")]
-    assert rows(after, "reservation_id", "status") == [(1, "COMPLETED"), (2, "PENDING"), (3, "CONFIRMED")]
-    assert rows(refused, "reservation_id") == [(2,), (9,)]
+    assert rows(after, "reservation_id", "status") == [(1, "COMPLETED"), (2, "PENDING"), (3, "CONFIRMED"), (4, "CONFIRMED")]
+    assert rows(fleet) == [(5, "RENTED", 1), (6, "AVAILABLE", 2)]
+    assert rows(refused, "reservation_id", "odometer_out", "reason") == sorted([
+        (1, 500, "NOT_CONFIRMED"), (1, 510, "NOT_CONFIRMED"), (2, 600, "NOT_CONFIRMED"), (3, 700, "NOT_AVAILABLE"),
+        (4, 1, "NOT_AVAILABLE"), (9, 1, "NOT_CONFIRMED")], key=repr)
 
 
 def test_latest_per_row(spark):

@@ -1,5 +1,6 @@
 from datetime import datetime
 
+import pytest
 import seed
 from pyspark.sql import functions as F
 from seed import rows
@@ -18,6 +19,22 @@ def test_upsert(spark):
     assert rows(J.merge_upsert(old, new, ["id"], {"w": F.lit(7).cast("long")})) == [(1, "a", 1), (2, None, 7), (3, "c", 7)]
 
 
+def test_upsert_refuses_repeated_source_keys(spark):
+    with pytest.raises(Exception, match="repeated source key"):
+        J.merge_upsert(frame(spark, [(2, "b", 2)]), frame(spark, [(2, "x", 1), (2, "y", 1)]), ["id"]).collect()
+
+
+def test_the_last_of_several_updates_wins(spark):
+    sent = frame(spark, [(1, "late", 2), (1, "early", 1), (9, "x", 0), (9, "y", 1)])
+    after, unknown = J.apply_updates(frame(spark, [(1, "a", 1), (2, "b", 2)]), sent, "id", ["v"], ["w"])
+    assert rows(after) == [(1, "late", 1), (2, "b", 2)] and rows(unknown, "id") == [(9,), (9,)]
+
+
+def test_number_text_keeps_whole_numbers(spark):
+    df = frame(spark, [(100, "", 0)]).selectExpr("id", "cast(id as decimal(9,2)) d", "cast(0.50 as decimal(9,2)) h", "cast(null as int) n", "cast(1000.25 as decimal(9,2)) q")
+    assert df.select(*[J.number_text(F.col(c)) for c in df.columns]).first()[:] == ("100", "100", "0.5", None, "1000.25")
+
+
 def test_updates_set_nulls_and_report_unknown_keys(spark):
     after, unknown = J.apply_updates(frame(spark, [(1, "a", 1), (2, "b", 2)]), frame(spark, [(1, None, 5), (9, "x", 0)]), "id", ["v"])
     assert rows(after) == [(1, None, 1), (2, "b", 2)] and rows(unknown, "id") == [(9,)]

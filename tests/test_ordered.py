@@ -52,3 +52,10 @@ def test_versions_across_ranges(spark):
     span = (datetime(1970, 1, 1), datetime(1970, 1, 1, 1))
     plain, split = (sorted(map(str, versions(df, "k", *span, ["x"], task_rows=n).collect())) for n in (1000, 0))
     assert plain == split and len(plain) == 61
+
+
+def test_both_ways_have_one_schema(spark):
+    df = spark.createDataFrame([(i, i % 3, i) for i in range(50)], "id long, g long, n long").selectExpr("id", "g", "n", "cast(n as decimal(10,2)) d", "cast(n as double) f")
+    plain, ranged = (ordered_scan(df, ["n"], ["id"], ["g"], sums=["n", "d", "f"], edges=["d"], task_rows=size) for size in (1000, 5))
+    assert [(f.name, f.dataType) for f in plain.schema] == [(f.name, f.dataType) for f in ranged.schema]
+    assert sorted(map(tuple, plain.collect())) == sorted(map(tuple, ranged.collect()))
