@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from motorlot.functions.money import money, ratio
 from motorlot.operators.changes import assign_keys
+from motorlot.operators.ordered import ordered_scan
 from motorlot.operators.pricing import apply_loyalty, apply_promo, check_promos, price
 from motorlot.session import checkpointed
 
@@ -59,34 +60,52 @@ def grant_in_order(requests: DataFrame, order: str) -> DataFrame:
     return requests.join(granted, order, "left_semi").select(*requests.columns)
 
 
-# A vehicle with at most this many bookings and requests is decided in one row.
+# An island of bookings with at most this many of them is decided in one row.
 FOLD_ROWS = 2000
 
 
+def with_islands(rows: DataFrame) -> DataFrame:
+    """Add ``island`` to booked spans (vehicle_id, s, e): spans of different islands of a vehicle cannot overlap.
+
+    A vehicle has one row for each day on which some span starts, whatever the number of its bookings.
+    """
+    starts = rows.groupBy("vehicle_id", "s").agg(F.max("e").alias("_until"))
+    line = Window.partitionBy("vehicle_id").orderBy("s")
+    before = F.max("_until").over(line.rowsBetween(Window.unboundedPreceding, -1))
+    opens = starts.withColumn("_opens", F.coalesce((before <= F.col("s")).cast("int"), F.lit(1)))
+    numbered = opens.select("vehicle_id", "s", F.sum("_opens").over(line).alias("island"))
+    return rows.join(numbered, ["vehicle_id", "s"])
+
+
 def clash_flags(requests: DataFrame, existing: DataFrame, order: str, fold_rows: int = FOLD_ROWS) -> DataFrame:
     """(order, clash): whether a request overlaps an existing booking or an earlier accepted request.
 
     ``able`` tells whether a request would be accepted but for a clash. The outcome of a request
-    hangs on the ones before it, so bookings of a vehicle are folded in order; vehicles with too
-    many of them for one row are decided by ``grant_in_order`` instead.
+    hangs on the ones before it that reach it through other bookings, so each vehicle is cut into
+    islands without a gap and each island is folded in order; islands with too many bookings for one
+    row are decided by ``grant_in_order`` instead. A request without a vehicle clashes with nothing.
     """
     spans = ["vehicle_id", F.col("pickup_date").alias("s"), F.col("dropoff_date").alias("e")]
-    held = existing.where(F.col("pickup_date") < F.col("dropoff_date"))
-    asked = requests.where(F.col("pickup_date") < F.col("dropoff_date"))
+    proper = (F.col("pickup_date") < F.col("dropoff_date")) & F.col("vehicle_id").isNotNull()
+    held, asked = existing.where(proper), requests.where(proper)
+    nowhere = requests.where((F.col("pickup_date") < F.col("dropoff_date")) & F.col("vehicle_id").isNull()).select(order, F.lit(False).alias("clash"))
     rows = held.select(*spans, F.lit(False).alias("asks"), F.lit(None).cast(requests.schema[order].dataType).alias("o"),
                        F.lit(True).alias("able")).unionByName(
         asked.select(*spans, F.lit(True).alias("asks"), F.col(order).alias("o"), "able"))
-    busy = checkpointed(rows.groupBy("vehicle_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > fold_rows).select("vehicle_id"))
+    rows = checkpointed(with_islands(rows))
+    asking = rows.groupBy("vehicle_id", "island").agg(F.count(F.lit(1)).alias("n"), F.max("asks").alias("asks")).where("asks")
+    busy = checkpointed(asking.where(F.col("n") > fold_rows).select("vehicle_id", "island"))
+    few = _folded(rows.join(asking.where(F.col("n") <= fold_rows).select("vehicle_id", "island"), ["vehicle_id", "island"], "left_semi"), order)
     if busy.isEmpty():
-        return _folded(rows, order)
-    few = _folded(rows.join(busy, "vehicle_id", "left_anti"), order)
-    many = _by_days(asked.join(busy, "vehicle_id", "left_semi"), held.join(busy, "vehicle_id", "left_semi"), order)
-    return few.unionByName(many)
+        return few.unionByName(nowhere)
+    long = rows.join(busy, ["vehicle_id", "island"], "left_semi").select("vehicle_id", F.col("s").alias("pickup_date"), F.col("e").alias("dropoff_date"), "asks", F.col("o").alias(order), "able")
+    many = _by_days(long.where("asks"), long.where("not asks"), order)
+    return few.unionByName(many).unionByName(nowhere)
 
 
 def _folded(rows: DataFrame, order: str) -> DataFrame:
     entry = F.struct("asks", "o", "s", "e", "able")
-    lined = rows.groupBy("vehicle_id").agg(F.array_sort(F.collect_list(entry)).alias("line"))
+    lined = rows.groupBy("vehicle_id", "island").agg(F.array_sort(F.collect_list(entry)).alias("line"))
     kind = lined.schema["line"].dataType.elementType.simpleString().replace("struct<", "struct<clash:boolean,", 1)
 
     def step(done, x):
@@ -113,22 +132,47 @@ def _by_days(requests: DataFrame, existing: DataFrame, order: str) -> DataFrame:
     return requests.join(clashing, order, "left").select(order, F.coalesce("_hit", F.lit(False)).alias("clash"))
 
 
+def _run_out(accepted: DataFrame, order: str):
+    """The first accepted request that takes the last use of its promotion, if more ask for it; else None.
+
+    ``_left`` is the number of uses left before the batch. Uses are numbered by an ordered scan.
+    """
+    full = accepted.groupBy("promo_code", "_left").agg(F.count(F.lit(1)).alias("n")).where("n > _left").select("promo_code")
+    numbered = ordered_scan(accepted.join(F.broadcast(full), "promo_code", "left_semi").select("promo_code", "_left", order), [order], [order], ["promo_code"], ranks=False)
+    return numbered.where(F.col("row_num") == F.col("_left")).orderBy(order).select("promo_code", order).first()
+
+
 def decide_reservations(requests: DataFrame, existing: DataFrame, customers: DataFrame, rates: DataFrame,
                         promos: DataFrame, as_of: datetime, order: str, fold_rows: int = FOLD_ROWS) -> DataFrame:
     """Accept or refuse each request, in ``order``.
 
     Checks in turn: dates, clash with a booking or with a request accepted earlier in the order,
-    customer, promotion. A request that fails a later check blocks nobody. Promotion limits are
-    those before the batch.
+    customer, promotion. A request that fails a later check blocks nobody. Every accepted request
+    uses its promotion once, and a promotion at its limit is refused from there on: the batch is
+    decided, the earliest request at which some promotion runs out is exact and fixed, and the rest
+    is decided again, so there is one pass more for each promotion that runs out in the batch.
     """
     people = customers.select("customer_id", F.col("is_active").alias("_active"))
     checked = check_promos(requests, promos, as_of).join(people, "customer_id", "left").withColumns({
         "_dates_ok": F.col("dropoff_date") > F.col("pickup_date"),
         "_customer_ok": F.coalesce(F.col("_active") == "Y", F.lit(False)),
     })
-    checked = checkpointed(checked.withColumn(
-        "able", F.col("_dates_ok") & F.col("_customer_ok") & (F.col("promo_check") == "OK")))
-    flags = clash_flags(checked.select(order, "vehicle_id", "pickup_date", "dropoff_date", "able"), existing, order, fold_rows)
+    checked = checkpointed(checked)
+    left = promos.where(F.col("max_uses").isNotNull()).select("promo_code", (F.col("max_uses") - F.col("current_uses")).alias("_left"))
+    ends: dict[str, object] = {}
+    while True:
+        over = F.lit(False)
+        for code, last in ends.items():
+            over = over | ((F.col("promo_code") == code) & (F.col(order) > F.lit(last)))
+        now = checked.withColumn("promo_check", F.when(F.coalesce(over, F.lit(False)) & (F.col("promo_check") == "OK"), "PROMO_LIMIT_REACHED").otherwise(F.col("promo_check")))
+        now = now.withColumn("able", F.col("_dates_ok") & F.col("_customer_ok") & (F.col("promo_check") == "OK"))
+        flags = checkpointed(clash_flags(now.select(order, "vehicle_id", "pickup_date", "dropoff_date", "able"), existing, order, fold_rows))
+        accepted = now.where("able").join(flags.where("not clash"), order).join(left, "promo_code").where(~F.col("promo_code").isin(list(ends)))
+        ran_out = _run_out(accepted, order)
+        if ran_out is None:
+            break
+        ends[ran_out["promo_code"]] = ran_out[order]
+    checked = now
     reason = (
         F.when(~F.col("_dates_ok"), "INVALID_DATES").when(F.col("clash"), "VEHICLE_UNAVAILABLE")
         .when(~F.col("_customer_ok"), "CUSTOMER_NOT_FOUND").when(F.col("promo_check") != "OK", F.col("promo_check"))

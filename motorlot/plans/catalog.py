@@ -225,7 +225,8 @@ def _promo_priced(s: SparkSession, d: str) -> DataFrame:
 
 def _decisions(s: SparkSession, d: str) -> DataFrame:
     return Q.decide_reservations(
-        A.requests(s, d), A.rentals(s, d, "DISPUTED").select("vehicle_id", "pickup_date", "dropoff_date"),
+        # The open rentals are the requests; all others hold their vehicle, as none is cancelled.
+        A.requests(s, d), A.rentals(s, d).where(F.col("status") != "ACTIVE").select("vehicle_id", "pickup_date", "dropoff_date"),
         A.customers(s, d), _rates(s, d), A.promo_codes(s), AS_OF, "rental_ref")
 
 

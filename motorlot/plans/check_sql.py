@@ -597,6 +597,40 @@ STAGE = """reservations AS (
                                FROM reservations r JOIN vehicles v ON r.vehicle_id = v.vehicle_id
                               WHERE asked AND r.status = 'CONFIRMED' AND v.status = 'AVAILABLE') WHERE k = 1)"""
 
+def _walks(passes: int) -> str:
+    """One request after another in each vehicle, carrying the accepted spans; again for each promotion that runs out.
+
+    A pass is right up to the first request that takes the last use of some promotion; the next pass refuses that
+    promotion behind it.
+    """
+    parts = []
+    for k in range(passes):
+        cuts = " UNION ALL ".join(f"SELECT * FROM cut_{i}" for i in range(k)) or "SELECT NULL AS promo_code, NULL AS last WHERE FALSE"
+        free = "len(list_filter(w.spans, lambda x: x.s < j.dropoff_date AND x.e > j.pickup_date)) = 0"
+        parts.append(f"""
+        judged_{k} AS (SELECT r.*, CASE WHEN {PROMO_CHECK} = 'OK' AND r.rental_ref > t.last THEN 'PROMO_LIMIT_REACHED' ELSE {PROMO_CHECK} END AS promo_check,
+                          dropoff_date > pickup_date AS dates_ok, COALESCE(c.is_active = 'Y', FALSE) AS customer_ok, {TIER} AS tier,
+                          max_uses - current_uses AS uses_left, ROW_NUMBER() OVER (PARTITION BY vehicle_id ORDER BY rental_ref) AS k
+                     FROM priced r LEFT JOIN promo_codes m ON r.promo_code = m.promo_code
+                     LEFT JOIN customers c ON r.customer_id = c.customer_id LEFT JOIN ({cuts}) t ON r.promo_code = t.promo_code),
+        walk_{k} AS (
+            SELECT v.vehicle_id, CAST(0 AS BIGINT) AS k, CAST(NULL AS VARCHAR) AS rental_ref, CAST(NULL AS BOOLEAN) AS clash,
+                   COALESCE(list({{'s': pickup_date, 'e': dropoff_date}}) FILTER (pickup_date IS NOT NULL), []) AS spans
+              FROM vehicles v LEFT JOIN rentals r ON v.vehicle_id = r.vehicle_id AND r.status <> 'ACTIVE' GROUP BY v.vehicle_id
+            UNION ALL
+            SELECT j.vehicle_id, j.k, j.rental_ref, NOT ({free}),
+                   CASE WHEN j.dates_ok AND j.customer_ok AND j.promo_check = 'OK' AND {free}
+                        THEN list_append(w.spans, {{'s': j.pickup_date, 'e': j.dropoff_date}}) ELSE w.spans END
+              FROM walk_{k} w JOIN judged_{k} j ON w.vehicle_id = j.vehicle_id AND j.k = w.k + 1),
+        cut_{k} AS (SELECT promo_code, rental_ref AS last FROM (
+                SELECT j.promo_code, j.rental_ref, uses_left, ROW_NUMBER() OVER (PARTITION BY promo_code ORDER BY j.rental_ref) AS use,
+                       COUNT(*) OVER (PARTITION BY promo_code) AS uses
+                  FROM judged_{k} j JOIN walk_{k} w ON j.rental_ref = w.rental_ref
+                 WHERE dates_ok AND customer_ok AND promo_check = 'OK' AND NOT clash AND uses_left IS NOT NULL)
+             WHERE use = uses_left AND uses > uses_left ORDER BY rental_ref LIMIT 1)""")
+    return ",".join(parts)
+
+
 RULES = {
     "tiered_pricing": f"""
         SELECT rental_ref, CAST(days AS BIGINT) AS days, CAST(rate AS DOUBLE) AS daily_rate, {BASE_PRICE} AS base_price
@@ -617,32 +651,15 @@ RULES = {
         SELECT rental_ref, v.status AS vehicle_status,
                CASE WHEN v.status IS NULL THEN 'UNKNOWN_VEHICLE' WHEN v.status <> 'AVAILABLE' THEN 'NOT_AVAILABLE' ELSE 'OK' END AS start_check
           FROM requests r LEFT JOIN vehicles v ON r.vehicle_id = v.vehicle_id""",
-    # One request after another in each vehicle, carrying the accepted spans.
     "reservation_decisions": f"""
-        WITH RECURSIVE {PRICED_REQUESTS},
-        judged AS (SELECT r.*, {PROMO_CHECK} AS promo_check, dropoff_date > pickup_date AS dates_ok,
-                          COALESCE(c.is_active = 'Y', FALSE) AS customer_ok, {TIER} AS tier,
-                          ROW_NUMBER() OVER (PARTITION BY vehicle_id ORDER BY rental_ref) AS k
-                     FROM priced r LEFT JOIN promo_codes m ON r.promo_code = m.promo_code
-                     LEFT JOIN customers c ON r.customer_id = c.customer_id),
-        walk AS (
-            SELECT v.vehicle_id, CAST(0 AS BIGINT) AS k, CAST(NULL AS VARCHAR) AS rental_ref, CAST(NULL AS BOOLEAN) AS clash,
-                   COALESCE(list({{'s': pickup_date, 'e': dropoff_date}}) FILTER (pickup_date IS NOT NULL), []) AS spans
-              FROM vehicles v LEFT JOIN rentals r ON v.vehicle_id = r.vehicle_id AND r.status = 'DISPUTED' GROUP BY v.vehicle_id
-            UNION ALL
-            SELECT j.vehicle_id, j.k, j.rental_ref,
-                   len(list_filter(w.spans, lambda x: x.s < j.dropoff_date AND x.e > j.pickup_date)) > 0,
-                   CASE WHEN j.dates_ok AND j.customer_ok AND j.promo_check = 'OK'
-                             AND len(list_filter(w.spans, lambda x: x.s < j.dropoff_date AND x.e > j.pickup_date)) = 0
-                        THEN list_append(w.spans, {{'s': j.pickup_date, 'e': j.dropoff_date}}) ELSE w.spans END
-              FROM walk w JOIN judged j ON w.vehicle_id = j.vehicle_id AND j.k = w.k + 1)
+        WITH RECURSIVE {PRICED_REQUESTS}, {_walks(3)}
         SELECT j.rental_ref, customer_id, j.vehicle_id, CAST(pickup_date AS TIMESTAMP) AS pickup_date,
                CAST(dropoff_date AS TIMESTAMP) AS dropoff_date, promo_code,
                CASE WHEN dates_ok AND NOT clash AND customer_ok AND promo_check = 'OK' THEN 'CONFIRMED' ELSE 'REFUSED' END AS decision,
                CASE WHEN NOT dates_ok THEN 'INVALID_DATES' WHEN clash THEN 'VEHICLE_UNAVAILABLE'
                     WHEN NOT customer_ok THEN 'CUSTOMER_NOT_FOUND' WHEN promo_check <> 'OK' THEN promo_check END AS reason,
                CASE WHEN dates_ok AND NOT clash AND customer_ok AND promo_check = 'OK' THEN {COST} END AS estimated_cost
-          FROM judged j JOIN walk w ON j.rental_ref = w.rental_ref""",
+          FROM judged_2 j JOIN walk_2 w ON j.rental_ref = w.rental_ref""",
     "begin_rentals": f"""
         WITH {STAGE} SELECT 9000 + ROW_NUMBER() OVER (ORDER BY reservation_id) AS rental_id, reservation_id, customer_id, vehicle_id,
                pickup_location, dropoff_location, {NOW} AS actual_pickup, reservation_id * 2 AS odometer_out,

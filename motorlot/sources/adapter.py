@@ -204,7 +204,7 @@ def promo_codes(spark: SparkSession) -> DataFrame:
 
 PROMOS = [
     ("TEN", "PERCENT", 10, 500, 3, "2001-01-01", "2001-12-31", "Y"),
-    ("FLAT50", "FIXED", 50, "null", 0, "2001-01-01", "2001-07-15", "Y"),
+    ("FLAT50", "FIXED", 50, 60, 10, "2001-01-01", "2001-07-15", "Y"),
     ("FULL", "PERCENT", 15, 20, 20, "2001-01-01", "2001-12-31", "Y"),
     ("OFF", "PERCENT", 20, "null", 0, "2001-01-01", "2001-12-31", "N"),
     ("OLD", "FIXED", 75, "null", 0, "1999-01-01", "1999-12-31", "Y"),

@@ -140,3 +140,48 @@ def test_latest_per_row(spark):
     cars = spark.createDataFrame([(1,), (2,)], "vehicle_id long")
     trips = spark.createDataFrame([(1, 10, 5), (1, 11, 7), (1, 12, 7)], "vehicle_id long, id long, at long")
     assert rows(L.latest_per_row(cars, trips, "vehicle_id", ["at", "id"], ["id"], "left")) == [(1, 12), (2, None)]
+
+
+@pytest.mark.parametrize("fold_rows", [10_000, 3])
+def test_promotions_run_out_inside_a_batch(spark, fold_rows):
+    draw = random.Random(8)
+    asked = []
+    for i in range(120):
+        start = D0 + timedelta(days=draw.randrange(200))
+        vehicle = None if i % 20 == 0 else draw.randrange(1, 6)
+        asked.append((i, draw.choice([1, 1, 1, 2]), vehicle, draw.choice(["A", "B", None]), start, start + timedelta(days=draw.randrange(0, 6))))
+    requests = spark.createDataFrame(asked, "id long, customer_id long, vehicle_id long, promo_code string, pickup_date date, dropoff_date date")
+    promos = spark.createDataFrame(
+        [("A", "PERCENT", Decimal(10), 9, 0, datetime(2024, 1, 1), datetime(2024, 12, 31), "Y"), ("B", "FIXED", Decimal(5), 8, 2, datetime(2024, 1, 1), datetime(2024, 12, 31), "Y")],
+        "promo_code string, discount_type string, discount_value decimal(8,2), max_uses long, current_uses long, valid_from timestamp_ntz, valid_to timestamp_ntz, is_active string")
+    people = spark.createDataFrame([(1, "Y", 10), (2, "N", 10)], "customer_id long, is_active string, loyalty_points long")
+    held = [(1, D0, D0 + timedelta(days=20))]
+    existing = spark.createDataFrame(held, "vehicle_id long, pickup_date date, dropoff_date date")
+
+    spans, left, want = {1: [held[0][1:]]}, {"A": 9, "B": 6}, {}
+    for i, who, vehicle, code, start, end in asked:
+        clash = vehicle is not None and any(s < end and e > start for s, e in spans.get(vehicle, []))
+        reason = ("INVALID_DATES" if end <= start else "VEHICLE_UNAVAILABLE" if clash else "CUSTOMER_NOT_FOUND" if who == 2
+                  else "PROMO_LIMIT_REACHED" if code and not left[code] else None)
+        want[i] = reason
+        if not reason:
+            spans.setdefault(vehicle, []).append((start, end))
+            if code:
+                left[code] -= 1
+    assert left == {"A": 0, "B": 0}
+    got = Q.decide_reservations(requests, existing, people, rates(spark), promos, datetime(2024, 6, 1), "id", fold_rows)
+    assert dict(rows(got, "id", "reason")) == want
+
+
+def test_chained_bookings_of_one_vehicle(spark):
+    asked = [(i, 1, D0 + timedelta(days=3 * i), D0 + timedelta(days=3 * i + 2), True) for i in range(3000)]
+    got = Q.clash_flags(spark.createDataFrame(asked, SCHEMA), spark.createDataFrame([], "vehicle_id long, pickup_date date, dropoff_date date"), "id", 2)
+    assert got.where("clash").count() == 0 and got.count() == 3000
+
+
+def test_listings_are_ordered(spark):
+    people = spark.createDataFrame(
+        [(3, "Bo", "Zed"), (1, "Al", "Zed"), (2, "Cy", "Ash"), (4, "Al", "Zed")], "customer_id long, first_name string, last_name string").selectExpr(
+        "*", "'e' email", "'l' license_number", "date '2030-01-01' license_expiry", "date '1990-01-01' date_of_birth", "0L loyalty_points", "'Y' is_active")
+    assert [r.customer_id for r in L.list_customers(people, datetime(2024, 1, 1)).collect()] == [2, 1, 4, 3]
+    assert [r.customer_id for r in L.search_customers(people, "ZED", datetime(2024, 1, 1)).collect()] == [1, 4, 3]
