@@ -109,9 +109,27 @@ def closure_summary(edges: DataFrame) -> DataFrame:
     return reach.join(chain_depth(edges), "src")
 
 
+def cyclic_core(edges: DataFrame) -> DataFrame:
+    """Edges left when those from pure sources and to pure sinks are taken away, again and again.
+
+    Every cycle stays whole; a tree leaves nothing. There are as many rounds as the longest chain beside cycles has steps.
+    """
+    edges = checkpointed(edges.select("src", "dst").distinct())
+    size = edges.count()
+    while size:
+        entered = edges.select(F.col("dst").alias("src")).distinct()
+        going_on = edges.select(F.col("src").alias("dst")).distinct()
+        kept = checkpointed(edges.join(entered, "src", "left_semi").join(going_on, "dst", "left_semi"))
+        left = kept.count()
+        if left == size:
+            break
+        edges, size = kept, left
+    return edges
+
+
 def dependency_checks(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Problems of a graph: nodes on a cycle and edges to unknown nodes."""
-    loops = closure(edges).where(F.col("src") == F.col("dst")).select(F.col("src").alias("node"), F.lit("CYCLE").alias("problem"))
+    """Problems of a graph: nodes on a cycle and edges to unknown nodes. Only the cyclic core is closed."""
+    loops = closure(cyclic_core(edges)).where(F.col("src") == F.col("dst")).select(F.col("src").alias("node"), F.lit("CYCLE").alias("problem"))
     dangling = edges.join(nodes.select(F.col("id").alias("dst")), "dst", "left_anti").select(
         F.col("dst").alias("node"), F.lit("UNKNOWN_TARGET").alias("problem")
     ).distinct()

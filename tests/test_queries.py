@@ -4,12 +4,13 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_points
+from motorlot.plans.catalog import all_queries
+from motorlot.plans.check_sql import all_texts
 from motorlot.sources.schemas import STORED
 from tools.compare import TABLES, rows_of
 
 FOLDER = "/root/testdata/sf0.001"
-QUERIES, TEXTS = entry_points.queries(), entry_points.oracle_sql()
-ROWS_ONLY = {"sample_rows", "sample_blocks"}
+QUERIES, TEXTS = all_queries(), all_texts()
 
 
 @pytest.fixture(scope="module")
@@ -28,17 +29,15 @@ def empty_folder(spark, tmp_path_factory):
     return str(folder)
 
 
-def test_only_samples_lack_a_text():
-    assert set(QUERIES) - set(TEXTS) == ROWS_ONLY and set(TEXTS) <= set(QUERIES)
+def test_every_query_has_a_text_and_is_registered():
+    assert set(QUERIES) == set(TEXTS)
+    assert set(QUERIES) <= set(entry_points.queries()) and set(TEXTS) <= set(entry_points.oracle_sql())
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_matches_duckdb(spark, duck, name):
     df = QUERIES[name](spark, FOLDER)
     got = [tuple(r) for r in df.collect()]
-    if name in ROWS_ONLY:
-        assert got
-        return
     result = duck.execute(TEXTS[name])
     columns = [c[0] for c in result.description]
     assert sorted(columns) == sorted(df.columns)

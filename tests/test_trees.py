@@ -59,3 +59,9 @@ def test_requirement_documents(spark, tmp_path):
     assert rows(H.requirement_fields(reqs)) == [("R2", "id", "xsd:integer", False), ("R2", "note", "xsd:string", True)]
     summary = {(r.facet, r.value): r.requirements for r in H.requirement_summary(reqs).collect()}
     assert summary[("priority", "Must-Have")] == 2 and summary[("technology", "SQL")] == 1 and summary[("type", "F")] == 1
+
+
+def test_cyclic_core_keeps_cycles_and_what_joins_them(spark):
+    edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "b"), ("c", "d"), ("d", "e"), ("e", "e"), ("e", "f"), ("x", "y")], "src string, dst string")
+    assert sorted(map(tuple, H.cyclic_core(edges).select("src", "dst").collect())) == [("b", "c"), ("c", "b"), ("c", "d"), ("d", "e"), ("e", "e")]
+    assert H.cyclic_core(edges.where("src = 'x'")).count() == 0
