@@ -1,11 +1,15 @@
 """Streaming forms of the row triggers, over a folder that receives files.
 
-Every job writes through ``foreachBatch`` to a folder per batch id and overwrites it, so a batch
-that is run again leaves the same rows. The readers combine the batches.
+Every batch is written to a part folder of its own and then committed by one small row. Readers see committed parts
+only, one for each batch, so a batch that runs again neither disturbs a reader nor counts twice. ``compact_*`` merges
+the committed parts into one.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from uuid import uuid4
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -14,24 +18,48 @@ from motorlot.functions.money import mean
 from motorlot.operators.changes import event_state, latest_vehicle_events, payment_audit
 from motorlot.plans.reports import completed, month_of
 
+COMMIT = "batch long, part string, covers array<long>"
+
+
+def _save(rows: DataFrame, path: str, batch: int, covers: list[int]) -> None:
+    """Write a part and commit it: the batch it holds and the earlier ones it stands for."""
+    spark, part = rows.sparkSession, uuid4().hex
+    rows.write.parquet(f"{path}/parts/{part}")
+    covered = F.array(*[F.lit(c).cast("long") for c in covers]).cast("array<long>")
+    row = spark.range(1).select(F.lit(batch).cast("long").alias("batch"), F.lit(part).alias("part"), covered.alias("covers"))
+    row.coalesce(1).write.mode("append").parquet(f"{path}/commits")
 
-def _start(stream: DataFrame, step, path: str) -> StreamingQuery:
-    def write(batch: DataFrame, batch_id: int) -> None:
-        step(batch).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
+def _start(stream: DataFrame, step, path: str) -> StreamingQuery:
     return (
-        stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{path}_progress")
-        .trigger(availableNow=True).start()
+        stream.writeStream.foreachBatch(lambda batch, number: _save(step(batch), path, number, []))
+        .option("checkpointLocation", f"{path}_progress").trigger(availableNow=True).start()
     )
 
 
-def _batches(spark: SparkSession, path: str, schema) -> DataFrame:
+def _committed(spark: SparkSession, path: str) -> dict[int, str]:
+    """Part of each batch that no later part stands for; one small row for each batch is read."""
     try:
-        return spark.read.schema(schema).parquet(path).drop("batch")
+        rows = spark.read.schema(COMMIT).parquet(f"{path}/commits").collect()
     except AnalysisException as missing:
         if missing.getCondition() != "PATH_NOT_FOUND":
             raise
-        return spark.createDataFrame([], schema)  # no batch has run yet
+        return {}  # no batch has run yet
+    covered = {c for r in rows for c in r["covers"]}
+    return {r["batch"]: r["part"] for r in sorted(rows, key=lambda r: r["part"]) if r["batch"] not in covered}
+
+
+def _batches(spark: SparkSession, path: str, schema) -> DataFrame:
+    parts = [f"{path}/parts/{part}" for part in _committed(spark, path).values()]
+    return spark.read.schema(schema).parquet(*parts) if parts else spark.createDataFrame([], schema)
+
+
+def _compact(spark: SparkSession, path: str, schema, merge: Callable[[DataFrame], DataFrame]) -> None:
+    """Merge the committed parts into one; parts that a reader still holds stay where they are."""
+    batches = list(_committed(spark, path))
+    if len(batches) > 1:
+        # Numbers below zero are free: batches of the stream count from zero.
+        _save(merge(_batches(spark, path, schema)), path, min(0, *batches) - 1, batches)
 
 
 # ---- audit rows --------------------------------------------------------------------------------
@@ -48,6 +76,11 @@ def read_audit(spark: SparkSession, path: str) -> DataFrame:
     return _batches(spark, path, AUDIT_SCHEMA)
 
 
+def compact_audit(spark: SparkSession, path: str) -> None:
+    """Put small files together; a rebalance sets their size."""
+    _compact(spark, path, AUDIT_SCHEMA, lambda rows: rows.hint("rebalance"))
+
+
 # ---- vehicle state -----------------------------------------------------------------------------
 
 def _mark(seq_type: str) -> str:
@@ -59,13 +92,26 @@ def stream_vehicle_state(events: DataFrame, path: str) -> StreamingQuery:
     return _start(events, latest_vehicle_events, path)
 
 
+def _state_schema(seq_type: str) -> str:
+    return (f"vehicle_id long, last_at {_mark(seq_type)}, last_event string, read_at {_mark(seq_type)}, "
+            "last_odometer long")
+
+
+def _latest(parts: DataFrame) -> DataFrame:
+    return parts.groupBy("vehicle_id").agg(
+        F.max("last_at").alias("last_at"), F.max_by("last_event", "last_at").alias("last_event"),
+        F.max("read_at").alias("read_at"), F.max_by("last_odometer", "read_at").alias("last_odometer"),
+    )
+
+
+def compact_vehicle_state(spark: SparkSession, path: str, seq_type: str = "string") -> None:
+    """One row for each vehicle from all batches so far."""
+    _compact(spark, path, _state_schema(seq_type), _latest)
+
+
 def read_vehicle_state(spark: SparkSession, path: str, vehicles: DataFrame, seq_type: str = "string") -> DataFrame:
     """Vehicles with the state of all batches so far."""
-    schema = (f"vehicle_id long, last_at {_mark(seq_type)}, last_event string, read_at {_mark(seq_type)}, "
-              "last_odometer long")
-    last = _batches(spark, path, schema).groupBy("vehicle_id").agg(
-        F.max_by("last_event", "last_at").alias("last_event"), F.max_by("last_odometer", "read_at").alias("last_odometer")
-    )
+    last = _latest(_batches(spark, path, _state_schema(seq_type))).select("vehicle_id", "last_event", "last_odometer")
     return vehicles.join(last, "vehicle_id", "left").withColumns({
         "status": F.coalesce(event_state(F.col("last_event")), F.col("status")),
         "mileage": F.coalesce("last_odometer", "mileage"),
@@ -89,6 +135,18 @@ def stream_monthly_revenue(rentals: DataFrame, path: str) -> StreamingQuery:
     return _start(rentals, _month_parts, path)
 
 
+def _summed(parts: DataFrame) -> DataFrame:
+    return parts.groupBy("revenue_month").agg(
+        F.sum("n").alias("n"), F.sum("charged").alias("charged"), F.sum("total").cast("decimal(20,2)").alias("total"),
+        F.max("most").alias("most"), F.min("least").alias("least"),
+    )
+
+
+def compact_monthly_revenue(spark: SparkSession, path: str) -> None:
+    """One row for each month from all batches so far."""
+    _compact(spark, path, REVENUE_SCHEMA, _summed)
+
+
 def read_monthly_revenue(spark: SparkSession, path: str) -> DataFrame:
     return _batches(spark, path, REVENUE_SCHEMA).groupBy("revenue_month").agg(
         F.sum("n").alias("rental_count"), F.sum("total").alias("total_revenue"),
