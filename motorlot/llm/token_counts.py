@@ -180,7 +180,7 @@ def token_counts(docs: DataFrame, model_file: str, limit: int = LIMIT, key: str
                 parts = [words_of(x, table) for x in texts[start:start + 256]]
                 if len(known) > CACHE_WORDS:
                     known = {}
-                new = list(set().union(*parts) - known.keys())
+                new = list(set().union(*parts).difference(known))
                 known.update(zip(new, table.count(new).tolist()))
                 totals += [sum(map(known.__getitem__, p)) for p in parts]
                 sizes += [len(x.encode("utf-8", "replace")) for x in texts[start:start + 256]]
