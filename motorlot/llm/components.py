@@ -20,9 +20,8 @@ def components(links: DataFrame) -> DataFrame:
     while not links.isEmpty():
         both = links.union(links.select("b", "a"))
         parents = saved(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("up")), "parents")
-        for _ in range(2):
-            upper = parents.select(F.col("node").alias("up"), F.col("up").alias("top"))
-            parents = saved(parents.join(upper, "up").select("node", F.col("top").alias("up")), "parents")
+        step = lambda node, up: parents.select(F.col("node").alias(node), F.col("up").alias(up))  # noqa: B023, E731
+        parents = saved(step("node", "x").join(step("x", "y"), "x").join(step("y", "up"), "y").select("node", "up"), "parents")
         left, right = parents.select(F.col("node").alias("a"), F.col("up").alias("x")), parents.select(F.col("node").alias("b"), F.col("up").alias("y"))
         links = saved(links.join(left, "a").join(right, "b").where("x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "links")
         if roots is None:
