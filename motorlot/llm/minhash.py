@@ -18,6 +18,7 @@ COORDINATES = 64
 MATCHES = 32
 SKETCH_BITS = 1024
 HUBS = 4
+FIRST_PAIRS = 2
 BLOCK = 1024
 CACHE_WORDS = 400_000
 
@@ -46,7 +47,7 @@ class Shingles:
         if len(self.known) > CACHE_WORDS:
             self.known = {}
         known = self.known
-        for word in set(words) - known.keys():
+        for word in set(words).difference(known):
             known[word] = xxhash.xxh3_64_intdigest(word)
         h = np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words))
         n = max(len(h) - SHINGLE + 1, 1)
@@ -129,12 +130,14 @@ def hub_pairs(postings: DataFrame, sets: DataFrame) -> DataFrame:
     return known.groupBy("node").agg(F.max(F.struct("m", "hub")).alias("best")).select(F.least("node", "best.hub").alias("a"), F.greatest("node", "best.hub").alias("b")).distinct()
 
 
-def cross_pairs(postings: DataFrame, sets: DataFrame, roots: DataFrame) -> DataFrame:
-    """(a, b, root_a, root_b, m): every pair of sets in one list but different groups that may be alike.
+def cross_pairs(postings: DataFrame, sets: DataFrame, roots: DataFrame, most: int | None = None) -> DataFrame:
+    """(a, b): every pair of sets in one list but different groups that may be alike.
 
     Lists whose sets all belong to one group are done. Longer lists are cut into blocks of about BLOCK sets and compared
     block by block, so no task holds a list; a pair that meets in several lists is counted in the first alone. Only pairs
-    that agree in MATCHES coordinates and whose sketches allow the similarity come out.
+    that agree in MATCHES coordinates and whose sketches allow the similarity come out. With `most`, a block gives no more
+    than so many pairs of the same two groups, the most alike ones: one confirmed pair joins the groups, and what is
+    left is looked at again without `most`.
     """
     grouped = postings.select("node", "key").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     lists = grouped.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("n")).where("low != high")
@@ -151,7 +154,7 @@ def cross_pairs(postings: DataFrame, sets: DataFrame, roots: DataFrame) -> DataF
         for batch in batches:
             new = {name: batch.column(name).to_numpy() for name in ("key", "i", "j", "part", "node", "root", "n", "mask")}
             new["sig"] = batch.column("sig").flatten().to_numpy().reshape(batch.num_rows, -1)
-            new["bits"] = batch.column("bits").flatten().to_numpy().reshape(batch.num_rows, -1)
+            new["bits"] = batch.column("bits").flatten().to_numpy().view(np.uint64).reshape(batch.num_rows, -1)
             held = {k: np.concatenate((held[k], v)) for k, v in new.items()} if held else new
             change = np.flatnonzero((held["key"][1:] != held["key"][:-1]) | (held["i"][1:] != held["i"][:-1]) | (held["j"][1:] != held["j"][:-1])) + 1
             starts = [0, *change.tolist()]
@@ -174,13 +177,20 @@ def cross_pairs(postings: DataFrame, sets: DataFrame, roots: DataFrame) -> DataF
             apart = np.bitwise_count(g["bits"][b] ^ g["bits"][a]).sum(1)
             both = g["n"][b] + g["n"][a]
             ok = (m >= MATCHES) & (apart <= both - 2 * -(-both * 3 // 7)) & ((same & own[b] & own[a]).argmax(1) == here)
-            for x, y in zip(b[ok], m[ok]):
-                first, second = (a, x) if g["node"][a] < g["node"][x] else (x, a)
-                out.append((g["node"][first], g["node"][second], g["root"][first], g["root"][second], y))
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(c, dtype=np.int64)) for c in zip(*out)], ["a", "b", "root_a", "root_b", "m"])
+            out.append(np.stack([np.full(ok.sum(), a), b[ok], m[ok]]))
+        if not out or not sum(x.shape[1] for x in out):
+            return
+        a, b, m = np.concatenate(out, axis=1)
+        if most:
+            low, high = np.minimum(g["root"][a], g["root"][b]), np.maximum(g["root"][a], g["root"][b])
+            order = np.lexsort((-m, high, low))
+            start = np.flatnonzero(np.r_[True, (low[order][1:] != low[order][:-1]) | (high[order][1:] != high[order][:-1])])
+            rank = np.arange(len(order)) - np.repeat(start, np.diff(np.append(start, len(order))))
+            a, b = a[order[rank < most]], b[order[rank < most]]
+        pair = np.sort(np.stack([g["node"][a], g["node"][b]]), axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1])], ["a", "b"])
 
-    return rows.mapInArrow(compared, "a long, b long, root_a long, root_b long, m long")
+    return rows.mapInArrow(compared, "a long, b long")
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -213,7 +223,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     (component_id is null then); a null id is kept only in that case. Other columns are not read.
 
     Pairs inside a group are not all looked at: central sets first join most groups, then only pairs between different
-    groups that meet in some list are compared, the most alike of two groups first.
+    groups that meet in some list are compared, first the most alike of two groups, then all that are left.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = saved(profiles(docs), "profiles")
@@ -225,14 +235,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     links = saved(confirmed(hub_pairs(postings, sets), texts), "links")
     roots = components(links)
-    cross = saved(cross_pairs(postings, sets, roots), "cross")
-    rank = Window.partitionBy("root_a", "root_b").orderBy(F.col("m").desc(), "a", "b")
-    for most in (1, 8, None):
-        ranked = cross.withColumn("r", F.row_number().over(rank)) if most else cross.withColumn("r", F.lit(1))
-        links = links.union(saved(confirmed(ranked.where(F.col("r") <= most) if most else cross, texts), "links"))
+    for most in (FIRST_PAIRS, None):
+        cross = saved(cross_pairs(postings, sets, roots, most), "cross")
+        if cross.isEmpty():
+            break
+        links = links.union(saved(confirmed(cross, texts), "links"))
         roots = components(links)
-        if most:
-            cross = saved(regrouped(ranked.where(F.col("r") > most), roots), "cross")
     named = sets.join(roots, "node", "left").select("set_key", "id", F.coalesce("root", "node").alias("root"))
     smallest = named.groupBy("root").agg(F.min("id").alias("component"))
     by_set = named.join(smallest, "root").select("set_key", "component")
@@ -255,15 +263,6 @@ def texts_of(docs: DataFrame, rows: DataFrame, listed: DataFrame) -> DataFrame:
     return found.mapInArrow(own, "node long, text string").dropDuplicates(["node"])
 
 
-def regrouped(pairs: DataFrame, roots: DataFrame) -> DataFrame:
-    """The pairs that still lie in different groups, with the groups as they are now."""
-    a = roots.select(F.col("node").alias("a"), F.col("root").alias("ra"))
-    b = roots.select(F.col("node").alias("b"), F.col("root").alias("rb"))
-    out = pairs.join(a, "a", "left").join(b, "b", "left")
-    root_a, root_b = F.coalesce("ra", "a"), F.coalesce("rb", "b")
-    return out.where(root_a != root_b).select("a", "b", F.least(root_a, root_b).alias("root_a"), F.greatest(root_a, root_b).alias("root_b"), "m")
-
-
 def representatives(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay: one document of each group, with their columns; repeated rows stay once."""
     kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_id")).distinct()
