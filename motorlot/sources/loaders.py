@@ -12,9 +12,16 @@ def load(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.read.schema(schema_of(table)).parquet(f"{folder}/{table}.parquet")
 
 
-def load_stream(spark: SparkSession, folder: str, table: str) -> DataFrame:
-    """The same scan as a stream over the files of a folder."""
-    return spark.readStream.schema(schema_of(table)).option("pathGlobFilter", f"{table}.parquet").parquet(folder)
+def load_stream(spark: SparkSession, folder: str, table: str, files_per_batch: int | None = None) -> DataFrame:
+    """The same scan as a stream: over the files that a table's folder holds and receives, or over the one file of a table."""
+    path = f"{folder}/{table}.parquet"
+    stored = spark._jvm.org.apache.hadoop.fs.Path(path)
+    # A stream takes folders and patterns only, so a single file is named by a pattern that no other name meets.
+    single = stored.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(stored).isFile()
+    reader = spark.readStream.schema(schema_of(table))
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    return reader.parquet(f"{folder}/{table}.parque[t]" if single else path)
 
 
 def load_requirements(spark: SparkSession, path: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from seed import rows
 
 from motorlot.functions import scalar as S
+from motorlot.plans import catalog
 from motorlot.plans.reports import monthly_summary
 from motorlot.sources import adapter as A, loaders, sinks as K
 from motorlot.sources.schemas import RENTAL_DOMAIN, STORED, schema_of
@@ -126,3 +127,40 @@ def test_streams_equal_batches(spark, tmp_path):
 
 def test_stream_without_files(spark, tmp_path):
     assert jobs.read_audit(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_stream_reads_the_table_that_a_scan_reads(spark, tmp_path):
+    folder, data = tmp_path / "in", "/root/testdata/sf0.001"
+    nation = loaders.load(spark, data, "nation")
+    nation.repartition(2).write.parquet(str(folder / "nation.parquet"))
+    nation.coalesce(1).write.parquet(str(folder / "nation_old.parquet"))
+    seen = []
+
+    def run(source, name):
+        query = loaders.load_stream(spark, str(source), "nation", 1).writeStream.foreachBatch(lambda batch, _: seen.append(batch.count()))
+        query.option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start().awaitTermination()
+
+    run(folder, "first")
+    assert len(seen) == 2 and sum(seen) == loaders.load(spark, str(folder), "nation").count() == 25
+    nation.limit(7).coalesce(1).write.mode("append").parquet(str(folder / "nation.parquet"))
+    run(folder, "first")
+    assert seen[2:] == [7]
+    seen.clear()
+    run(data, "single")
+    assert seen == [25]
+    with pytest.raises(Exception, match="FileNotFound"):
+        loaders.load_stream(spark, str(tmp_path), "nation")
+
+
+@pytest.mark.parametrize("name", ["vehicle_state", "monthly_revenue"])
+def test_stream_queries_merge_batches(spark, monkeypatch, name):
+    compact, held = getattr(jobs, f"compact_{name}"), []
+
+    def watched(s, path):
+        held.append(len(jobs._committed(s, path)))
+        compact(s, path)
+        held.append(len(jobs._committed(s, path)))
+
+    monkeypatch.setattr(jobs, f"compact_{name}", watched)
+    assert catalog.stream_queries()[f"stream_{name}"](spark, "/root/testdata/sf0.001").count() > 0
+    assert held == [3, 1]
