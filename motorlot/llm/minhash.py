@@ -72,8 +72,13 @@ def sketch(s: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(bool), bitorder="little").view(np.int64)
 
 
+def text_key(text: str) -> Column:
+    """Name of a text, so that rows of one id or without an id can be told apart."""
+    return F.coalesce(F.unhex(F.md5(text)), F.lit(b""))
+
+
 def profiles(docs: DataFrame) -> DataFrame:
-    """(doc_id, n, set_key, sig, bits) of each row; set_key names the set and is null without words."""
+    """(doc_id, text_key, n, set_key, sig, bits) of each row; set_key names the set and is null without words."""
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingles()
         for batch in batches:
@@ -84,9 +89,9 @@ def profiles(docs: DataFrame) -> DataFrame:
                 keys.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
                 sigs.append(signature(s) if len(s) else None)
                 bits.append(sketch(s) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(sigs, pa.list_(pa.int32())), pa.array(bits, pa.list_(pa.int64()))], ["doc_id", "n", "set_key", "sig", "bits"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(sigs, pa.list_(pa.int32())), pa.array(bits, pa.list_(pa.int64()))], ["doc_id", "text_key", "n", "set_key", "sig", "bits"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(made, "doc_id long, n long, set_key binary, sig array<int>, bits array<long>")
+    return docs.select(F.col("doc_id").cast("long"), "text", text_key("text").alias("text_key")).mapInArrow(made, "doc_id long, text_key binary, n long, set_key binary, sig array<int>, bits array<long>")
 
 
 def prefix_postings(sets: DataFrame, matches: int = MATCHES) -> DataFrame:
@@ -225,9 +230,24 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     Pairs inside a group are not all looked at: central sets first join most groups, then only pairs between different
     groups that meet in some list are compared, first the most alike of two groups, then all that are left.
     """
+    rows, named = grouped(docs)
+    smallest = named.groupBy("root").agg(F.min("one.doc_id").alias("component"))
+    by_set = named.join(smallest, "root").select("set_key", "component")
+    out = rows.select("doc_id", "n", "set_key").join(by_set, "set_key", "left")
+    component = F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("component"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Profiles of the rows, and (set_key, one, root) of each set: root names its group, one its first row.
+
+    The first row has the smallest doc_id, and no id only if all rows of the set have none; rows that are still equal go
+    by their text.
+    """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = saved(profiles(docs), "profiles")
-    nodes = rows.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("bits").alias("bits"))
+    one = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")
+    nodes = rows.where("set_key is not null").groupBy("set_key").agg(F.min(one).alias("one"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("bits").alias("bits"))
     sets = saved(nodes.withColumn("node", F.monotonically_increasing_id()), "sets")
     postings = saved(prefix_postings(sets), "postings")
     listed = postings.select("node").distinct().join(sets.select("node", "set_key"), "node")
@@ -241,12 +261,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             break
         links = links.union(saved(confirmed(cross, texts), "links"))
         roots = components(links)
-    named = sets.join(roots, "node", "left").select("set_key", "id", F.coalesce("root", "node").alias("root"))
-    smallest = named.groupBy("root").agg(F.min("id").alias("component"))
-    by_set = named.join(smallest, "root").select("set_key", "component")
-    out = rows.select("doc_id", "n", "set_key").join(by_set, "set_key", "left")
-    component = F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("component"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return rows, sets.join(roots, "node", "left").select("set_key", "one", F.coalesce("root", "node").alias("root"))
 
 
 def texts_of(docs: DataFrame, rows: DataFrame, listed: DataFrame) -> DataFrame:
@@ -264,7 +279,14 @@ def texts_of(docs: DataFrame, rows: DataFrame, listed: DataFrame) -> DataFrame:
 
 
 def representatives(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay: one document of each group, with their columns; repeated rows stay once."""
-    kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_id")).distinct()
-    named = docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(kept["_id"]), "left_semi").withColumn("_text", F.xxhash64("text"))
+    """The rows of docs that stay: one document of each group, with their columns; repeated rows stay once.
+
+    A group keeps the row with its smallest doc_id, and one without an id only if no row of it has an id; several such
+    rows with other texts are decided by the text. Rows without words are in no group and all stay.
+    """
+    rows, named = grouped(docs)
+    first = named.groupBy("root").agg(F.min("one").alias("one")).select("one.doc_id", "one.text_key")
+    kept = first.union(rows.where("set_key is null").select("doc_id", "text_key")).distinct().toDF("_id", "_key")
+    keyed = docs.withColumn("_text", text_key("text"))
+    named = keyed.join(kept, keyed["doc_id"].cast("long").eqNullSafe(kept["_id"]) & (keyed["_text"] == kept["_key"]), "left_semi")
     return named.dropDuplicates(["doc_id", "_text"]).select(*[f"`{c}`" for c in docs.columns])

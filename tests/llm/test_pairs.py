@@ -57,6 +57,18 @@ def test_repeated_and_null_ids(spark, make_docs):
     assert sorted((r["doc_id"], r["text"]) for r in kept.collect() if r["doc_id"]) == [(3, text), (3, other)]
 
 
+def test_one_row_of_each_group_stays_whatever_the_ids(spark, make_docs):
+    words = [f"w{k}" for k in range(60)]
+    near = " ".join([*words[:-1], "other"])
+    text, far = " ".join(words), "one two three four five six"
+    rows = [(None, text), (None, text), (None, near), (None, "k l m n o p"), (4, "k l m n o p")]
+    rows += [(7, far), (7, far.upper()), (7, far + " seven"), (None, None), (None, " "), (None, " "), (7, "")]
+    got = [(r["doc_id"], r["text"]) for r in minhash.representatives(make_docs(rows)).collect()]
+    assert len(got) == len(set(got)) == 7
+    assert len({(None, text), (None, near)} & set(got)) == 1 and len({(7, far), (7, far.upper())} & set(got)) == 1
+    assert {(4, "k l m n o p"), (7, far + " seven"), (None, None), (None, " "), (7, "")} <= set(got)
+
+
 def test_sketch_never_overstates_the_difference():
     rng = np.random.default_rng(3)
     for _ in range(200):
