@@ -250,8 +250,8 @@ def grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     nodes = rows.where("set_key is not null").groupBy("set_key").agg(F.min(one).alias("one"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("bits").alias("bits"))
     sets = saved(nodes.withColumn("node", F.monotonically_increasing_id()), "sets")
     postings = saved(prefix_postings(sets), "postings")
-    listed = postings.select("node").distinct().join(sets.select("node", "set_key"), "node")
-    texts = saved(texts_of(docs, rows, listed), "texts")
+    listed = postings.select("node").distinct().join(sets.select("node", "one"), "node")
+    texts = saved(texts_of(docs, listed), "texts")
 
     links = saved(confirmed(hub_pairs(postings, sets), texts), "links")
     roots = components(links)
@@ -264,18 +264,11 @@ def grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows, sets.join(roots, "node", "left").select("set_key", "one", F.coalesce("root", "node").alias("root"))
 
 
-def texts_of(docs: DataFrame, rows: DataFrame, listed: DataFrame) -> DataFrame:
-    """(node, text) of the listed sets, each from one row that has the set."""
-    one = listed.join(rows.select("doc_id", "set_key"), "set_key").groupBy("node", "set_key").agg(F.min("doc_id").alias("doc_id"))
-    found = docs.join(one, docs["doc_id"].eqNullSafe(one["doc_id"])).select("node", "set_key", "text")
-
-    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles = Shingles()
-        for batch in batches:
-            keep = pa.array([xxhash.xxh3_128_digest(shingles.of(t).tobytes()) == k for k, t in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())], pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(2).filter(keep)], ["node", "text"])
-
-    return found.mapInArrow(own, "node long, text string").dropDuplicates(["node"])
+def texts_of(docs: DataFrame, listed: DataFrame) -> DataFrame:
+    """(node, text) of the listed sets (node, one): id and text name one text, so a row fetches for one set at most."""
+    one = listed.select("node", F.col("one.doc_id").alias("id"), F.col("one.text_key").alias("key"))
+    mine = docs.select("doc_id", "text", text_key("text").alias("text_key"))
+    return mine.join(one, mine["doc_id"].eqNullSafe(one["id"]) & (mine["text_key"] == one["key"])).select("node", "text").dropDuplicates(["node"])
 
 
 def representatives(docs: DataFrame) -> DataFrame:

@@ -69,6 +69,26 @@ def test_one_row_of_each_group_stays_whatever_the_ids(spark, make_docs):
     assert {(4, "k l m n o p"), (7, far + " seven"), (None, None), (None, " "), (7, "")} <= set(got)
 
 
+def test_a_set_fetches_its_own_text_alone(spark, make_docs, monkeypatch):
+    joined, fetch = [], minhash.texts_of
+
+    def watched(*given):
+        out = fetch(*given)
+        joined.append(out._jdf.queryExecution().optimizedPlan().toString())
+        joined.append({r["node"]: r["text"] for r in out.collect()})
+        return out
+
+    monkeypatch.setattr(minhash, "texts_of", watched)
+    rng = random.Random(8)
+    base = [f"w{k}" for k in range(150)]
+    rows = [(k % 2 or None, " ".join(edited(rng, base, 0.02))) for k in range(40)]
+    minhash.near_duplicates(make_docs(rows))
+    plan, texts = joined
+    assert sorted(texts.values()) == sorted({t for _, t in rows})
+    join = next(line for line in plan.splitlines() if "Join Inner" in line)
+    assert "text_key" in join and "doc_id" in join
+
+
 def test_sketch_never_overstates_the_difference():
     rng = np.random.default_rng(3)
     for _ in range(200):
