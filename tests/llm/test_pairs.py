@@ -1,6 +1,9 @@
 """Near duplicates of vectors and texts, and connected components."""
 
 import random
+import re
+from math import comb
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -89,6 +92,13 @@ def test_a_set_fetches_its_own_text_alone(spark, make_docs, monkeypatch):
     assert "text_key" in join and "doc_id" in join
 
 
+def test_stated_recall_is_the_binomial_tail():
+    pairs = 1 / sum(comb(64, k) * 0.75**k * 0.25**(64 - k) for k in range(minhash.MATCHES))
+    for place in (Path(minhash.__file__), Path(minhash.__file__).parents[2] / "README.md"):
+        stated = re.search(r"once in (?:about )?([\d,]+)\s+pairs", place.read_text()).group(1)
+        assert abs(int(stated.replace(",", "")) / pairs - 1) < 0.01
+
+
 def test_sketch_never_overstates_the_difference():
     rng = np.random.default_rng(3)
     for _ in range(200):
