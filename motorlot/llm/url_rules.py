@@ -5,7 +5,6 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from motorlot.llm.store import ascii_lower, saved
@@ -77,9 +76,8 @@ def judged(spark: SparkSession, pages: DataFrame, rules: tuple[Rule, ...] = HOST
     addresses = saved(parts.where("_at != ''").select("_at").distinct(), "addresses")
     tokens = addresses.select("_at", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("_at"), F.lit(TOKEN), F.lit(0)))).alias("token"))
 
-    kinds = {"id": pa.int32(), "name": pa.string(), "verdict": pa.string(), "pattern": pa.string(), "rank": pa.int32(), "tokens": pa.list_(pa.string())}
-    rows = [{"id": i} | vars(r) | {"tokens": list(r.tokens)} for i, r in enumerate(rules)]
-    listed = spark.createDataFrame(pa.Table.from_pylist(rows, pa.schema(list(kinds.items()))))
+    rows = [(i, r.name, r.verdict, r.pattern, r.rank, list(r.tokens)) for i, r in enumerate(rules)]
+    listed = spark.createDataFrame(rows, "id int, name string, verdict string, pattern string, rank int, tokens array<string>")
     hint = F.broadcast if len(rules) <= BROADCAST_RULES else lambda df: df
     terms = listed.select("id", F.explode("tokens").alias("token"))
     held = tokens.join(hint(terms.select("token").distinct()), "token").groupBy("token").agg(F.count(F.lit(1)).alias("n"))

@@ -2,6 +2,8 @@
 
 import hashlib
 import random
+import re
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -76,6 +78,12 @@ def test_rules_are_fetched_by_their_rarest_token(spark):
     assert url_rules.judged(spark, pages, ()).where("verdict = 'allow'").count() == 6
 
 
+@pytest.mark.parametrize("name", ["url_rules", "sharding", "decontamination", "mixing"])
+def test_native_operators_import_no_arrow(name):
+    source = Path(url_rules.__file__).with_name(f"{name}.py").read_text()
+    assert not re.search(r"^\s*(import|from) (pyarrow|pandas|numpy)", source, re.M)
+
+
 PAGE = "<html><head><title>A &amp; B</title><style>p{}</style><script>var t='</p>';</script></head><body><!-- no --><h1>Head</h1><p>One<br>two &lt;3 <b>bold</b></p><a href='/x?a=1&amp;b=2'>L</a><p>Ünï 日本</p></body></html>"
 
 
