@@ -142,6 +142,16 @@ def test_vectors_without_id_and_repeated(spark):
     assert got == sorted([(None, 0, None, True), (1, 1, 1, True), (2, 1, 1, False)], key=str)
 
 
+def test_near_copies_on_the_threshold_are_judged_by_their_rows():
+    # Rows 0 and 1 are 1e-8 apart, which a cosine cannot show; row 2 is 0.95 from between them.
+    angles = np.array([0, 1e-8, np.arccos(0.95) + 5e-9])
+    x = vectors.unit(np.stack([np.cos(angles), np.sin(angles)], axis=1))
+    order, starts, centres, radii = vectors.Tree.built(x)
+    n, _ = vectors.traversed(vectors.Tree(x[order], starts, centres, radii), None, 0.95)
+    near = x[order] @ x[order].T >= 0.95
+    assert (n == near.sum(1) - 1).all() and sorted(n) == [1, 1, 2]
+
+
 def test_large_nodes_are_compared_in_blocks(monkeypatch):
     rng = np.random.default_rng(4)
     base = rng.normal(size=24)
