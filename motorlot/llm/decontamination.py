@@ -51,7 +51,7 @@ def in_blocks(terms: DataFrame, column: str, block: int) -> list[list[str]]:
 def postings(text: str, anchors: list[str], size: int) -> Column:
     """(n_words, list of postings) of a text: for each place of an anchor term, the term, place, and words around it.
 
-    The words around, up to size - 1 each side, are the neighbouring lists cut to what offset-adjusted meeting can use.
+    The words around, up to size - 1 each side, stand in for the lists of the other terms: windows are compared with them.
     The array of words is bound to a lambda variable, so a text is split once.
     """
     def posting(ws: Column, i: Column) -> Column:
