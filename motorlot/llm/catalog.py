@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from motorlot.llm import decontamination, lines, minhash, mixing, quality, sharding, token_counts, url_rules, vectors, warc
+from motorlot.llm import alignment, decontamination, lines, minhash, mixing, quality, quality_rules, sharding, spelling, token_counts, url_rules, vectors, warc
 from motorlot.llm.store import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -53,10 +53,23 @@ def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.digest(table(spark, folder, "documents"))
 
 
+def op11_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.variants(table(spark, folder, "documents"))
+
+
+def op12_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    return alignment.scored(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op13_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return quality_rules.digest(quality_rules.judged(table(spark, folder, "documents")))
+
+
 def queries() -> dict[str, Query]:
-    own = (op1_cover_tree, op2_quality_votes, op3_url_rules, op4_sharding, op5_token_counts, op6_warc_derivatives, op7_decontamination, op8_minhash_near_dedup, op9_line_dedup, op10_mixing)
+    own = (op1_cover_tree, op2_quality_votes, op3_url_rules, op4_sharding, op5_token_counts, op6_warc_derivatives, op7_decontamination, op8_minhash_near_dedup, op9_line_dedup, op10_mixing,
+           op11_spelling_variants, op12_token_alignment, op13_quality_rules)
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_cover_tree": vectors.SQL, "op3_url_rules": url_rules.SQL, "op7_decontamination": decontamination.SQL, "op9_line_dedup": lines.SQL, "op10_mixing": mixing.SQL}
+    return {"op1_cover_tree": vectors.SQL, "op3_url_rules": url_rules.SQL, "op7_decontamination": decontamination.SQL, "op9_line_dedup": lines.SQL, "op10_mixing": mixing.SQL, "op13_quality_rules": quality_rules.SQL}
