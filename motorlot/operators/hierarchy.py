@@ -127,15 +127,6 @@ def cyclic_core(edges: DataFrame) -> DataFrame:
     return edges
 
 
-def dependency_checks(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Problems of a graph: nodes on a cycle and edges to unknown nodes. Only the cyclic core is closed."""
-    loops = closure(cyclic_core(edges)).where(F.col("src") == F.col("dst")).select(F.col("src").alias("node"), F.lit("CYCLE").alias("problem"))
-    dangling = edges.join(nodes.select(F.col("id").alias("dst")), "dst", "left_anti").select(
-        F.col("dst").alias("node"), F.lit("UNKNOWN_TARGET").alias("problem")
-    ).distinct()
-    return loops.unionByName(dangling)
-
-
 def requirement_summary(requirements: DataFrame) -> DataFrame:
     """Requirement counts by type, priority, status and technology."""
     facets = F.array(

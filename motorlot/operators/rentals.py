@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from motorlot.functions.money import money, ratio
 from motorlot.operators.changes import assign_keys
 from motorlot.operators.ordered import ordered_scan
+from motorlot.operators.overlap import first_blocker
 from motorlot.operators.pricing import apply_loyalty, apply_promo, check_promos, price
 from motorlot.session import checkpointed
 
@@ -60,8 +61,8 @@ def grant_in_order(requests: DataFrame, order: str) -> DataFrame:
     return requests.join(granted, order, "left_semi").select(*requests.columns)
 
 
-# An island of bookings with at most this many of them is decided in one row.
-FOLD_ROWS = 2000
+# An island of requests with at most this many of them is decided in one row.
+FOLD_ROWS = 500
 
 
 def with_islands(rows: DataFrame) -> DataFrame:
@@ -77,59 +78,73 @@ def with_islands(rows: DataFrame) -> DataFrame:
     return rows.join(numbered, ["vehicle_id", "s"])
 
 
+def contenders(requests: DataFrame, existing: DataFrame, order: str) -> DataFrame:
+    """(order, vehicle_id, s, e, island, n) of the proper requests on a vehicle; n requests share an island.
+
+    A request that overlaps an existing booking has island -1: it clashes for certain and holds no day, so islands are
+    made of the others alone. Nothing here hangs on who may be accepted, so it is worked out once for all passes.
+    """
+    proper = (F.col("pickup_date") < F.col("dropoff_date")) & F.col("vehicle_id").isNotNull()
+    asked = requests.where(proper).select(F.col(order).alias("o"), "vehicle_id", "pickup_date", "dropoff_date")
+    held = existing.select("vehicle_id", F.lit(0).alias("_id"), F.col("pickup_date").alias("_s"), F.col("dropoff_date").alias("_e"))
+    marked = checkpointed(first_blocker(asked, held, "vehicle_id", "pickup_date", "dropoff_date", "_id", "_s", "_e").select(
+        "o", "vehicle_id", F.col("pickup_date").alias("s"), F.col("dropoff_date").alias("e"), F.col("blocker").isNotNull().alias("blocked")))
+    free = with_islands(marked.where("not blocked").drop("blocked"))
+    sizes = free.groupBy("vehicle_id", "island").agg(F.count(F.lit(1)).alias("n"))
+    blocked = marked.where("blocked").select("o", "vehicle_id", "s", "e", F.lit(-1).cast("long").alias("island"), F.lit(1).cast("long").alias("n"))
+    return checkpointed(free.join(sizes, ["vehicle_id", "island"]).select("o", "vehicle_id", "s", "e", "island", "n").unionByName(blocked))
+
+
+def decided(lines: DataFrame, fold_rows: int) -> DataFrame:
+    """(o, clash) of contenders with ``able``: whether a request overlaps an existing booking or an earlier accepted one.
+
+    A request alone on its island is free. Other islands are folded in order; those with too many requests for one row
+    are decided by ``grant_in_order``.
+    """
+    alone = lines.where("n = 1").select("o", (F.col("island") < 0).alias("clash"))
+    few = _folded(lines.where((F.col("n") > 1) & (F.col("n") <= fold_rows)))
+    many = lines.where((F.col("n") > 1) & (F.col("n") > fold_rows))
+    out = alone.unionByName(few)
+    return out if many.isEmpty() else out.unionByName(_by_days(many))
+
+
 def clash_flags(requests: DataFrame, existing: DataFrame, order: str, fold_rows: int = FOLD_ROWS) -> DataFrame:
     """(order, clash): whether a request overlaps an existing booking or an earlier accepted request.
 
-    ``able`` tells whether a request would be accepted but for a clash. The outcome of a request
-    hangs on the ones before it that reach it through other bookings, so each vehicle is cut into
-    islands without a gap and each island is folded in order; islands with too many bookings for one
-    row are decided by ``grant_in_order`` instead. A request without a vehicle clashes with nothing.
+    ``able`` tells whether a request would be accepted but for a clash. A request without a vehicle clashes with nothing;
+    one with empty dates has no row.
     """
-    spans = ["vehicle_id", F.col("pickup_date").alias("s"), F.col("dropoff_date").alias("e")]
-    proper = (F.col("pickup_date") < F.col("dropoff_date")) & F.col("vehicle_id").isNotNull()
-    held, asked = existing.where(proper), requests.where(proper)
+    able = requests.select(F.col(order).alias("o"), "able")
+    flags = decided(checkpointed(contenders(requests, existing, order).join(able, "o")), fold_rows)
     nowhere = requests.where((F.col("pickup_date") < F.col("dropoff_date")) & F.col("vehicle_id").isNull()).select(order, F.lit(False).alias("clash"))
-    rows = held.select(*spans, F.lit(False).alias("asks"), F.lit(None).cast(requests.schema[order].dataType).alias("o"),
-                       F.lit(True).alias("able")).unionByName(
-        asked.select(*spans, F.lit(True).alias("asks"), F.col(order).alias("o"), "able"))
-    rows = checkpointed(with_islands(rows))
-    asking = rows.groupBy("vehicle_id", "island").agg(F.count(F.lit(1)).alias("n"), F.max("asks").alias("asks")).where("asks")
-    busy = checkpointed(asking.where(F.col("n") > fold_rows).select("vehicle_id", "island"))
-    few = _folded(rows.join(asking.where(F.col("n") <= fold_rows).select("vehicle_id", "island"), ["vehicle_id", "island"], "left_semi"), order)
-    if busy.isEmpty():
-        return few.unionByName(nowhere)
-    long = rows.join(busy, ["vehicle_id", "island"], "left_semi").select("vehicle_id", F.col("s").alias("pickup_date"), F.col("e").alias("dropoff_date"), "asks", F.col("o").alias(order), "able")
-    many = _by_days(long.where("asks"), long.where("not asks"), order)
-    return few.unionByName(many).unionByName(nowhere)
-
-
-def _folded(rows: DataFrame, order: str) -> DataFrame:
-    entry = F.struct("asks", "o", "s", "e", "able")
-    lined = rows.groupBy("vehicle_id", "island").agg(F.array_sort(F.collect_list(entry)).alias("line"))
-    kind = lined.schema["line"].dataType.elementType.simpleString().replace("struct<", "struct<clash:boolean,", 1)
+    return flags.withColumnRenamed("o", order).unionByName(nowhere)
+
+
+def _folded(lines: DataFrame) -> DataFrame:
+    """Islands in order; only the spans accepted so far are carried and searched."""
+    lined = lines.groupBy("vehicle_id", "island").agg(F.array_sort(F.collect_list(F.struct("o", "s", "e", "able"))).alias("line"))
+    span = "struct<s:{0},e:{0}>".format(lines.schema["s"].dataType.simpleString())
+    order = lines.schema["o"].dataType.simpleString()
+    start = F.struct(F.array().cast(f"array<{span}>").alias("taken"), F.array().cast(f"array<{order}>").alias("hit"))
 
     def step(done, x):
-        hit = F.exists(done, lambda h: h["able"] & ~h["clash"] & (h["s"] < x["e"]) & (h["e"] > x["s"]))
-        return F.array_append(done, F.struct(
-            (x["asks"] & hit).alias("clash"), *[x[c].alias(c) for c in ("asks", "o", "s", "e", "able")]))
+        hit = F.exists(done["taken"], lambda h: (h["s"] < x["e"]) & (h["e"] > x["s"]))
+        return F.struct(
+            F.when(x["able"] & ~hit, F.array_append(done["taken"], F.struct(x["s"].alias("s"), x["e"].alias("e")))).otherwise(done["taken"]).alias("taken"),
+            F.when(hit, F.array_append(done["hit"], x["o"])).otherwise(done["hit"]).alias("hit"),
+        )
 
-    done = F.aggregate("line", F.array().cast(f"array<{kind}>"), step)
-    return lined.select(F.explode(done).alias("d")).where("d.asks").select(F.col("d.o").alias(order), F.col("d.clash").alias("clash"))
+    hits = lined.select("line", F.aggregate("line", start, step, lambda done: done["hit"]).alias("hits"))
+    return hits.select(F.explode(F.transform("line", lambda x: F.struct(x["o"].alias("o"), F.array_contains("hits", x["o"]).alias("clash")))).alias("d")).select("d.*")
 
 
-def _by_days(requests: DataFrame, existing: DataFrame, order: str) -> DataFrame:
-    requests = checkpointed(requests)
-    booked = day_slots(existing).distinct()
-    blocked = day_slots(requests, order).join(booked, ["vehicle_id", "day"], "left_semi").select(order).distinct()
-    free = requests.where("able").join(blocked, order, "left_anti")
-    granted = grant_in_order(free.select(order, "vehicle_id", "pickup_date", "dropoff_date"), order)
-    # A day is held by a booking from the start, or by the one request granted on it.
-    holders = booked.withColumn("_holder", F.lit(None).cast(requests.schema[order].dataType)).unionByName(
-        day_slots(granted, order).withColumnRenamed(order, "_holder"))
-    clashing = day_slots(requests, order).join(holders, ["vehicle_id", "day"]).where(
-        F.col("_holder").isNull() | (F.col("_holder") < F.col(order))
-    ).select(order).distinct().withColumn("_hit", F.lit(True))
-    return requests.join(clashing, order, "left").select(order, F.coalesce("_hit", F.lit(False)).alias("clash"))
+def _by_days(lines: DataFrame) -> DataFrame:
+    """The same for islands of any size, by vehicle days."""
+    asked = checkpointed(lines.select("o", "vehicle_id", F.col("s").alias("pickup_date"), F.col("e").alias("dropoff_date"), "able"))
+    granted = grant_in_order(asked.where("able").select("o", "vehicle_id", "pickup_date", "dropoff_date"), "o")
+    holders = day_slots(granted, "o").withColumnRenamed("o", "_holder")
+    clashing = day_slots(asked, "o").join(holders, ["vehicle_id", "day"]).where(F.col("_holder") < F.col("o")).select("o").distinct().withColumn("_hit", F.lit(True))
+    return asked.join(clashing, "o", "left").select("o", F.coalesce("_hit", F.lit(False)).alias("clash"))
 
 
 def _run_out(accepted: DataFrame, order: str):
@@ -138,7 +153,7 @@ def _run_out(accepted: DataFrame, order: str):
     ``_left`` is the number of uses left before the batch. Uses are numbered by an ordered scan.
     """
     full = accepted.groupBy("promo_code", "_left").agg(F.count(F.lit(1)).alias("n")).where("n > _left").select("promo_code")
-    numbered = ordered_scan(accepted.join(F.broadcast(full), "promo_code", "left_semi").select("promo_code", "_left", order), [order], [order], ["promo_code"], ranks=False)
+    numbered = ordered_scan(accepted.join(full, "promo_code", "left_semi").select("promo_code", "_left", order), [order], [order], ["promo_code"], ranks=False)
     return numbered.where(F.col("row_num") == F.col("_left")).orderBy(order).select("promo_code", order).first()
 
 
@@ -149,8 +164,8 @@ def decide_reservations(requests: DataFrame, existing: DataFrame, customers: Dat
     Checks in turn: dates, clash with a booking or with a request accepted earlier in the order,
     customer, promotion. A request that fails a later check blocks nobody. Every accepted request
     uses its promotion once, and a promotion at its limit is refused from there on: the batch is
-    decided, the earliest request at which some promotion runs out is exact and fixed, and the rest
-    is decided again, so there is one pass more for each promotion that runs out in the batch.
+    decided, the earliest request at which some promotion runs out is exact and fixed, and the
+    islands of requests that this refuses are decided again, once for each promotion that runs out.
     """
     people = customers.select("customer_id", F.col("is_active").alias("_active"))
     checked = check_promos(requests, promos, as_of).join(people, "customer_id", "left").withColumns({
@@ -159,26 +174,39 @@ def decide_reservations(requests: DataFrame, existing: DataFrame, customers: Dat
     })
     checked = checkpointed(checked)
     left = promos.where(F.col("max_uses").isNotNull()).select("promo_code", (F.col("max_uses") - F.col("current_uses")).alias("_left"))
+    able = F.col("_dates_ok") & F.col("_customer_ok") & (F.col("promo_check") == "OK")
+    asking = checked.select(F.col(order).alias("o"), F.coalesce("promo_code", F.lit("")).alias("code"), able.alias("able"))
+    lines = checkpointed(contenders(checked, existing, order).join(asking, "o"))
+    flags = checkpointed(decided(lines, fold_rows))
     ends: dict[str, object] = {}
     while True:
-        over = F.lit(False)
-        for code, last in ends.items():
-            over = over | ((F.col("promo_code") == code) & (F.col(order) > F.lit(last)))
-        now = checked.withColumn("promo_check", F.when(F.coalesce(over, F.lit(False)) & (F.col("promo_check") == "OK"), "PROMO_LIMIT_REACHED").otherwise(F.col("promo_check")))
-        now = now.withColumn("able", F.col("_dates_ok") & F.col("_customer_ok") & (F.col("promo_check") == "OK"))
-        flags = checkpointed(clash_flags(now.select(order, "vehicle_id", "pickup_date", "dropoff_date", "able"), existing, order, fold_rows))
-        accepted = now.where("able").join(flags.where("not clash"), order).join(left, "promo_code").where(~F.col("promo_code").isin(list(ends)))
+        accepted = lines.where("able").join(flags.where("not clash"), "o").select(F.col("o").alias(order), F.col("code").alias("promo_code"))
+        nowhere = checked.where(F.col("vehicle_id").isNull()).where(able).select(order, "promo_code")
+        accepted = accepted.unionByName(nowhere).join(left, "promo_code").where(~F.col("promo_code").isin(list(ends)))
         ran_out = _run_out(accepted, order)
         if ran_out is None:
             break
-        ends[ran_out["promo_code"]] = ran_out[order]
-    checked = now
+        code, last = ran_out["promo_code"], ran_out[order]
+        ends[code] = last
+        # Only islands with a request that this promotion now refuses can change.
+        refused = (F.col("code") == code) & (F.col("o") > F.lit(last))
+        lines = checkpointed(lines.withColumn("changed", F.col("able") & refused).withColumn("able", F.col("able") & ~refused))
+        changed = lines.where("changed").select("vehicle_id", "island").where("island >= 0").distinct()
+        again = lines.where("island >= 0 and n > 1").join(changed, ["vehicle_id", "island"], "left_semi").drop("changed")
+        again = checkpointed(decided(again, fold_rows))
+        lines = lines.drop("changed")
+        flags = checkpointed(flags.join(again, "o", "left_anti").unionByName(again))
+    over = F.lit(False)
+    for code, last in ends.items():
+        over = over | ((F.col("promo_code") == code) & (F.col(order) > F.lit(last)))
+    checked = checked.withColumn("promo_check", F.when(F.coalesce(over, F.lit(False)) & (F.col("promo_check") == "OK"), "PROMO_LIMIT_REACHED").otherwise(F.col("promo_check")))
+    flags = flags.withColumnRenamed("o", order)
     reason = (
         F.when(~F.col("_dates_ok"), "INVALID_DATES").when(F.col("clash"), "VEHICLE_UNAVAILABLE")
         .when(~F.col("_customer_ok"), "CUSTOMER_NOT_FOUND").when(F.col("promo_check") != "OK", F.col("promo_check"))
     )
-    decided = checked.join(flags, order, "left").withColumn("reason", reason)
-    priced = apply_promo(price(decided, rates, "pickup_date", "dropoff_date"), promos, as_of)
+    told = checked.join(flags, order, "left").withColumn("reason", reason)
+    priced = apply_promo(price(told, rates, "pickup_date", "dropoff_date"), promos, as_of)
     return apply_loyalty(priced, customers, "left").select(
         order, "customer_id", "vehicle_id", "pickup_date", "dropoff_date", "promo_code",
         F.when(F.col("reason").isNull(), "CONFIRMED").otherwise("REFUSED").alias("decision"), "reason",

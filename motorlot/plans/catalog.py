@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
 from motorlot.functions import scalar as S
-from motorlot.operators import changes as J, checks as C, hierarchy as H, overlap as O, pricing as P, rentals as Q
+from motorlot.operators import changes as J, checks as C, hierarchy as H, overlap as O, pricing as P, rentals as Q, tours
 from motorlot.plans import lookups as L, reports as R, sql_api
 from motorlot.session import checkpoint_dir
 from motorlot.sources import adapter as A, loaders, sinks as K
@@ -169,11 +169,15 @@ def lookup_queries() -> dict[str, Query]:
         "vehicle_availability": lambda s, d: L.vehicle_availability(*_fleet(s, d), AS_OF),
         "list_customers": lambda s, d: L.list_customers(A.customers(s, d), AS_OF),
         "active_rentals_view": lambda s, d: L.active_rentals_view(_booked(s, d, "ACTIVE"), *_view(s, d), AS_OF),
+        "list_active_rentals": lambda s, d: L.list_active_rentals(_booked(s, d, "ACTIVE"), *_view(s, d), AS_OF),
         "active_rentals_tvf": lambda s, d: L.active_rentals(
             _booked(s, d, "ACTIVE"), A.customers(s, d), A.vehicles(s, d), 3),
         "overdue_rentals": lambda s, d: L.overdue(_booked(s, d, "ACTIVE"), *_view(s, d), AS_OF),
         "overlapping_bookings": lambda s, d: O.clash_counts(
             A.rentals(s, d), "vehicle_id", "pickup_date", "dropoff_date").select("rental_ref", "vehicle_id", "clashes"),
+        "first_blocking_booking": lambda s, d: O.first_blocker(
+            A.requests(s, d), A.rentals(s, d).where(F.col("status") != "ACTIVE").select("vehicle_id", F.col("rental_ref").alias("held"), F.col("pickup_date").alias("held_from"), F.col("dropoff_date").alias("held_to")),
+            "vehicle_id", "pickup_date", "dropoff_date", "held", "held_from", "held_to").select("rental_ref", "vehicle_id", "blocker", "blocker_start"),
         "overlapping_span": lambda s, d: O.overlapping_span(
             A.rentals(s, d), date(1998, 6, 1), date(1998, 6, 30), "pickup_date", "dropoff_date").select(
             "rental_ref", "vehicle_id", "pickup_date", "dropoff_date"),
@@ -379,14 +383,16 @@ def _looped_links(s: SparkSession, d: str) -> DataFrame:
 
 def _checked_links(s: SparkSession, d: str) -> DataFrame:
     known = A.place_edges(s, d).where(F.col("name") != "ASIA")
-    return H.dependency_checks(_looped_links(s, d), known)
+    return tours.dependency_checks(_looped_links(s, d), known)
 
 
 def tree_queries() -> dict[str, Query]:
     return {
         "hierarchy_recursive": lambda s, d: H.org_chart(A.place_edges(s, d)),
         "hierarchy_connect_by": lambda s, d: H.connect_by(A.place_edges(s, d)).orderBy("steps").drop("steps"),
-        "dependency_closure": lambda s, d: H.closure_summary(A.place_links(s, d)),
+        "tree_numbering": lambda s, d: tours.tree_numbering(A.place_edges(s, d)),
+        "dependency_closure": lambda s, d: tours.dependency_summary(A.place_links(s, d)),
+        "strong_components": lambda s, d: tours.strong_components(_looped_links(s, d)),
         "dependency_pairs": lambda s, d: H.closure(_looped_links(s, d)),
         "dependency_checks": _checked_links,
     }

@@ -451,6 +451,11 @@ LOOKUPS = {
         SELECT a.rental_ref, a.vehicle_id, CAST(COUNT(*) - 1 AS BIGINT) AS clashes
           FROM rentals a JOIN rentals b ON a.vehicle_id = b.vehicle_id
            AND b.pickup_date < a.dropoff_date AND b.dropoff_date > a.pickup_date GROUP BY 1, 2""",
+    "first_blocking_booking": """
+        SELECT a.rental_ref, a.vehicle_id, arg_min(b.rental_ref, strftime(b.pickup_date, '%Y-%m-%d') || '/' || b.rental_ref) AS blocker,
+               CAST(MIN(b.pickup_date) AS TIMESTAMP) AS blocker_start
+          FROM rentals a LEFT JOIN rentals b ON a.vehicle_id = b.vehicle_id AND b.status <> 'ACTIVE'
+           AND b.pickup_date < a.dropoff_date AND b.dropoff_date > a.pickup_date WHERE a.status = 'ACTIVE' GROUP BY 1, 2""",
     "overlapping_span": """
         SELECT rental_ref, vehicle_id, CAST(pickup_date AS TIMESTAMP) AS pickup_date, CAST(dropoff_date AS TIMESTAMP) AS dropoff_date
           FROM rentals WHERE pickup_date < DATE '1998-06-30' AND dropoff_date > DATE '1998-06-01'""",
@@ -631,6 +636,8 @@ def _walks(passes: int) -> str:
     return ",".join(parts)
 
 
+LOOKUPS["list_active_rentals"] = LOOKUPS["active_rentals_view"]
+
 RULES = {
     "tiered_pricing": f"""
         SELECT rental_ref, CAST(days AS BIGINT) AS days, CAST(rate AS DOUBLE) AS daily_rate, {BASE_PRICE} AS base_price
@@ -794,6 +801,16 @@ TREES = {
     "hierarchy_connect_by": TREE + """SELECT CAST(level AS BIGINT) AS level, repeat(' ', level * 2 - 2) || name AS member,
         ' / ' || array_to_string(steps, ' / ') AS full_path, root,
         CAST(CASE WHEN id IN (SELECT parent FROM parents) THEN 0 ELSE 1 END AS BIGINT) AS is_leaf FROM tree""",
+    "tree_numbering": TREE + """, numbered AS (SELECT id, name, level, steps, ROW_NUMBER() OVER (ORDER BY steps, id) AS number FROM tree),
+        sized AS (SELECT a.id, COUNT(b.id) - 1 AS descendants FROM numbered a JOIN numbered b ON b.steps[1:a.level] = a.steps GROUP BY 1)
+        SELECT n.id, e.parent, n.name, number, CAST(number + descendants AS BIGINT) AS last, CAST(level AS BIGINT) AS level,
+               CAST(descendants AS BIGINT) AS descendants, CAST(CASE WHEN descendants = 0 THEN 1 ELSE 0 END AS BIGINT) AS is_leaf
+          FROM numbered n JOIN sized USING (id) JOIN place_edges e USING (id)""",
+    "strong_components": f"""WITH RECURSIVE {LOOPED}, {PAIRS},
+        nodes AS (SELECT src AS node FROM links UNION SELECT dst FROM links),
+        named AS (SELECT node, COALESCE(MIN(least(node, b.src)), node) AS component FROM nodes
+                    LEFT JOIN (SELECT p.src, p.dst FROM pairs p JOIN pairs q ON p.src = q.dst AND p.dst = q.src) b ON b.dst = node GROUP BY node)
+        SELECT node, component, COUNT(*) OVER (PARTITION BY component) AS size FROM named""",
     "dependency_closure": f"""WITH RECURSIVE {LINKS}, {PAIRS},
         chains AS (SELECT src, dst, 1 AS depth FROM links UNION ALL
                    SELECT c.src, l.dst, depth + 1 FROM chains c JOIN links l ON c.dst = l.src)

@@ -11,6 +11,7 @@ from motorlot.functions.money import ratio
 from motorlot.functions.scalar import age, elapsed_hours
 from motorlot.operators.overlap import clip_days
 from motorlot.plans.reports import completed
+from motorlot.session import checkpointed
 
 
 def full_name() -> Column:
@@ -132,13 +133,18 @@ def _joined(rentals, customers, vehicles, locations, cars: Column) -> DataFrame:
 
 
 def active_rentals_view(rentals, customers, vehicles, locations, as_of: datetime) -> DataFrame:
-    """Open rentals with customer, vehicle and both places."""
+    """Open rentals with customer, vehicle and both places, in no order."""
     rows = rentals.where(F.col("status") == "ACTIVE")
     return _joined(rows, customers, vehicles, locations, vehicle_name()).select(
         "rental_ref", "customer_id", "customer_name", "customer_email", "vehicle_id", "vehicle", "license_plate",
         "pickup_location", "pickup_location_name", "dropoff_location", "dropoff_location_name", "actual_pickup",
         elapsed_hours(F.col("actual_pickup"), as_of).alias("hours_out"), "odometer_out", "base_charge", "status",
-    ).orderBy(F.col("actual_pickup").desc(), "rental_ref")
+    )
+
+
+def list_active_rentals(rentals, customers, vehicles, locations, as_of: datetime) -> DataFrame:
+    """The view, latest pickup first. The joined rows are stored before the sort, which reads them twice."""
+    return checkpointed(active_rentals_view(rentals, customers, vehicles, locations, as_of)).orderBy(F.col("actual_pickup").desc(), "rental_ref")
 
 
 def rental_by_id(rentals, customers, vehicles, locations, rental_id: int) -> DataFrame:
@@ -154,12 +160,12 @@ def overdue(rentals, customers, vehicles, locations, as_of: datetime, days: int
     """Open rentals picked up more than some days ago, with the hours since."""
     now = F.lit(str(as_of)).cast("timestamp_ntz")
     late = (F.col("status") == "ACTIVE") & (F.col("actual_pickup") < now - F.make_dt_interval(F.lit(days)))
-    return _joined(rentals.where(late), customers, vehicles, locations, vehicle_name()).select(
+    return checkpointed(_joined(rentals.where(late), customers, vehicles, locations, vehicle_name()).select(
         "rental_ref", "customer_id", "customer_name", "vehicle_id", F.col("vehicle").alias("vehicle_info"),
         "license_plate", "pickup_location", "pickup_location_name", "dropoff_location", "dropoff_location_name",
         "actual_pickup", "odometer_out", "fuel_level_out", "base_charge", "status",
         elapsed_hours(F.col("actual_pickup"), as_of).alias("hours_overdue"),
-    ).orderBy("actual_pickup", "rental_ref")
+    )).orderBy("actual_pickup", "rental_ref")
 
 
 def active_rentals(rentals, customers, vehicles, location_id: int | None = None) -> DataFrame:

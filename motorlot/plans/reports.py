@@ -299,11 +299,21 @@ def page(df: DataFrame, value: str, key: str, skip: int, rows: int) -> DataFrame
     return numbered_page(df, value, key, skip + 1, skip + rows).drop("rn")
 
 
+# A page that ends at or before this row is cut from a top-k.
+SHALLOW_ROWS = 10_000
+
+
 def numbered_page(df: DataFrame, value: str, key: str, first: int, last: int, task_rows: int = TASK_ROWS) -> DataFrame:
     """Rows first..last of that order with their row number.
 
-    Rows are numbered by an ordered scan, so a deep page is no more work for one task than the first.
+    The depth of the page decides, not the size of the table: the rows up to a shallow page's end are a top-k that every
+    task cuts for itself. For a deep page rows are numbered by an ordered scan, so it is no more work for one task than
+    the first.
     """
+    if last <= SHALLOW_ROWS:
+        order = [F.col(value).desc_nulls_last(), F.col(key).asc()]
+        top = df.orderBy(*order).limit(last).withColumn("rn", F.row_number().over(Window.orderBy(*order)))
+        return top.where(F.col("rn") >= first).orderBy("rn")
     rows = df.withColumn("_none", F.col(value).isNull()).withColumn("_down", -F.col(value))
     scan = ordered_scan(rows, ["_none", "_down"], [key], ranks=False, task_rows=task_rows)
     return scan.where(F.col("row_num").between(first, last)).select(*df.columns, F.col("row_num").cast("int").alias("rn")).orderBy("rn")

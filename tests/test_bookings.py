@@ -62,6 +62,35 @@ def test_requests_are_decided_in_order(spark, fold_rows):
     assert dict(rows(got, "id", "clash")) == want
 
 
+@pytest.mark.parametrize("sweep_days", [1, 7, 1000])
+def test_first_blocker(spark, sweep_days):
+    asked, held = bookings(150, 6, 11), bookings(120, 6, 12)
+    asked += [(900, None, D0, D0 + timedelta(3), True), (901, 77, D0, D0 + timedelta(3), True)]
+    held += [(910, None, D0, D0 + timedelta(3), True), (911, 1, D0 - timedelta(400), D0 + timedelta(400), True), (912, 2, None, D0, True)]
+    want = {}
+    for i, vehicle, start, end, _ in asked:
+        hits = [(s, k) for k, v, s, e, _ in held if v is not None and v == vehicle and s is not None and s < e and start < end and s < end and e > start]
+        want[i] = min(hits, default=(None, None))
+    stored = spark.createDataFrame(held, SCHEMA).toDF("booking", "vehicle_id", "s", "e", "able")
+    got = O.first_blocker(spark.createDataFrame(asked, SCHEMA), stored, "vehicle_id", "pickup_date", "dropoff_date", "booking", "s", "e", sweep_days)
+    assert {r.id: (r.blocker_start, r.blocker) for r in got.collect()} == want
+    assert O.first_blocker(spark.createDataFrame(asked, SCHEMA), stored.limit(0), "vehicle_id", "pickup_date", "dropoff_date", "booking", "s", "e").where("blocker is not null").isEmpty()
+
+
+def test_an_island_of_thousands_of_requests(spark):
+    draw = random.Random(13)
+    asked = [(i, 1, D0 + timedelta(draw.randrange(900)), None, draw.random() < 0.7) for i in range(3000)]
+    asked = [(i, v, s, s + timedelta(draw.randrange(1, 9)), able) for i, v, s, _, able in asked]
+    taken, want = [], {}
+    for i, _, start, end, able in asked:
+        want[i] = any(s < end and e > start for s, e in taken)
+        if able and not want[i]:
+            taken.append((start, end))
+    for fold_rows in (500, 5000):
+        got = Q.clash_flags(spark.createDataFrame(asked, SCHEMA), spark.createDataFrame([], "vehicle_id long, pickup_date date, dropoff_date date"), "id", fold_rows)
+        assert dict(rows(got, "id", "clash")) == want
+
+
 def rates(spark):
     cars = spark.createDataFrame(
         [(1, "Economy", None), (2, "SUV", None), (3, "Luxury", None), (4, "Van", None), (5, "Bare", None), (6, "NoWeek", None),

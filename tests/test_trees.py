@@ -1,9 +1,11 @@
 import json
+import random
 
 import seed
 from seed import rows
 
-from motorlot.operators import hierarchy as H
+from motorlot.operators import hierarchy as H, tours as T
+from motorlot.session import checkpointed
 from motorlot.sources.loaders import load_requirements
 
 # Requirement graph (fixed values): id -> ids it depends on.
@@ -43,7 +45,7 @@ def test_cycles_end(spark):
     assert H.closure(loop).count() == 13
     assert dict(rows(H.chain_depth(loop))) == {"a": None, "b": None, "c": None, "x": None, "y": 1}
     nodes = spark.createDataFrame([(n,) for n in "abcxy"], "id string")
-    assert rows(H.dependency_checks(loop, nodes)) == [("a", "CYCLE"), ("b", "CYCLE"), ("c", "CYCLE"), ("z", "UNKNOWN_TARGET")]
+    assert rows(T.dependency_checks(loop, nodes)) == [("a", "CYCLE"), ("b", "CYCLE"), ("c", "CYCLE"), ("z", "UNKNOWN_TARGET")]
 
 
 def test_requirement_documents(spark, tmp_path):
@@ -65,3 +67,77 @@ def test_cyclic_core_keeps_cycles_and_what_joins_them(spark):
     edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "b"), ("c", "d"), ("d", "e"), ("e", "e"), ("e", "f"), ("x", "y")], "src string, dst string")
     assert sorted(map(tuple, H.cyclic_core(edges).select("src", "dst").collect())) == [("b", "c"), ("c", "b"), ("c", "d"), ("d", "e"), ("e", "e")]
     assert H.cyclic_core(edges.where("src = 'x'")).count() == 0
+
+
+def plain_tree(items):
+    """items (id, name, parent) -> {id: (number, last, level, descendants)} by a walk."""
+    below = {}
+    for i, name, parent in items:
+        below.setdefault(parent, []).append((name, i))
+    out, stack, number = {}, [(i, 1) for _, i in sorted(below.get(None, []), reverse=True)], 0
+    while stack:
+        i, level = stack.pop()
+        number += 1
+        out[i] = (number, level)
+        stack += [(c, level + 1) for _, c in sorted(below.get(i, []), reverse=True)]
+    ordered = sorted(out, key=lambda i: -out[i][0])
+    size = dict.fromkeys(out, 0)
+    parents = {i: p for i, _, p in items}
+    for i in ordered:
+        if parents[i] in size:
+            size[parents[i]] += size[i] + 1
+    return {i: (n, n + size[i], level, size[i]) for i, (n, level) in out.items()}
+
+
+def test_numbers_of_a_random_forest(spark):
+    draw = random.Random(4)
+    items = [(i, f"n{draw.randrange(40)}", None if i < 3 else 1 if draw.random() < 0.4 else draw.randrange(i)) for i in range(300)]
+    items += [(400, "lost", 999), (401, "below", 400), (402, "loop", 403), (403, "loop", 402)]
+    got = T.tree_numbering(spark.createDataFrame(items, "id long, name string, parent long"))
+    assert {r.id: (r.number, r.last, r.level, r.descendants) for r in got.collect()} == plain_tree(items)
+    assert T.tree_numbering(spark.createDataFrame([], "id long, name string, parent long")).count() == 0
+
+
+def test_a_deep_chain_takes_few_rounds(spark, monkeypatch):
+    calls = []
+    monkeypatch.setattr(T, "checkpointed", lambda df: calls.append(1) or checkpointed(df))
+    nodes = spark.range(10_000).selectExpr("id", "if(id = 0, null, id - 1) as parent", "cast(id as string) as name")
+    got = T.tree_numbering(nodes)
+    assert got.where("number != id + 1 or last != 10000 or level != id + 1 or descendants != 9999 - id").count() == 0
+    assert got.count() == 10_000 and len(calls) <= 20
+
+
+def components_of(pairs):
+    nodes = {n for p in pairs for n in p}
+    reach = {n: {n} for n in nodes}
+    grown = True
+    while grown:
+        grown = False
+        for a, b in pairs:
+            for n in nodes:
+                if a in reach[n] and b not in reach[n]:
+                    reach[n].add(b)
+                    grown = True
+    root = {n: min(m for m in reach[n] if n in reach[m]) for n in nodes}
+    return {n: (root[n], list(root.values()).count(root[n])) for n in nodes}
+
+
+def test_strong_components(spark):
+    draw = random.Random(8)
+    for count, edge_count in ((12, 14), (30, 38), (30, 60)):
+        pairs = [(draw.randrange(count), draw.randrange(count)) for _ in range(edge_count)] + [(50, 51), (51, 52), (52, 50), (53, 50), (60, 60), (61, 60)]
+        got = T.strong_components(spark.createDataFrame(pairs, "src long, dst long"))
+        assert {r.node: (r.component, r.size) for r in got.collect()} == components_of(pairs)
+    assert T.strong_components(spark.createDataFrame([], "src long, dst long")).count() == 0
+
+
+def test_a_long_ring_forms_no_pairs(spark):
+    ring = spark.range(10_000).selectExpr("id as src", "(id + 1) % 10000 as dst").union(spark.createDataFrame([(20_000, 5)], "src long, dst long"))
+    got = T.strong_components(ring)
+    assert got.where("size = 10000 and component = 0").count() == 10_000 and got.count() == 10_001
+
+
+def test_dependencies_of_a_forest_and_of_other_graphs(spark):
+    forest = edges(spark, [("b", "a"), ("c", "a"), ("d", "c"), ("x", "y")])
+    assert rows(T.dependency_summary(forest)) == [("b", 1, 1), ("c", 1, 1), ("d", 2, 2), ("x", 1, 1)]
+    assert T.forest_depths(edges(spark)) is None and T.forest_depths(edges(spark, [("a", "b"), ("b", "a")])) is None
