@@ -21,7 +21,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 AS_OF = datetime(2001, 7, 15)
 SPAN = (date(1997, 1, 1), date(1997, 12, 31))
 MONTHS = [f"1997-0{m}" for m in range(1, 7)]
-STREAM_BATCHES = 3
+# After every stored rental: the feed is complete and all its days may close.
+END_OF_FEED = datetime(2100, 1, 1)
 FORECAST_MONTHS = ["2001-05", "2001-06", "2001-07"]
 
 
@@ -405,28 +406,20 @@ def _run(s: SparkSession, start: Callable, *inputs) -> str:
     return path
 
 
-def _in_batches(s: SparkSession, d: str, table: str) -> DataFrame:
-    """A stored table as a stream of several batches: all of its rows in files of their own, some files in each batch."""
-    stored, folder = loaders.load(s, d, table), f"{checkpoint_dir(s)}/streams/{uuid4().hex}"
-    files = max(STREAM_BATCHES, stored.rdd.getNumPartitions())
-    stored.repartition(files).write.parquet(f"{folder}/{table}.parquet")
-    return loaders.load_stream(s, folder, table, -(-files // STREAM_BATCHES))
-
-
 def _stream_audit(s: SparkSession, d: str) -> DataFrame:
     feed = A.payment_changes_of(A.payments_of(loaders.load_stream(s, d, "orders")))
     return jobs.read_audit(s, _run(s, jobs.stream_audit, feed))
 
 
 def _stream_vehicle_state(s: SparkSession, d: str) -> DataFrame:
-    path = _run(s, jobs.stream_vehicle_state, A.vehicle_events_of(A.rentals_of(_in_batches(s, d, "lineitem"))))
-    jobs.compact_vehicle_state(s, path)
+    path = _run(s, jobs.stream_vehicle_state, A.vehicle_events_of(A.rentals_of(loaders.load_stream(s, d, "lineitem"))))
     return jobs.read_vehicle_state(s, path, A.vehicles(s, d).select("vehicle_id", "status", "mileage"))
 
 
 def _stream_monthly_revenue(s: SparkSession, d: str) -> DataFrame:
-    path = _run(s, jobs.stream_monthly_revenue, A.rentals_of(_in_batches(s, d, "lineitem")))
-    jobs.compact_monthly_revenue(s, path)
+    clock, path = _folder(s, "clock"), _folder(s, "streams")
+    jobs.tick(s, clock, END_OF_FEED)
+    jobs.stream_monthly_revenue(A.rentals_of(loaders.load_stream(s, d, "lineitem")), path, clock=clock).awaitTermination()
     return jobs.read_monthly_revenue(s, path)
 
 

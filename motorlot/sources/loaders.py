@@ -15,9 +15,9 @@ def load(spark: SparkSession, folder: str, table: str) -> DataFrame:
 def load_stream(spark: SparkSession, folder: str, table: str, files_per_batch: int | None = None) -> DataFrame:
     """The same scan as a stream: over the files that a table's folder holds and receives, or over the one file of a table."""
     path = f"{folder}/{table}.parquet"
-    stored = spark._jvm.org.apache.hadoop.fs.Path(path)
     # A stream takes folders and patterns only, so a single file is named by a pattern that no other name meets.
-    single = stored.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(stored).isFile()
+    files = load(spark, folder, table).inputFiles()
+    single = len(files) == 1 and files[0].endswith(f"/{table}.parquet")
     reader = spark.readStream.schema(schema_of(table))
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
