@@ -10,10 +10,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
 from motorlot.functions import scalar as S
-from motorlot.operators import changes as J, checks as C, hierarchy as H, overlap as O, pricing as P, rentals as Q, tours
+from motorlot.operators import changes as J, checks as C, digests, hierarchy as H, overlap as O, pricing as P, rentals as Q, tours, trigrams
 from motorlot.plans import lookups as L, reports as R, sql_api
 from motorlot.session import checkpoint_dir
-from motorlot.sources import adapter as A, loaders, sinks as K
+from motorlot.sources import adapter as A, loaders, sinks as K, timeline
 from motorlot.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -51,6 +51,7 @@ def report_queries() -> dict[str, Query]:
         "revenue_report": lambda s, d: R.revenue_report(A.rentals(s, d, done), *SPAN),
         "revenue_by_month": lambda s, d: R.revenue_by_month(A.rentals(s, d, done), *SPAN),
         "revenue_rollup": lambda s, d: R.revenue_rollup(A.rentals(s, d, done), A.vehicles(s, d), A.locations(s, d)),
+        "customers_rollup": lambda s, d: R.customers_rollup(A.with_customer(A.rentals(s, d, done), s, d), A.vehicles(s, d), A.locations(s, d)),
         "revenue_grouping_sets": lambda s, d: R.revenue_grouping_sets(
             A.rentals(s, d, done), A.vehicles(s, d), A.locations(s, d),
             [["location_name", "category_name"], ["month"], []]),
@@ -158,6 +159,8 @@ def lookup_queries() -> dict[str, Query]:
             "customer_id", "full_name", "age", F.col("address.city").alias("city")),
         "predicate_mix": lambda s, d: L.predicate_mix(A.rentals(s, d)).select("rental_ref", "status", "actual_dropoff"),
         "search_customers": lambda s, d: L.search_customers(A.customers(s, d), "0001", AS_OF),
+        "search_customers_indexed": _indexed_customers,
+        "search_vehicles_indexed": _indexed_vehicles,
         "search_vehicles": lambda s, d: L.search_vehicles(*_fleet(s, d), "RiNg"),
         "available_vehicles": lambda s, d: L.available(*_fleet(s, d), location=4, category="ECONOMY"),
         "available_vehicles_all": lambda s, d: L.available(*_fleet(s, d)),
@@ -209,6 +212,7 @@ def lookup_queries() -> dict[str, Query]:
             A.order_rentals(s, d, done).select("rental_id", "customer_id", "total_charge"), "rental_id", 10),
         "sample_blocks": lambda s, d: K.sample_blocks(
             A.rentals(s, d, done).select("rental_ref", "order_id", "total_charge"), "order_id", 5, block_rows=128),
+        "monthly_revenue_touched": _touched_months,
         "monthly_revenue_refreshed": lambda s, d: K.refresh_monthly_revenue(A.rentals(s, d, done), _folder(s, "monthly")),
         "partition_range_read": _partitioned,
         "active_rentals_sql": lambda s, d: _sql(s, d, "select * from active_rentals(3)"),
@@ -323,7 +327,7 @@ def _cheap(s: SparkSession, d: str) -> DataFrame:
     return A.order_rentals(s, d).where(F.col("total_charge") < 60000).select("rental_id")
 
 
-def _audit_diff(s: SparkSession, d: str) -> DataFrame:
+def _audit_sides(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     rows = A.payments(s, d).select("payment_id", "payment_date", "amount", "payment_method", "status")
 
     def day(text: str):
@@ -335,7 +339,34 @@ def _audit_diff(s: SparkSession, d: str) -> DataFrame:
         "amount": F.when(wallet, F.col("amount") + F.lit(10.5).cast("decimal(4,2)")).otherwise(F.col("amount")).cast("decimal(10,2)"),
         "status": F.when(F.col("status") == "PENDING", "COMPLETED").otherwise(F.col("status")),
     })
-    return J.payment_audit(J.snapshot_diff(old, new, "payment_id"))
+    return old, new
+
+
+def _touched_months(s: SparkSession, d: str) -> DataFrame:
+    """The table as stored before the rentals of two months were completed, then refreshed for those."""
+    done, path = A.rentals(s, d, "COMPLETED"), _folder(s, "months")
+    late = F.trunc("actual_dropoff", "MM").isin(date(1996, 2, 1), date(1997, 5, 1))
+    K.write_revenue_months(done.where(~late | (F.col("line_number") < 3)), path)
+    K.refresh_revenue_months(done, done.where(late & (F.col("line_number") >= 3)), path)
+    return K.read_revenue_months(s, path)
+
+
+def _stored_as_of(s: SparkSession, d: str) -> DataFrame:
+    history, path = A.history(s, d), _folder(s, "timeline")
+    timeline.write_timeline(history, path, "row_key", ["state", "amount"])
+    return timeline.stored_as_of(s, path, history.schema, HISTORY_AS_OF, "row_key", ["state", "amount"])
+
+
+def _indexed_customers(s: SparkSession, d: str) -> DataFrame:
+    rows, path = A.customers(s, d), _folder(s, "customer_grams")
+    trigrams.write_index(rows, "customer_id", [L.full_name(), F.col("email"), F.col("license_number")], path)
+    return L.search_customers(trigrams.indexed(rows, "customer_id", path, "0001"), "0001", AS_OF)
+
+
+def _indexed_vehicles(s: SparkSession, d: str) -> DataFrame:
+    rows, path = A.vehicles(s, d), _folder(s, "vehicle_grams")
+    trigrams.write_index(rows, "vehicle_id", [F.col("make"), F.col("model"), F.col("license_plate")], path)
+    return L.search_vehicles(trigrams.indexed(rows, "vehicle_id", path, "RiNg"), *_fleet(s, d)[1:], "RiNg")
 
 
 def _guarded(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -362,12 +393,14 @@ def change_queries() -> dict[str, Query]:
         "guarded_delete": lambda s, d: _guarded(s, d)[0],
         "guarded_delete_refused": lambda s, d: _guarded(s, d)[1],
         "purge_audit": lambda s, d: J.purge(A.history(s, d), datetime(2024, 1, 30), 10),
-        "audit_diff": _audit_diff,
+        "audit_diff": lambda s, d: J.payment_audit(J.snapshot_diff(*_audit_sides(s, d), "payment_id")),
+        "audit_diff_digests": lambda s, d: J.payment_audit(digests.digest_diff(*_audit_sides(s, d), "payment_id")),
         "vehicle_state": lambda s, d: J.apply_vehicle_events(
             A.vehicles(s, d).select("vehicle_id", "status", "mileage"), A.vehicle_events_of(A.rentals(s, d))),
         "loyalty_award": lambda s, d: J.award_points(
             A.customers(s, d).select("customer_id", "loyalty_points"), A.order_rentals(s, d, "COMPLETED")),
         "as_of_state": lambda s, d: J.as_of(A.history(s, d), HISTORY_AS_OF, "row_key", ["state", "amount"]),
+        "as_of_state_stored": _stored_as_of,
         "version_history": lambda s, d: J.versions(
             A.history(s, d), "row_key", datetime(2024, 1, 10), datetime(2024, 1, 20), ["state", "amount"]),
         "delete_ids": lambda s, d: J.delete_ids(

@@ -353,6 +353,14 @@ _GROUPED = f"""
      WHERE r.{DONE} GROUP BY """
 REPORTS["revenue_rollup"] = _GROUPED + f"ROLLUP(location_name, category_name, {LABEL})"
 REPORTS["revenue_grouping_sets"] = _GROUPED + f"GROUPING SETS ((location_name, category_name), ({LABEL}), ())"
+REPORTS["customers_rollup"] = f"""
+    SELECT CASE WHEN GROUPING(location_name) = 1 THEN 'ALL LOCATIONS' ELSE location_name END AS location,
+           CASE WHEN GROUPING(category_name) = 1 THEN 'ALL CATEGORIES' ELSE category_name END AS category, month,
+           CAST(GROUPING(location_name) + GROUPING(category_name) + GROUPING(month) AS BIGINT) AS level,
+           CAST(COUNT(DISTINCT customer_id) AS BIGINT) AS customers
+      FROM (SELECT location_name, category_name, {LABEL} AS month, customer_id FROM booked r JOIN vehicles v ON r.vehicle_id = v.vehicle_id
+              JOIN locations l ON r.pickup_location = l.location_id WHERE r.{DONE})
+     GROUP BY ROLLUP(location_name, category_name, month)"""
 
 
 NOW = f"TIMESTAMP '{AS_OF}'"
@@ -840,6 +848,11 @@ WRITES = {
         SELECT rental_ref, order_id, CAST(total_charge AS DOUBLE) AS total_charge FROM rentals
          WHERE {DONE} AND {HASHED.format(key='order_id // 128', share=5)}""",
     "monthly_revenue_refreshed": REPORTS["monthly_revenue_snapshot"],
+    "monthly_revenue_touched": REPORTS["monthly_revenue_snapshot"],
+    "search_customers_indexed": LOOKUPS["search_customers"],
+    "search_vehicles_indexed": LOOKUPS["search_vehicles"],
+    "audit_diff_digests": CHANGES["audit_diff"],
+    "as_of_state_stored": CHANGES["as_of_state"],
     "partition_range_read": "SELECT vehicle_id, make, model_year, status FROM vehicles WHERE model_year BETWEEN 2016 AND 2021",
     "active_rentals_sql": LOOKUPS["active_rentals_tvf"].replace("rental_ref", "rental_id"),
     "revenue_by_month_sql": REPORTS["revenue_by_month"],

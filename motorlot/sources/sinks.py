@@ -74,6 +74,33 @@ def refresh_monthly_revenue(rentals: DataFrame, path: str) -> DataFrame:
     return rentals.sparkSession.read.schema(summary.schema).parquet(path)
 
 
+def write_revenue_months(rentals: DataFrame, path: str) -> None:
+    """Store the monthly revenue table with a folder for each month."""
+    _monthly(rentals).write.mode("overwrite").partitionBy("month").parquet(path)
+
+
+def _monthly(rentals: DataFrame) -> DataFrame:
+    return monthly_summary(rentals).withColumn("month", month_bucket("revenue_month"))
+
+
+def refresh_revenue_months(rentals: DataFrame, changes: DataFrame, path: str) -> None:
+    """Work out again only the months that a change set touches, and overwrite only their folders.
+
+    ``changes`` has ``actual_dropoff`` of the changed rentals, before and after the change; ``rentals`` is the table after
+    it. A touched month without rentals left is written with a count of 0, which readers leave out.
+    """
+    touched = changes.select(F.trunc("actual_dropoff", "MM").alias("_month")).where("_month is not null").distinct()
+    rows = rentals.withColumn("_month", F.trunc("actual_dropoff", "MM")).join(touched, "_month", "left_semi").drop("_month")
+    summary = _monthly(rows)
+    empty = touched.select(F.col("_month").alias("revenue_month"), month_bucket("_month").alias("month")).join(summary, "month", "left_anti")
+    out = summary.unionByName(empty.withColumn("rental_count", F.lit(0).cast(summary.schema["rental_count"].dataType)), allowMissingColumns=True)
+    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("month").parquet(path)
+
+
+def read_revenue_months(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path).where("rental_count > 0").drop("month")
+
+
 def rows_to_json(df: DataFrame, names: Mapping[str, str]) -> DataFrame:
     """Rows as JSON objects; nulls stay, dates and times have fixed formats."""
     fields = F.struct(*[F.col(c).alias(n) for c, n in names.items()])
