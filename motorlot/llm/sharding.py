@@ -4,7 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from motorlot.llm.store import saved
+
 BUCKET_BYTES = 16 << 20
+# Rows equal in key and text beyond this number are numbered, so that they scatter too.
+MOST_EQUAL = 1000
 
 
 def text_size(text: str = "text") -> Column:
@@ -12,13 +16,43 @@ def text_size(text: str = "text") -> Column:
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 1
 
 
-def scatter(docs: DataFrame, key: str, text: str, buckets: int, seed: int) -> Column:
-    """Bucket of a row: a seeded hash of its key and text, so copies under many keys spread evenly."""
-    return F.pmod(F.xxhash64(F.lit(seed), F.col(key), F.crc32(F.col(text).cast("binary"))), F.lit(buckets)).cast("long")
+def row_size(docs: DataFrame) -> Column:
+    """About how many bytes a row holds, over all of its columns."""
+    size = F.lit(8)
+    for name, kind in docs.dtypes:
+        column = F.col(f"`{name}`")
+        if kind in ("string", "binary"):
+            size = size + 8 + F.coalesce(F.octet_length(column), F.lit(0))
+        elif kind.startswith(("array", "map", "struct")):
+            size = size + F.coalesce(F.octet_length(F.to_json(F.struct(column.alias("c")))), F.lit(0))
+        else:
+            size = size + 8
+    return size.cast("long")
+
+
+def numbered(docs: DataFrame, key: str, text: str, most: int) -> DataFrame:
+    """docs plus `_copy`: 0, or a number of their own for rows whose key and text stand in more than `most` rows.
+
+    Such rows are counted by their columns in each task before they are shuffled, and laid out again with their numbers.
+    """
+    name = F.xxhash64(F.col(key), F.col(text), F.col(key).isNull(), F.col(text).isNull())
+    many = docs.select(name.alias("_name")).groupBy("_name").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > most).select("_name")
+    many = saved(many, "repeated")
+    if many.isEmpty():
+        return docs.withColumn("_copy", F.lit(0).cast("long"))
+    named, columns = docs.withColumn("_name", name), [f"`{c}`" for c in docs.columns]
+    rest = named.join(many, "_name", "left_anti").select(*columns, F.lit(0).cast("long").alias("_copy"))
+    counted = named.join(many, "_name", "left_semi").groupBy(*columns).agg(F.count(F.lit(1)).alias("_n"))
+    return rest.unionByName(counted.select(*columns, F.explode(F.sequence(F.lit(1).cast("long"), "_n")).alias("_copy")))
+
+
+def scatter(key: str, text: str, buckets: int, seed: int) -> Column:
+    """Bucket of a row: a seeded hash of its key, text and copy number, so copies of any kind spread evenly."""
+    return F.pmod(F.xxhash64(F.lit(seed), F.col(key), F.crc32(F.col(text).cast("binary")), F.col("_copy")), F.lit(buckets)).cast("long")
 
 
 def shuffled(docs: DataFrame, shards: int = 16, seed: int = 7, bucket_bytes: int = BUCKET_BYTES,
-             key: str = "doc_id", text: str = "text") -> DataFrame:
+             key: str = "doc_id", text: str = "text", most_equal: int = MOST_EQUAL) -> DataFrame:
     """All rows of docs in random order, dealt to shards: every column plus `shard` (int) and `slot` (long, gapless from 0).
 
     Law `rows`: shard sizes differ by one row at most. A first pass sums the bytes, which sets how many buckets of about
@@ -26,17 +60,20 @@ def shuffled(docs: DataFrame, shards: int = 16, seed: int = 7, bucket_bytes: int
     then in random order (`shuffle` of an array is Fisher-Yates), and the place of a row over all buckets gives shard and
     slot. Only the row counts of the buckets meet in one place: one number for each `bucket_bytes` of input.
 
-    Null keys and null texts are scattered like others; empty input gives an empty result. Rows equal in key and text
-    are interchangeable and share a bucket, so a bucket also holds all repeats of a row; equal texts under different keys
-    spread over all buckets. Columns of docs named `shard` or `slot` give way to the new ones.
+    Null keys and null texts are scattered like others; empty input gives an empty result. Up to `most_equal` rows of equal
+    key and text share a bucket; more of them are numbered and spread over all buckets, as equal texts under different keys
+    do. Bucket sizes count all columns. The random order hangs on the seed and on the number of tasks, which follows
+    `spark.sql.shuffle.partitions` and the size of the input; a task that runs again draws the same. Columns of docs
+    named `shard` or `slot` give way to the new ones.
     """
     spark = docs.sparkSession
     docs = docs.drop("shard", "slot")
-    total = docs.agg(F.sum(text_size(text))).first()[0] or 0
+    total = docs.agg(F.sum(row_size(docs))).first()[0] or 0
     buckets = max(1, -(-total // bucket_bytes))
     tasks = min(buckets, max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // (4 * bucket_bytes))))
     names = docs.columns
-    placed = docs.select(scatter(docs, key, text, buckets, seed).alias("_bucket"), F.xxhash64(F.lit(seed + 1), F.col(key), F.crc32(F.col(text).cast("binary"))).alias("_order"), F.struct(*[F.col(f"`{n}`") for n in names]).alias("_row"))
+    copies = numbered(docs, key, text, most_equal)
+    placed = copies.select(scatter(key, text, buckets, seed).alias("_bucket"), F.xxhash64(F.lit(seed + 1), F.col(key), F.crc32(F.col(text).cast("binary")), F.col("_copy")).alias("_order"), F.struct(*[F.col(f"`{n}`") for n in names]).alias("_row"))
     counts = placed.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))

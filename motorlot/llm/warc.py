@@ -17,11 +17,11 @@ HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 RECORD = "record_id string, warc_type string, refers_to string, target_uri string, warc_date string, content_type string, block string, block_digest string, payload_digest string, content_length long"
 COLUMNS = [part.split()[0] for part in RECORD.split(", ")]
 
-HIDDEN = re.compile(r"<!--.*?-->|<(script|style|template|noscript)\b.*?</\1\s*>|<!--.*|<(?:script|style)\b.*", re.S | re.I)
+HIDES = re.compile(r"<!--|<(script|style|template|noscript)\b", re.I)
+CLOSES = {name: re.compile(rf"</{name}\s*>", re.I) for name in ("script", "style", "template", "noscript", "title")}
 BREAKS = re.compile(r"</?(?:address|article|aside|blockquote|br|div|dd|dl|dt|footer|form|h[1-6]|header|hr|li|main|nav|ol|p|pre|section|table|title|tr|ul)\b[^>]*>", re.I)
 TAGS = re.compile(r"<[a-zA-Z/!?][^>]*>")
-LINKS = re.compile(r"<a\b[^>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-TITLE = re.compile(r"<title[^>]*>(.*?)</title\s*>", re.S | re.I)
+ANCHOR, HREF, BARE = re.compile(r"<a\b", re.I), re.compile(r"\bhref\s*=\s*", re.I), re.compile(r"[^\s>]+")
 BLANKS = re.compile(r"[ \t\r\f\v]+")
 
 
@@ -34,13 +34,67 @@ def name_of(*parts: str) -> str:
     return f"<urn:uuid:{uuid.UUID(bytes=hashlib.md5('|'.join(parts).encode()).digest(), version=4)}>"
 
 
+def shown(page: str) -> str:
+    """The page without comments, scripts, styles, templates and noscript parts; one that is not closed hides the rest."""
+    out, at = [], 0
+    while found := HIDES.search(page, at):
+        out += [page[at:found.start()], " "]
+        if found[1]:
+            close = CLOSES[found[1].lower()].search(page, found.end())
+            end = close.end() if close else -1
+        else:
+            close = page.find("-->", found.end())
+            end = close + 3 if close >= 0 else -1
+        if end < 0:
+            return "".join(out)
+        at = end
+    return "".join(out) + page[at:]
+
+
 def plain_text(page: str) -> str:
-    """Visible text: no comments, scripts or styles, a line for each block, entities resolved, blanks collapsed."""
-    text = TAGS.sub("", BREAKS.sub("\n", HIDDEN.sub(" ", page).replace("\n", " ")))
+    """Visible text: no comments, scripts or styles, a line for each block, entities resolved, blanks collapsed.
+
+    Every search goes on where the last one ended. Tags end at a `>`, so what stands behind the last one is text.
+    """
+    page = shown(page).replace("\n", " ")
+    last = page.rfind(">") + 1
+    text = TAGS.sub("", BREAKS.sub("\n", page[:last])) + page[last:]
     lines = (BLANKS.sub(" ", line).strip() for line in entities.unescape(text).split("\n"))
     return "\n".join(line for line in lines if line)
 
 
+def title_of(page: str) -> str | None:
+    """Inside of the first title; where it does not end, none does."""
+    found = re.search("<title", page, re.I)
+    start = page.find(">", found.end()) if found else -1
+    close = CLOSES["title"].search(page, start + 1) if start >= 0 else None
+    return page[start + 1:close.start()] if close else None
+
+
+def links_of(page: str) -> list[str]:
+    """Values of the first href with a value in each anchor, quoted or bare, as they stand."""
+    out, at, open_quotes = [], 0, set()
+    while anchor := ANCHOR.search(page, at):
+        end = page.find(">", anchor.end())
+        at = stop = end if end >= 0 else len(page)
+        here = anchor.end()
+        while name := HREF.search(page, here, stop):
+            here = name.end()
+            quote = page[here:here + 1]
+            close = page.find(quote, here + 1) if quote in ('"', "'") and quote not in open_quotes else -1
+            if close >= 0:
+                out.append(page[here + 1:close])
+                at = close + 1
+                break
+            if quote in ('"', "'"):
+                open_quotes.add(quote)  # none of them closes from here on
+            if bare := BARE.match(page, here):
+                out.append(bare[0])
+                at = bare.end()
+                break
+    return out
+
+
 def one_line(text: str) -> str:
     return " ".join(text.split())
 
@@ -74,19 +128,20 @@ def derived(records: DataFrame, key: str = "page_id") -> DataFrame:
     """Two records for each response: `metadata` (source headers, digests, title, links) and `conversion` (plain text).
 
     Both name the response in refers_to and keep its target and date. A response without an HTTP header has no header
-    lines; an empty payload gives an empty text; records of other types give nothing. Rows are handled one Arrow batch
-    at a time, each text whole.
+    lines; an empty payload gives an empty text; records of other types give nothing. A null key stays null, repeated
+    rows give the same two records again, other columns are dropped. Rows are handled one Arrow batch at a time, each
+    text whole and in one forward pass.
     """
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for k, record, target, date, block, block_digest, payload_digest in zip(*(c.to_pylist() for c in batch.columns)):
                 head, page = header_fields(block or "")
-                title = TITLE.search(page)
-                links = [one_line(entities.unescape(next(x for x in m if x is not None))) if any(m) else "" for m in (x.groups() for x in LINKS.finditer(page))]
+                title = title_of(page)
+                links = [one_line(entities.unescape(x)) for x in links_of(page)]
                 lines = [f"source-block-digest: {block_digest}", f"source-payload-digest: {payload_digest}", f"source-payload-length: {len(page.encode())}"]
                 lines += [f"source-header: {one_line(x)}" for x in head.split("\r\n") if x]
-                lines += [f"title: {one_line(entities.unescape(TAGS.sub('', title[1])))}"] if title else []
+                lines += [f"title: {one_line(entities.unescape(TAGS.sub('', title)))}"] if title is not None else []
                 lines += [f"outlink: {x}" for x in links if x]
                 for kind, media, body in (("metadata", "application/warc-fields", "".join(f"{x}\r\n" for x in lines)), ("conversion", "text/plain; charset=utf-8", plain_text(page))):
                     data = body.encode("utf-8", "replace")

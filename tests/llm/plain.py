@@ -1,6 +1,7 @@
 """Plain versions of the operators, for small tables."""
 
 import hashlib
+import html as entities
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -178,3 +179,18 @@ def rule_measures(rows):
         failed = len(words) < 50 or 100 * len(repeat) > 50 * len(words)
         out.append((doc, len(words), sum(map(len, words)), len(re.findall("[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(repeat), failed))
     return out
+
+
+# Visible text and links by plain patterns, for pages that close their tags; quadratic on others.
+_HIDDEN = re.compile(r"<!--.*?-->|<(script|style|template|noscript)\b.*?</\1\s*>|<!--.*|<(?:script|style|template|noscript)\b.*", re.S | re.I)
+_BREAKS = re.compile(r"</?(?:address|article|aside|blockquote|br|div|dd|dl|dt|footer|form|h[1-6]|header|hr|li|main|nav|ol|p|pre|section|table|title|tr|ul)\b[^>]*>", re.I)
+_LINKS = re.compile(r"<a\b[^>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_TITLE = re.compile(r"<title[^>]*>(.*?)</title\s*>", re.S | re.I)
+
+
+def page_parts(page):
+    """(visible text, title or None, links) of a page."""
+    text = re.sub(r"<[a-zA-Z/!?][^>]*>", "", _BREAKS.sub("\n", _HIDDEN.sub(" ", page).replace("\n", " ")))
+    lines = (re.sub(r"[ \t\r\f\v]+", " ", line).strip() for line in entities.unescape(text).split("\n"))
+    title = _TITLE.search(page)
+    return "\n".join(x for x in lines if x), title and title[1], [next(x for x in m.groups() if x is not None) for m in _LINKS.finditer(page)]

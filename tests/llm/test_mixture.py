@@ -36,6 +36,18 @@ def test_shuffle_leaves_no_trace_of_the_order(make_docs):
     assert rank != [r["doc_id"] for r in other]
 
 
+def test_rows_repeated_very_often_spread_over_buckets(make_docs):
+    rows = [(7, "same")] * 3000 + [(None, None)] * 1500 + [(k, "t") for k in range(200)]
+    docs = make_docs(rows)
+    copies = sharding.numbered(docs, "doc_id", "text", 1000)
+    assert copies.groupBy("doc_id", "_copy").count().where("count > 1").isEmpty() and copies.count() == len(rows)
+    sizes = copies.groupBy(sharding.scatter("doc_id", "text", 20, 7)).count().collect()
+    assert len(sizes) == 20 and max(r["count"] for r in sizes) < 350
+    out = sharding.shuffled(docs, bucket_bytes=4000, most_equal=1000)
+    assert Counter((r["doc_id"], r["text"]) for r in out.collect()) == Counter(rows) and out.columns[:5] == docs.columns[:5]
+    assert out.groupBy("shard", "slot").count().where("count > 1").isEmpty()
+
+
 def test_shard_digest_and_files(spark, make_docs, tmp_path):
     docs = make_docs([(1, "é"), (2, None), (3, "")])
     rows = {r["doc_id"]: r for r in sharding.digest(sharding.shuffled(docs)).collect()}
