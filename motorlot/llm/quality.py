@@ -21,6 +21,7 @@ PAIR_TERMS = 1024
 STYLE_WEIGHT = 30.0
 TERMS = PAIR_TERMS + 2
 BLOCK = 512
+DIGITS = 9
 
 
 def terms(text: str | None) -> np.ndarray:
@@ -59,26 +60,42 @@ class Model:
         return z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-12)
 
     def scores(self, rows: np.ndarray) -> np.ndarray:
-        """Votes of the nearest labelled vectors, weighted by a power of the cosine; 0.5 where nothing is labelled."""
+        """Votes of the nearest labelled vectors, weighted by a power of the cosine; 0.5 where nothing is labelled.
+
+        Cosines are compared to DIGITS places; vectors that tie for the last seats share them, so a score hangs neither on
+        the order of the labelled vectors nor on the rows beside it.
+        """
         if not len(self.votes):
             return np.full(len(rows), 0.5)
-        cosine = self.latent(rows) @ self.vectors.T
+        cosine = np.round(self.latent(rows) @ self.vectors.T, DIGITS)
         k = min(self.neighbours, len(self.votes))
-        near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
-        weight = np.maximum(np.take_along_axis(cosine, near, 1), 0) ** self.power + 1e-12
-        return np.clip((weight * self.votes[near]).sum(1) / weight.sum(1), 0, 1)
+        least = np.partition(cosine, len(self.votes) - k, axis=1)[:, -k]
+        row, near = np.nonzero(cosine >= least[:, None])
+        value = cosine[row, near]
+        last = value == least[row]
+        tied, above = np.bincount(row[last], minlength=len(rows)), np.bincount(row[~last], minlength=len(rows))
+        weight = (np.maximum(value, 0) ** self.power + 1e-12) * np.where(last, ((k - above) / np.maximum(tied, 1))[row], 1.0)
+        return np.clip(np.bincount(row, weight * self.votes[near], len(rows)) / np.bincount(row, weight, len(rows)), 0, 1)
 
 
 def fitted(rows: np.ndarray, votes: np.ndarray, dimensions: int = DIMENSIONS, neighbours: int = NEIGHBOURS, power: float = POWER) -> Model:
-    """Latent semantic axes of the labelled rows: singular vectors of their centred terms, each pair term by its spread."""
+    """Latent semantic axes of the labelled rows: singular vectors of their centred terms, each pair term by its spread.
+
+    The driver works block by block, so beside the rows themselves it holds one square matrix of the terms.
+    """
     if not len(rows):
         return Model(np.zeros(TERMS), np.ones(TERMS), np.zeros((TERMS, 1)), np.zeros((0, 1)), votes, neighbours, power)
-    rows = rows.astype(np.float64)
-    mean, weight = rows.mean(0), 1 / (rows.std(0) + 0.002)
+    mean = rows.mean(0, dtype=np.float64)
+    blocks = [rows[start:start + BLOCK] for start in range(0, len(rows), BLOCK)]
+    weight = 1 / (np.sqrt(sum(((x - mean) ** 2).sum(0) for x in blocks) / len(rows)) + 0.002)
     weight[PAIR_TERMS:] = 1
-    _, vectors = np.linalg.eigh(((rows - mean) * weight).T @ ((rows - mean) * weight))
+    gram = np.zeros((TERMS, TERMS))
+    for x in blocks:
+        centred = (x - mean) * weight
+        gram += centred.T @ centred
+    _, vectors = np.linalg.eigh(gram)
     model = Model(mean, weight, np.ascontiguousarray(vectors[:, ::-1][:, :dimensions]), np.zeros((0, dimensions)), votes, neighbours, power)
-    model.vectors = model.latent(rows)
+    model.vectors = np.concatenate([model.latent(x) for x in blocks])
     return model
 
 

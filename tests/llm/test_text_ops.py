@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 import re
 from pathlib import Path
 
@@ -110,6 +111,24 @@ def test_derivatives_keep_their_links(spark, tmp_path):
     assert sorted(map(str, back.drop("whole").select(*warc.COLUMNS).collect())) == sorted(map(str, records.select(*warc.COLUMNS).collect()))
 
 
+def test_pages_are_read_as_by_plain_patterns(spark, folder):
+    pages = [r[0] for r in spark.read.parquet(f"{folder}/pages.parquet").select("html").collect() if r[0]]
+    rng = random.Random(9)
+    parts = ["<a href=x>", "<a href='y z'>", '<A HREF = "q>r">', "<a>", "<a href=>", "<a name=n href=m", "</a>", "<title>", "</title>", "<p>", "<br/>", "<!-- c -->", "<!--", "-->", "<script>", "</script >",
+             "<template>", "</template>", "<noscript>", "</noscript>", "<style a>", "</STYLE>", "one ", "two&amp;", "<3", "< b>", "\n", "'", '"', ">"]
+    pages += ["".join(rng.choice(parts) for _ in range(rng.randrange(1, 25))) for _ in range(3000)]
+    for page in pages:
+        assert (warc.plain_text(page), warc.title_of(page), warc.links_of(page)) == plain.page_parts(page), page
+
+
+@pytest.mark.parametrize("piece", ["<template ", "<title>", "<a ", "<a href=", "<a href='", "<!-- ", "<script>", "<noscript x", "</title", "<p ", "&amp"])
+def test_pages_take_time_in_proportion(piece):
+    page = piece * 60_000
+    start = time.process_time()
+    warc.plain_text(page), warc.title_of(page), warc.links_of(page)
+    assert time.process_time() - start < 2
+
+
 def test_a_record_cut_inside_is_not_whole(spark, tmp_path):
     pages = spark.createDataFrame([(1, "http://a", "x\r\n\r\nWARC/1.1\r\nWARC-Type: fake\r\n\r\ny")], "page_id long, url string, html string")
     warc.write_records(warc.responses(pages).drop("page_id"), str(tmp_path / "files"))
@@ -196,6 +215,19 @@ def test_votes_are_exact_neighbours():
         assert s == pytest.approx((w * votes[near]).sum() / w.sum())
 
 
+def test_scores_do_not_hang_on_blocks_or_order_where_cosines_tie():
+    rng = np.random.default_rng(3)
+    base = rng.random((40, quality.TERMS)).astype(np.float32)
+    rows, votes = base[rng.integers(0, 40, 900)], rng.integers(0, 2, 900).astype(float)
+    model, new = quality.fitted(rows, votes), base[rng.integers(0, 40, 300)]
+    want = model.scores(new)
+    for size in (1, 37, 300):
+        assert np.allclose(want, np.concatenate([model.scores(new[k:k + size]) for k in range(0, 300, size)]), atol=1e-9)
+    order = rng.permutation(900)
+    model.vectors, model.votes = model.vectors[order], votes[order]
+    assert np.allclose(want, model.scores(new), atol=1e-9)
+
+
 def test_quality_odd_rows(spark, make_docs):
     docs = make_docs([(k, f"fine words number {k} are here") for k in range(8)] + [(k, "JUNK!! " * 9) for k in range(20, 28)] + [(50, None), (51, ""), (None, "x"), (52, "y"), (52, "y")])
     labels = spark.createDataFrame([(k, 1, 0, 0.1) for k in range(8)] + [(k, 0, 0, 0.1) for k in range(20, 28)] + [(1, 1, 0, 0.1), (2, None, 0, 0.1), (None, 1, 0, 0.1), (99, 1, 0, 0.1)], "doc_id long, quality int, toxic int, score double")
