@@ -214,8 +214,9 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
             keep = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
 
-    left = texts.select(F.col("node").alias("a"), F.col("text").alias("tx"))
-    right = texts.select(F.col("node").alias("b"), F.col("text").alias("ty"))
+    # Stored texts look small where they are alike; they are never sent to the driver to be broadcast.
+    left = texts.select(F.col("node").alias("a"), F.col("text").alias("tx")).hint("merge")
+    right = texts.select(F.col("node").alias("b"), F.col("text").alias("ty")).hint("merge")
     return pairs.select("a", "b").join(right, "b").join(left, "a").select("a", "b", "tx", "ty").mapInArrow(checked, "a long, b long")
 
 
@@ -282,4 +283,7 @@ def representatives(docs: DataFrame) -> DataFrame:
     kept = first.union(rows.where("set_key is null").select("doc_id", "text_key")).distinct().toDF("_id", "_key")
     keyed = docs.withColumn("_text", text_key("text"))
     named = keyed.join(kept, keyed["doc_id"].cast("long").eqNullSafe(kept["_id"]) & (keyed["_text"] == kept["_key"]), "left_semi")
-    return named.dropDuplicates(["doc_id", "_text"]).select(*[f"`{c}`" for c in docs.columns])
+    # Whole rows are shuffled once more only if some row repeats; that is looked up on ids and keys alone.
+    repeated = rows.groupBy("doc_id", "text_key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    named = named if repeated.isEmpty() else named.dropDuplicates(["doc_id", "_text"])
+    return named.select(*[f"`{c}`" for c in docs.columns])
