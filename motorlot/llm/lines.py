@@ -1,4 +1,4 @@
-"""Line dedup: repeated lines indexed by a sharded minimal perfect hash over compact arrays that documents probe."""
+"""Line dedup: all different lines in a sharded minimal perfect hash with fingerprints and counts that documents probe."""
 
 from __future__ import annotations
 
@@ -8,15 +8,18 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from motorlot.llm.store import saved
 
 MIN_CHARS, MIN_DOCS = 20, 3
 SHARD_KEYS = 50_000
-BLOCK_KEYS = 2_000_000
+CHUNK_BYTES = 2 << 20
+SLICE_CHUNKS = 10_000
 ROOM = 1.5
 SHARD_ROW = "shard long, sizes array<long>, bits binary, prints binary, counts binary, keepers binary"
+ROW = "chunk long, doc_id long, text string, at array<int>, h array<long>, f array<long>"
 
 
 def line_keys(text: str) -> tuple[list[bytes], np.ndarray, np.ndarray]:
@@ -44,17 +47,22 @@ def mixed(h: np.ndarray, level: int) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def perfect(h: np.ndarray) -> tuple[list[int], np.ndarray, np.ndarray]:
-    """Level sizes and bits of a minimal perfect hash of distinct hashes, and the slot of each hash.
+def places(h: np.ndarray, f: np.ndarray, level: int, size: int) -> np.ndarray:
+    """Place of each line on a level, from both halves of its hash."""
+    return (mixed(h ^ mixed(f, level), level) % np.uint64(size)).astype(np.int64)
 
-    On each level a hash that has its place to itself sets a bit; the others go on to the next. The rank of the bit is
-    the slot of the hash.
+
+def perfect(h: np.ndarray, f: np.ndarray) -> tuple[list[int], np.ndarray, np.ndarray]:
+    """Level sizes and bits of a minimal perfect hash of distinct lines, and the slot of each.
+
+    On each level a line that has its place to itself sets a bit; the others go on to the next. The rank of the bit is
+    the slot of the line.
     """
     sizes, bits = [], [np.zeros(0, dtype=bool)]
     at, rest, level = np.zeros(len(h), dtype=np.int64), np.arange(len(h)), 0
     while len(rest):
         size = -(-int(len(rest) * ROOM + 1) // 64) * 64
-        place = (mixed(h[rest], level) % np.uint64(size)).astype(np.int64)
+        place = places(h[rest], f[rest], level, size)
         alone = np.bincount(place, minlength=size) == 1
         at[rest] = sum(sizes) + place
         sizes.append(size)
@@ -64,128 +72,116 @@ def perfect(h: np.ndarray) -> tuple[list[int], np.ndarray, np.ndarray]:
     return sizes, bits, np.cumsum(bits)[at] - 1 if len(h) else at
 
 
-class Index:
-    """Shards of repeated lines joined to arrays: fingerprint, number of documents and keeper by perfect-hash slot."""
-
-    def __init__(self, rows: list, shards: int):
-        self.shards = shards
-        depth = max((len(r.sizes) for r in rows), default=0)
-        self.size = np.zeros((shards, depth), dtype=np.int64)
-        self.base = np.zeros((shards, depth), dtype=np.int64)
-        at = 0
-        for r in rows:
-            for level, size in enumerate(r.sizes):
-                self.size[r.shard, level], self.base[r.shard, level] = size, at
-                at += size
-        join = lambda name, kind: np.frombuffer(b"".join(bytes(r[name]) for r in rows), dtype=kind)
-        self.words = join("bits", np.uint64)
+class Shard:
+    """The arrays of one shard: fingerprint, number of documents and keeper by perfect-hash slot."""
+
+    def __init__(self, row: dict):
+        self.sizes = row["sizes"]
+        self.words = np.frombuffer(row["bits"], dtype=np.uint64)
         self.rank = np.concatenate(([0], np.cumsum(np.bitwise_count(self.words), dtype=np.int64)))
-        self.prints, self.counts, self.keepers = join("prints", np.uint64), join("counts", np.int32), join("keepers", np.int64)
-
-    def slots(self, halves: np.ndarray) -> np.ndarray:
-        """Slot of each key, -1 for keys that are not in the index."""
-        out = np.full(len(halves), -1, dtype=np.int64)
-        shard = (halves[:, 0] % np.uint64(self.shards)).astype(np.int64)
-        open_ = np.arange(len(halves))
-        for level in range(self.size.shape[1]):
-            open_ = open_[self.size[shard[open_], level] > 0]
-            if not len(open_):
-                break
-            place = self.base[shard[open_], level] + (mixed(halves[open_, 0], level) % self.size[shard[open_], level].astype(np.uint64)).astype(np.int64)
+        self.prints, self.counts, self.keepers = (np.frombuffer(row[name], dtype=kind) for name, kind in (("prints", np.uint64), ("counts", np.int64), ("keepers", np.int64)))
+
+    def slots(self, h: np.ndarray, f: np.ndarray) -> np.ndarray:
+        """Slot of each line, -1 for lines that are not in the shard."""
+        out, rest, base = np.full(len(h), -1, dtype=np.int64), np.arange(len(h)), 0
+        for level, size in enumerate(self.sizes):
+            place = base + places(h[rest], f[rest], level, size)
             word, bit = self.words[place >> 6], (place & 63).astype(np.uint64)
             hit = (word >> bit) & np.uint64(1) == 1
             slot = self.rank[place >> 6] + np.bitwise_count(word & ((np.uint64(1) << bit) - np.uint64(1))).astype(np.int64)
-            out[open_[hit]] = slot[hit]
-            open_ = open_[~hit]
+            out[rest[hit]] = slot[hit]
+            rest, base = rest[~hit], base + size
         known = out >= 0
-        known[known] = self.prints[out[known]] == halves[known, 1]
+        known[known] = self.prints[out[known]] == f[known]
         return np.where(known, out, -1)
 
 
 def built(pdf: pd.DataFrame) -> pd.DataFrame:
     """The row of one shard: h and f are the hash halves of its lines."""
-    pdf = pdf.drop_duplicates("h")
-    sizes, bits, slots = perfect(pdf["h"].to_numpy(dtype=np.int64).view(np.uint64))
+    h, f = (pdf[name].to_numpy(dtype=np.int64).view(np.uint64) for name in ("h", "f"))
+    sizes, bits, slots = perfect(h, f)
     pdf = pdf.iloc[np.argsort(slots)]
-    arrays = [pdf[name].to_numpy(dtype=kind).tobytes() for name, kind in (("f", np.int64), ("n", np.int32), ("keeper", np.int64))]
+    arrays = [pdf[name].to_numpy(dtype=np.int64).tobytes() for name in ("f", "n", "keeper")]
     return pd.DataFrame([[int(pdf["shard"].iloc[0]), sizes, np.packbits(bits, bitorder="little").tobytes(), *arrays]], columns=[p.split()[0] for p in SHARD_ROW.split(", ")])
 
 
-def repeated_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
-    """(h, f, n, keeper) of each line key in at least min_docs documents; keeper is the largest id.
+def split_rows(docs: DataFrame) -> DataFrame:
+    """Rows of ROW: each document with the places and hash halves of its lines that are long enough; a chunk is a run of
+    rows in one task with about CHUNK_BYTES of text, or one longer text."""
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            texts, start, held = batch.column(1).to_pylist(), 0, 0
+            for i, text in enumerate(texts):
+                held += len(text or "")
+                if held >= CHUNK_BYTES or i + 1 == len(texts):
+                    split = [line_keys(x or "") for x in texts[start:i + 1]]
+                    offsets = pa.array(np.concatenate(([0], np.cumsum([len(s[1]) for s in split]))), pa.int32())
+                    halves = np.concatenate([s[2] for s in split]).view(np.int64)
+                    lists = [np.concatenate([s[1] for s in split]).astype(np.int32), halves[:, 0], halves[:, 1]]
+                    n = i + 1 - start
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, chunk)), batch.column(0).slice(start, n), batch.column(1).slice(start, n), *[pa.ListArray.from_arrays(offsets, pa.array(x)) for x in lists]],
+                                                     [p.split()[0] for p in ROW.split(", ")])
+                    start, held, chunk = i + 1, 0, chunk + 1
+
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(made, ROW)
+
+
+def line_counts(rows: DataFrame) -> DataFrame:
+    """(h, f, n, keeper) of every different line: its number of documents and the largest of their ids.
 
     Rows of one id are one document; rows with a null id are one document too, which never keeps.
     """
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, texts = batch.column(0), batch.column(1).to_pylist()
-            for start in range(0, len(texts), 1000):
-                halves = [np.unique(line_keys(x)[2], axis=0) if x else np.zeros((0, 2), np.uint64) for x in texts[start:start + 1000]]
-                at = np.repeat(np.arange(start, start + len(halves)), [len(x) for x in halves])
-                both = np.concatenate(halves).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1]), ids.take(pa.array(at))], ["h", "f", "doc_id"])
+    pairs = rows.select("doc_id", F.inline(F.array_distinct(F.arrays_zip("h", "f")))).distinct()
+    return pairs.groupBy("h", "f").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max("doc_id"), F.lit(-(1 << 63))).alias("keeper"))
 
-    pairs = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(hashed, "h long, f long, doc_id long").distinct()
-    return pairs.groupBy("h", "f").agg(F.count(F.lit(1)).cast("int").alias("n"), F.max("doc_id").alias("keeper")).where(F.col("n") >= min_docs)
 
-
-def deduped(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+def deduped(docs: DataFrame, min_docs: int = MIN_DOCS, shard_keys: int = SHARD_KEYS, slice_chunks: int = SLICE_CHUNKS) -> DataFrame:
     """One row for each row of docs: doc_id, n_lines (before), n_dropped and `kept`, the text that stays.
 
     A line whose key is long enough and stands in at least min_docs documents goes from all of them but the largest
     doc_id. Null and empty texts are one empty line. Repeated rows are one document and stay alike, a null id never
     keeps a repeated line, and other columns are not read.
 
-    Only repeated lines enter the index. Its shards hold about SHARD_KEYS lines each and are built in tasks; the driver
-    never holds more than the shards of one block of about BLOCK_KEYS lines (21 bytes a line), which is broadcast and
-    probed in one pass over the documents; further blocks take further passes. Both halves of a 128-bit hash must agree.
+    Every different line is in the index, in shards of about shard_keys lines that are built and probed in tasks; no part
+    of it comes to the driver. A chunk of documents asks each shard once for each of its different lines, and the count at
+    the line's slot decides; only lines that go come back to the chunk. A line that stands everywhere is one question a
+    chunk, and beyond slice_chunks chunks the questions to a shard are spread over copies of it.
     """
-    lines = saved(repeated_lines(docs, min_docs), "lines")
-    keys = lines.count()
-    shards = max(1, -(-keys // SHARD_KEYS))
-    table = saved(lines.withColumn("shard", F.expr(f"cast(pmod(pmod(h, {shards}) + if(h < 0, {pow(2, 64, shards)}, 0), {shards}) as long)")).groupBy("shard").applyInPandas(built, SHARD_ROW), "shards")
-    blocks = max(1, -(-keys // BLOCK_KEYS))
-    rows = docs.select(F.col("doc_id").cast("long"), "text", F.array().cast("array<int>").alias("drops"))
-    for k in range(blocks):
-        part = table.where(F.col("shard") % blocks == k).orderBy("shard").collect()
-        rows = probed(rows, docs.sparkSession.sparkContext.broadcast(Index(part, shards)), last=k == blocks - 1)
-        rows = rows if k == blocks - 1 else saved(rows, "probed")
-    return rows
-
-
-def probed(rows: DataFrame, index, last: bool) -> DataFrame:
-    """rows with the places of the lines that go by this block of the index; the last block also cuts them out."""
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = index.value
-        for batch in batches:
-            ids, texts, drops = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()
-            for start in range(0, len(texts), 500):
-                span = slice(start, start + 500)
-                split = [line_keys(x or "") for x in texts[span]]
-                slots = table.slots(np.concatenate([s[2] for s in split]))
-                ends = np.cumsum([len(s[1]) for s in split])
-                out = []
-                for i, text, old, (lines, at, _), end in zip(ids[span], texts[span], drops[span], split, ends):
-                    own = slots[end - len(at):end]
-                    goes = own >= 0
-                    if i is not None:
-                        goes[goes] = table.keepers[own[goes]] != i
-                    gone = old + at[goes].tolist()
-                    if last:
-                        lost = set(gone)
-                        kept = text or "" if not lost else b"\n".join(x for j, x in enumerate(lines) if j not in lost).decode()
-                        out.append((len(lines), len(lost), kept))
-                    else:
-                        out.append((text, gone))
-                own_ids = pa.array(ids[span], pa.int64())
-                if last:
-                    n, d, t = zip(*out)
-                    yield pa.RecordBatch.from_arrays([own_ids, pa.array(n, pa.int64()), pa.array(d, pa.int64()), pa.array(t, pa.string())], ["doc_id", "n_lines", "n_dropped", "kept"])
-                else:
-                    t, g = zip(*out)
-                    yield pa.RecordBatch.from_arrays([own_ids, pa.array(t, pa.string()), pa.array(g, pa.list_(pa.int32()))], ["doc_id", "text", "drops"])
-
-    return rows.mapInArrow(cut, "doc_id long, n_lines long, n_dropped long, kept string" if last else "doc_id long, text string, drops array<int>")
+    rows = saved(split_rows(docs), "lines")
+    counts = saved(line_counts(rows), "counts")
+    chunks = rows.agg(F.count_distinct("chunk")).first()[0]
+    shards, slices = max(1, -(-counts.count() // shard_keys)), max(1, -(-chunks // slice_chunks))
+    shard = F.pmod(F.col("h"), F.lit(shards)).cast("long")
+    index = counts.withColumn("shard", shard).groupBy("shard").applyInPandas(built, SHARD_ROW)
+    index = index.withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slices - 1).cast("long"))))
+    asked = rows.select("chunk", F.inline(F.arrays_zip("h", "f"))).distinct().withColumns({"of": shard, "part": F.pmod("chunk", F.lit(slices)).cast("long")})
+
+    def probed(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not len(left) or not len(right):
+            return right.select(["chunk", "h", "f"]).append_column("keeper", pa.nulls(len(right), pa.int64())).slice(0, 0)
+        table = Shard({name: left[name][0].as_py() for name in ("sizes", "bits", "prints", "counts", "keepers")})
+        h, f = (right[name].to_numpy().view(np.uint64) for name in ("h", "f"))
+        slot = table.slots(h, f)
+        goes = np.flatnonzero((slot >= 0) & (table.counts[slot] >= min_docs))
+        return pa.table([right["chunk"].take(goes), right["h"].take(goes), right["f"].take(goes), pa.array(table.keepers[slot[goes]])], names=["chunk", "h", "f", "keeper"])
+
+    hits = index.groupBy("shard", "slice").cogroup(asked.groupBy("of", "part")).applyInArrow(probed, "chunk long, h long, f long, keeper long")
+    hits = saved(hits.withColumnRenamed("chunk", "asker"), "hits")
+    return rows.groupBy("chunk").cogroup(hits.groupBy("asker")).applyInArrow(cut, "doc_id long, n_lines long, n_dropped long, kept string")
+
+
+def cut(left: pa.Table, right: pa.Table) -> pa.Table:
+    """The documents of a chunk without the lines that go; right holds those lines with their keepers."""
+    gone = dict(zip(zip(right["h"].to_pylist(), right["f"].to_pylist()), right["keeper"].to_pylist()))
+    counts, dropped, kept = [], [], []
+    for doc, text, at, h, f in zip(*(left[name].to_pylist() for name in ("doc_id", "text", "at", "h", "f"))):
+        lines = (text or "").split("\n")
+        lost = {i for i, key in zip(at, zip(h, f)) if key in gone and (doc is None or gone[key] != doc)}
+        counts.append(len(lines))
+        dropped.append(len(lost))
+        kept.append("\n".join(x for i, x in enumerate(lines) if i not in lost) if lost else text or "")
+    return pa.table([left["doc_id"], pa.array(counts, pa.int64()), pa.array(dropped, pa.int64()), pa.array(kept, pa.string())], names=["doc_id", "n_lines", "n_dropped", "kept"])
 
 
 def digest(kept: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ import re
 from pathlib import Path
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -177,18 +178,27 @@ def test_lines_against_a_plain_version(make_docs, monkeypatch):
     docs = [(k, "\n".join(rng.choice(pool) for _ in range(rng.randrange(8)))) for k in range(80)]
     docs += [(200, None), (201, ""), (None, LINE + "\nown"), (5, LINE), (5, LINE), (300, "\r\n".join([LINE, "a" * 100_000, LINE]))]
     plain_rows = sorted(plain.lines(docs), key=str)
-    for keys, shard in ((2_000_000, 50_000), (10, 3)):
-        monkeypatch.setattr(lines, "BLOCK_KEYS", keys)
-        monkeypatch.setattr(lines, "SHARD_KEYS", shard)
-        assert sorted(map(tuple, lines.deduped(make_docs(docs)).collect()), key=str) == plain_rows
+    for chunk, shard, slices in ((2 << 20, 50_000, 10_000), (200, 3, 2), (1, 1, 1)):
+        monkeypatch.setattr(lines, "CHUNK_BYTES", chunk)
+        got = lines.deduped(make_docs(docs).repartition(2), shard_keys=shard, slice_chunks=slices)
+        assert sorted(map(tuple, got.collect()), key=str) == plain_rows
     digests = {r[3] for r in lines.digest(lines.deduped(make_docs(docs))).collect()}
     assert digests == {hashlib.sha256(x[3].encode()).hexdigest() for x in plain_rows}
 
 
-def test_perfect_hash_gives_each_key_its_slot():
-    h = np.unique(np.random.default_rng(5).integers(0, 2**64 - 1, 5000, dtype=np.uint64))
-    sizes, bits, slots = lines.perfect(h)
+def test_perfect_hash_gives_each_line_its_slot():
+    rng = np.random.default_rng(5)
+    both = np.unique(rng.integers(0, 2**64 - 1, (5000, 2), dtype=np.uint64), axis=0)
+    both[:40, 0] = both[0, 0]  # lines that share the first half of their hash are told apart by the second
+    both[40:80, 1] = both[40, 1]
+    h, f = both.T.copy()
+    sizes, bits, slots = lines.perfect(h, f)
     assert sorted(slots) == list(range(len(h))) and bits.sum() == len(h) and sum(sizes) == len(bits)
+    frame = pd.DataFrame({"shard": 3, "h": h.view(np.int64), "f": f.view(np.int64), "n": np.arange(len(h)), "keeper": -np.arange(len(h))})
+    shard = lines.Shard(lines.built(frame).iloc[0].to_dict())
+    found = shard.slots(h, f)
+    assert (shard.counts[found] == np.arange(len(h))).all() and (shard.keepers[found] == -np.arange(len(h))).all()
+    assert (shard.slots(h + np.uint64(1), f + np.uint64(7)) < 0).all()
 
 
 def test_quality_on_documents_that_were_held_out(spark, folder):
