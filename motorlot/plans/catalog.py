@@ -13,7 +13,7 @@ from motorlot.functions import scalar as S
 from motorlot.operators import changes as J, checks as C, digests, hierarchy as H, overlap as O, pricing as P, rentals as Q, tours, trigrams
 from motorlot.plans import lookups as L, reports as R, sql_api
 from motorlot.session import checkpoint_dir
-from motorlot.sources import adapter as A, loaders, sinks as K, timeline
+from motorlot.sources import adapter as A, loaders, lookup_store, sinks as K, timeline
 from motorlot.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -164,6 +164,7 @@ def lookup_queries() -> dict[str, Query]:
         "search_vehicles": lambda s, d: L.search_vehicles(*_fleet(s, d), "RiNg"),
         "available_vehicles": lambda s, d: L.available(*_fleet(s, d), location=4, category="ECONOMY"),
         "available_vehicles_all": lambda s, d: L.available(*_fleet(s, d)),
+        "rental_by_id_stored": lambda s, d: _stored_rental(s, d, 13),
         "rental_by_id": lambda s, d: L.rental_by_id(_booked(s, d), *_view(s, d), 13),
         "vehicle_by_id": lambda s, d: L.vehicle_by_id(*_fleet(s, d), 13),
         "customer_by_id": lambda s, d: L.customer_by_id(A.customers(s, d), AS_OF, 20),
@@ -342,13 +343,19 @@ def _audit_sides(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return old, new
 
 
+def _stored_rental(s: SparkSession, d: str, rental_id: int) -> DataFrame:
+    rentals, path = _booked(s, d), _folder(s, "by_id")
+    lookup_store.write_lookup(rentals, "rental_id", path, ("rental_ref",))
+    return L.rental_by_id(lookup_store.lookup(s, path, rentals.schema, "rental_id", rental_id), *_view(s, d), rental_id)
+
+
 def _touched_months(s: SparkSession, d: str) -> DataFrame:
     """The table as stored before the rentals of two months were completed, then refreshed for those."""
     done, path = A.rentals(s, d, "COMPLETED"), _folder(s, "months")
     late = F.trunc("actual_dropoff", "MM").isin(date(1996, 2, 1), date(1997, 5, 1))
     K.write_revenue_months(done.where(~late | (F.col("line_number") < 3)), path)
     K.refresh_revenue_months(done, done.where(late & (F.col("line_number") >= 3)), path)
-    return K.read_revenue_months(s, path)
+    return K.read_revenue_months(done, path)
 
 
 def _stored_as_of(s: SparkSession, d: str) -> DataFrame:

@@ -850,6 +850,7 @@ WRITES = {
     "monthly_revenue_refreshed": REPORTS["monthly_revenue_snapshot"],
     "monthly_revenue_touched": REPORTS["monthly_revenue_snapshot"],
     "search_customers_indexed": LOOKUPS["search_customers"],
+    "rental_by_id_stored": LOOKUPS["rental_by_id"],
     "search_vehicles_indexed": LOOKUPS["search_vehicles"],
     "audit_diff_digests": CHANGES["audit_diff"],
     "as_of_state_stored": CHANGES["as_of_state"],

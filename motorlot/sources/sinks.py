@@ -97,8 +97,9 @@ def refresh_revenue_months(rentals: DataFrame, changes: DataFrame, path: str) ->
     out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("month").parquet(path)
 
 
-def read_revenue_months(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path).where("rental_count > 0").drop("month")
+def read_revenue_months(rentals: DataFrame, path: str) -> DataFrame:
+    """The stored months; the types are those that a summary of ``rentals`` has."""
+    return rentals.sparkSession.read.schema(_monthly(rentals).schema).parquet(path).where("rental_count > 0").drop("month")
 
 
 def rows_to_json(df: DataFrame, names: Mapping[str, str]) -> DataFrame:

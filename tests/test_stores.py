@@ -9,7 +9,7 @@ from seed import rows
 
 from motorlot.operators import changes as J, digests, trigrams
 from motorlot.plans import lookups as L, reports as R
-from motorlot.sources import adapter as A, sinks as K, timeline
+from motorlot.sources import adapter as A, lookup_store, sinks as K, timeline
 from pyspark.sql import functions as F
 
 DATA = "/root/testdata/sf0.001"
@@ -117,7 +117,7 @@ def test_only_touched_months_are_rewritten(spark, tmp_path):
     K.refresh_revenue_months(after, rentals.where(march | june).union(after.where(march)), str(path))
     changed = {name for name, file in files().items() if before[name] != file}
     assert changed == {"month=2024-03", "month=2024-06"}
-    got = K.read_revenue_months(spark, str(path))
+    got = K.read_revenue_months(rentals, str(path))
     assert rows(got) == rows(R.monthly_summary(after).select(*got.columns))
 
 
@@ -143,3 +143,24 @@ def test_shallow_pages_are_top_rows(spark):
         assert [tuple(r) for r in deep.collect()] == [tuple(r) for r in top.collect()] and top.count() == 10
     finally:
         R.SHALLOW_ROWS = limit
+
+
+def rows_read(df):
+    """Rows that the scan hands on: all rows of the row groups it opens."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan()
+    plan = plan.executedPlan() if "AdaptiveSparkPlan" in plan.getClass().getName() else plan
+    leaves = plan.collectLeaves()
+    return sum(leaves.apply(i).metrics().apply("numOutputRows").value() for i in range(leaves.size()))
+
+
+def test_lookups_open_few_row_groups(spark, tmp_path):
+    path = str(tmp_path / "stored")
+    table = spark.range(0, 200_000).selectExpr("id * 2 as id", "md5(cast(id as string)) as ref", "repeat(md5(cast(id + 7 as string)), 4) as load")
+    lookup_store.write_lookup(table, "id", path, ("ref",), row_group_bytes=1 << 20)
+    one, ref = lookup_store.lookup(spark, path, table.schema, "id", 5000), table.where("id = 9000").first()["ref"]
+    assert rows(one) == rows(table.where("id = 5000")) and 0 < rows_read(one) <= 20_000
+    assert rows_read(lookup_store.lookup(spark, path, table.schema, "id", 5001)) == 0
+    by_ref = lookup_store.lookup(spark, path, table.schema, "ref", ref)
+    assert rows(by_ref) == rows(table.where("id = 9000")) and rows_read(by_ref) <= 60_000
+    assert rows_read(lookup_store.lookup(spark, path, table.schema, "ref", "0" * 32)) <= 20_000
