@@ -12,7 +12,7 @@ from motorlot.operators.changes import assign_keys
 from motorlot.operators.ordered import ordered_scan
 from motorlot.operators.overlap import first_blocker
 from motorlot.operators.pricing import apply_loyalty, apply_promo, check_promos, price
-from motorlot.session import checkpointed
+from motorlot.session import written
 
 # Fuel price per point, flat damage fee, late-fee factor.
 FUEL_POINT, DAMAGE_FEE, LATE_FACTOR = 3, 250, "1.5"
@@ -43,19 +43,19 @@ def grant_in_order(requests: DataFrame, order: str) -> DataFrame:
     requests on granted days fall out. The result equals the sequential one, and a busy vehicle is
     spread over its days.
     """
-    lengths = checkpointed(requests.select(order, F.datediff("dropoff_date", "pickup_date").alias("_days")))
-    open_slots = checkpointed(day_slots(requests, order))
+    lengths = written(requests.select(order, F.datediff("dropoff_date", "pickup_date").alias("_days")))
+    open_slots = written(day_slots(requests, order))
     granted = None
     while True:
         first = open_slots.groupBy("vehicle_id", "day").agg(F.min(order).alias(order))
         leads = first.groupBy(order).agg(F.count(F.lit(1)).alias("_led"))
-        won = checkpointed(leads.join(lengths, order).where(F.col("_led") == F.col("_days")).select(order))
+        won = written(leads.join(lengths, order).where(F.col("_led") == F.col("_days")).select(order))
         if won.isEmpty():
             break
         granted = won if granted is None else granted.unionByName(won)
         taken = open_slots.join(won, order, "left_semi").select("vehicle_id", "day")
         losers = open_slots.join(taken, ["vehicle_id", "day"], "left_semi").select(order).distinct()
-        open_slots = checkpointed(open_slots.join(losers, order, "left_anti"))
+        open_slots = written(open_slots.join(losers, order, "left_anti"))
     if granted is None:
         return requests.limit(0)
     return requests.join(granted, order, "left_semi").select(*requests.columns)
@@ -87,12 +87,12 @@ def contenders(requests: DataFrame, existing: DataFrame, order: str) -> DataFram
     proper = (F.col("pickup_date") < F.col("dropoff_date")) & F.col("vehicle_id").isNotNull()
     asked = requests.where(proper).select(F.col(order).alias("o"), "vehicle_id", "pickup_date", "dropoff_date")
     held = existing.select("vehicle_id", F.lit(0).alias("_id"), F.col("pickup_date").alias("_s"), F.col("dropoff_date").alias("_e"))
-    marked = checkpointed(first_blocker(asked, held, "vehicle_id", "pickup_date", "dropoff_date", "_id", "_s", "_e").select(
+    marked = written(first_blocker(asked, held, "vehicle_id", "pickup_date", "dropoff_date", "_id", "_s", "_e").select(
         "o", "vehicle_id", F.col("pickup_date").alias("s"), F.col("dropoff_date").alias("e"), F.col("blocker").isNotNull().alias("blocked")))
     free = with_islands(marked.where("not blocked").drop("blocked"))
     sizes = free.groupBy("vehicle_id", "island").agg(F.count(F.lit(1)).alias("n"))
     blocked = marked.where("blocked").select("o", "vehicle_id", "s", "e", F.lit(-1).cast("long").alias("island"), F.lit(1).cast("long").alias("n"))
-    return checkpointed(free.join(sizes, ["vehicle_id", "island"]).select("o", "vehicle_id", "s", "e", "island", "n").unionByName(blocked))
+    return written(free.join(sizes, ["vehicle_id", "island"]).select("o", "vehicle_id", "s", "e", "island", "n").unionByName(blocked))
 
 
 def decided(lines: DataFrame, fold_rows: int) -> DataFrame:
@@ -115,7 +115,7 @@ def clash_flags(requests: DataFrame, existing: DataFrame, order: str, fold_rows:
     one with empty dates has no row.
     """
     able = requests.select(F.col(order).alias("o"), "able")
-    flags = decided(checkpointed(contenders(requests, existing, order).join(able, "o")), fold_rows)
+    flags = decided(written(contenders(requests, existing, order).join(able, "o")), fold_rows)
     nowhere = requests.where((F.col("pickup_date") < F.col("dropoff_date")) & F.col("vehicle_id").isNull()).select(order, F.lit(False).alias("clash"))
     return flags.withColumnRenamed("o", order).unionByName(nowhere)
 
@@ -140,20 +140,33 @@ def _folded(lines: DataFrame) -> DataFrame:
 
 def _by_days(lines: DataFrame) -> DataFrame:
     """The same for islands of any size, by vehicle days."""
-    asked = checkpointed(lines.select("o", "vehicle_id", F.col("s").alias("pickup_date"), F.col("e").alias("dropoff_date"), "able"))
+    asked = written(lines.select("o", "vehicle_id", F.col("s").alias("pickup_date"), F.col("e").alias("dropoff_date"), "able"))
     granted = grant_in_order(asked.where("able").select("o", "vehicle_id", "pickup_date", "dropoff_date"), "o")
     holders = day_slots(granted, "o").withColumnRenamed("o", "_holder")
     clashing = day_slots(asked, "o").join(holders, ["vehicle_id", "day"]).where(F.col("_holder") < F.col("o")).select("o").distinct().withColumn("_hit", F.lit(True))
     return asked.join(clashing, "o", "left").select("o", F.coalesce("_hit", F.lit(False)).alias("clash"))
 
 
+# Promotions with at most this many uses left are counted off by a window that every task cuts short.
+FEW_USES = 10_000
+
+
 def _run_out(accepted: DataFrame, order: str):
     """The first accepted request that takes the last use of its promotion, if more ask for it; else None.
 
-    ``_left`` is the number of uses left before the batch. Uses are numbered by an ordered scan.
+    ``_left`` is the number of uses left before the batch. Uses are numbered up to the largest of them, so a task hands on
+    no more rows of a promotion than that; beyond FEW_USES an ordered scan numbers them.
     """
-    full = accepted.groupBy("promo_code", "_left").agg(F.count(F.lit(1)).alias("n")).where("n > _left").select("promo_code")
-    numbered = ordered_scan(accepted.join(full, "promo_code", "left_semi").select("promo_code", "_left", order), [order], [order], ["promo_code"], ranks=False)
+    full = written(accepted.groupBy("promo_code", "_left").agg(F.count(F.lit(1)).alias("n")).where("n > _left").select("promo_code", F.col("_left").alias("_most")))
+    most = full.agg(F.max("_most")).first()[0]
+    if most is None:
+        return None
+    rows = accepted.join(full.select("promo_code"), "promo_code", "left_semi").select("promo_code", "_left", order)
+    if most <= FEW_USES:
+        line = Window.partitionBy("promo_code").orderBy(order)
+        numbered = rows.withColumn("row_num", F.row_number().over(line)).where(F.col("row_num") <= F.lit(most))
+    else:
+        numbered = ordered_scan(rows, [order], [order], ["promo_code"], ranks=False)
     return numbered.where(F.col("row_num") == F.col("_left")).orderBy(order).select("promo_code", order).first()
 
 
@@ -172,12 +185,12 @@ def decide_reservations(requests: DataFrame, existing: DataFrame, customers: Dat
         "_dates_ok": F.col("dropoff_date") > F.col("pickup_date"),
         "_customer_ok": F.coalesce(F.col("_active") == "Y", F.lit(False)),
     })
-    checked = checkpointed(checked)
+    checked = written(checked)
     left = promos.where(F.col("max_uses").isNotNull()).select("promo_code", (F.col("max_uses") - F.col("current_uses")).alias("_left"))
     able = F.col("_dates_ok") & F.col("_customer_ok") & (F.col("promo_check") == "OK")
     asking = checked.select(F.col(order).alias("o"), F.coalesce("promo_code", F.lit("")).alias("code"), able.alias("able"))
-    lines = checkpointed(contenders(checked, existing, order).join(asking, "o"))
-    flags = checkpointed(decided(lines, fold_rows))
+    lines = written(contenders(checked, existing, order).join(asking, "o"))
+    flags = written(decided(lines, fold_rows))
     ends: dict[str, object] = {}
     while True:
         accepted = lines.where("able").join(flags.where("not clash"), "o").select(F.col("o").alias(order), F.col("code").alias("promo_code"))
@@ -190,12 +203,12 @@ def decide_reservations(requests: DataFrame, existing: DataFrame, customers: Dat
         ends[code] = last
         # Only islands with a request that this promotion now refuses can change.
         refused = (F.col("code") == code) & (F.col("o") > F.lit(last))
-        lines = checkpointed(lines.withColumn("changed", F.col("able") & refused).withColumn("able", F.col("able") & ~refused))
+        lines = written(lines.withColumn("changed", F.col("able") & refused).withColumn("able", F.col("able") & ~refused))
         changed = lines.where("changed").select("vehicle_id", "island").where("island >= 0").distinct()
         again = lines.where("island >= 0 and n > 1").join(changed, ["vehicle_id", "island"], "left_semi").drop("changed")
-        again = checkpointed(decided(again, fold_rows))
+        again = written(decided(again, fold_rows))
         lines = lines.drop("changed")
-        flags = checkpointed(flags.join(again, "o", "left_anti").unionByName(again))
+        flags = written(flags.join(again, "o", "left_anti").unionByName(again))
     over = F.lit(False)
     for code, last in ends.items():
         over = over | ((F.col("promo_code") == code) & (F.col(order) > F.lit(last)))
@@ -233,7 +246,7 @@ def begin_rentals(reservations: DataFrame, requests: DataFrame, vehicles: DataFr
     # Requests of one reservation share its vehicle, so the first of the vehicle settles both.
     first = free.groupBy("vehicle_id").agg(F.min("_place").alias("_first"))
     copies = first.join(free, "vehicle_id").where(F.col("_first") == F.col("_place")).drop("_first", "_place", "_state")
-    started = checkpointed(copies.dropDuplicates(list(order)))
+    started = written(copies.dropDuplicates(list(order)))
     keyed = assign_keys(started, ["reservation_id"], "rental_id", next_id, **scan)
     rentals = keyed.select(
         "rental_id", "reservation_id", "customer_id", "vehicle_id", "pickup_location", "dropoff_location",

@@ -171,23 +171,25 @@ def test_latest_per_row(spark):
     assert rows(L.latest_per_row(cars, trips, "vehicle_id", ["at", "id"], ["id"], "left")) == [(1, 12), (2, None)]
 
 
-@pytest.mark.parametrize("fold_rows", [10_000, 3])
-def test_promotions_run_out_inside_a_batch(spark, fold_rows):
+@pytest.mark.parametrize("fold_rows, few_uses", [(10_000, 10_000), (3, 10_000), (10_000, 1)])
+def test_promotions_run_out_inside_a_batch(spark, monkeypatch, fold_rows, few_uses):
+    monkeypatch.setattr(Q, "FEW_USES", few_uses)
     draw = random.Random(8)
     asked = []
-    for i in range(120):
-        start = D0 + timedelta(days=draw.randrange(200))
+    for i in range(160):
+        start = D0 + timedelta(days=draw.randrange(300))
         vehicle = None if i % 20 == 0 else draw.randrange(1, 6)
-        asked.append((i, draw.choice([1, 1, 1, 2]), vehicle, draw.choice(["A", "B", None]), start, start + timedelta(days=draw.randrange(0, 6))))
+        asked.append((i, draw.choice([1, 1, 1, 2]), vehicle, draw.choice(["A", "B", "C", None]), start, start + timedelta(days=draw.randrange(0, 6))))
     requests = spark.createDataFrame(asked, "id long, customer_id long, vehicle_id long, promo_code string, pickup_date date, dropoff_date date")
     promos = spark.createDataFrame(
-        [("A", "PERCENT", Decimal(10), 9, 0, datetime(2024, 1, 1), datetime(2024, 12, 31), "Y"), ("B", "FIXED", Decimal(5), 8, 2, datetime(2024, 1, 1), datetime(2024, 12, 31), "Y")],
+        [("A", "PERCENT", Decimal(10), 9, 0, datetime(2024, 1, 1), datetime(2024, 12, 31), "Y"), ("B", "FIXED", Decimal(5), 8, 2, datetime(2024, 1, 1), datetime(2024, 12, 31), "Y"),
+         ("C", "FIXED", Decimal(5), 3, 0, datetime(2024, 1, 1), datetime(2024, 12, 31), "Y")],
         "promo_code string, discount_type string, discount_value decimal(8,2), max_uses long, current_uses long, valid_from timestamp_ntz, valid_to timestamp_ntz, is_active string")
     people = spark.createDataFrame([(1, "Y", 10), (2, "N", 10)], "customer_id long, is_active string, loyalty_points long")
     held = [(1, D0, D0 + timedelta(days=20))]
     existing = spark.createDataFrame(held, "vehicle_id long, pickup_date date, dropoff_date date")
 
-    spans, left, want = {1: [held[0][1:]]}, {"A": 9, "B": 6}, {}
+    spans, left, want = {1: [held[0][1:]]}, {"A": 9, "B": 6, "C": 3}, {}
     for i, who, vehicle, code, start, end in asked:
         clash = vehicle is not None and any(s < end and e > start for s, e in spans.get(vehicle, []))
         reason = ("INVALID_DATES" if end <= start else "VEHICLE_UNAVAILABLE" if clash else "CUSTOMER_NOT_FOUND" if who == 2
@@ -197,7 +199,7 @@ def test_promotions_run_out_inside_a_batch(spark, fold_rows):
             spans.setdefault(vehicle, []).append((start, end))
             if code:
                 left[code] -= 1
-    assert left == {"A": 0, "B": 0}
+    assert left == {"A": 0, "B": 0, "C": 0}
     got = Q.decide_reservations(requests, existing, people, rates(spark), promos, datetime(2024, 6, 1), "id", fold_rows)
     assert dict(rows(got, "id", "reason")) == want
 
