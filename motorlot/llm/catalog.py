@@ -72,4 +72,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_cover_tree": vectors.SQL, "op3_url_rules": url_rules.SQL, "op7_decontamination": decontamination.SQL, "op9_line_dedup": lines.SQL, "op10_mixing": mixing.SQL, "op13_quality_rules": quality_rules.SQL}
+    return {"op1_cover_tree": vectors.SQL, "op3_url_rules": url_rules.SQL, "op7_decontamination": decontamination.SQL, "op9_line_dedup": lines.SQL, "op10_mixing": mixing.SQL, "op11_spelling_variants": spelling.SQL, "op13_quality_rules": quality_rules.SQL}

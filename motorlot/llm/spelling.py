@@ -160,3 +160,22 @@ def variants(docs: DataFrame, key: str = "doc_id", text: str = "text", min_chars
         on = hops.select(F.col("word").alias("root"), F.col("root").alias("further"))
         hops = saved(hops.join(on, "root", "left").select("word", F.coalesce("further", "root").alias("root")), "hops")
     return told.join(hops, "word", "left").select("word", F.col("f.form").alias("form"), F.coalesce("root", "word").alias("root"), "n", "n_near", F.col("f.form_n").alias("form_n"))
+
+
+# Check text of the query: crc32 by its table, neighbours by words without one letter, forms followed by recursion.
+SQL = r"""
+WITH RECURSIVE tbl AS (SELECT list_transform(range(256), lambda i: list_reduce([i::UBIGINT, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(3988292384::UBIGINT, c >> 1) ELSE c >> 1 END)) AS t),
+d AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{00C0}-\x{00FF}]+')) AS run FROM documents),
+b AS (SELECT run, count(*) AS n, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || run)) AS x FROM d WHERE length(run) >= 7 GROUP BY doc_id, run),
+h AS (SELECT run, n, xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(range(len(x) // 2), lambda i: ('0x' || substr(x, 2 * i + 1, 2))::UBIGINT)),
+                                     lambda c, y: xor(t[(xor(c, y) & 255)::BIGINT + 1], c >> 8)), 4294967295::UBIGINT)::BIGINT AS h FROM b, tbl),
+s AS (SELECT n, CASE WHEN h % 31 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word FROM h),
+w AS (SELECT word, sum(n)::BIGINT AS n FROM s WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+v AS (SELECT word, i, substr(word, 1, i - 1) || substr(word, i + 1) AS less FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM w)),
+p AS (SELECT a.word, b.word AS near FROM v a JOIN v b ON a.i = b.i AND a.less = b.less AND a.word <> b.word
+      UNION SELECT v.word, w.word FROM v JOIN w ON v.less = w.word UNION SELECT w.word, v.word FROM v JOIN w ON v.less = w.word),
+q AS (SELECT p.word, near, w.n, count(*) OVER (PARTITION BY p.word) AS n_near, row_number() OVER (PARTITION BY p.word ORDER BY w.n DESC, near) AS k FROM p JOIN w ON p.near = w.word),
+f AS (SELECT w.word, w.n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN q.n >= 10 * w.n THEN near END AS form, CASE WHEN q.n >= 10 * w.n THEN q.n END AS form_n FROM w LEFT JOIN q ON w.word = q.word AND k = 1),
+walk AS (SELECT word, word AS spot FROM f UNION ALL SELECT walk.word, f.form FROM walk JOIN f ON walk.spot = f.word WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, spot AS root, f.n, f.n_near, f.form_n FROM f JOIN walk ON f.word = walk.word JOIN f g ON walk.spot = g.word WHERE g.form IS NULL
+"""
