@@ -50,36 +50,58 @@ def clash_counts(bookings: DataFrame, key: str, start: str, end: str) -> DataFra
     )
 
 
-# Days that one task sweeps for a key.
-SWEEP_DAYS = 128
+# Days that are swept for a key at a time, and the rows that a task of the sweep is meant to get.
+SWEEP_DAYS, SWEEP_ROWS = 128, 500_000
 
 
-def first_blocker(requests: DataFrame, bookings: DataFrame, key: str, start: str, end: str, booking: str,
-                  booking_start: str, booking_end: str, sweep_days: int = SWEEP_DAYS) -> DataFrame:
-    """requests plus ``blocker`` and ``blocker_start``: the earliest booking of the same key that overlaps each, else null.
+def _swept(requests: DataFrame, bookings: DataFrame, key: str, start: str, booking_start: str, booking_end: str,
+           first: Column, sweep_days: int, sweep_rows: int) -> DataFrame:
+    """(_key, _day, _best): the least ``first`` of the bookings of a key that end after each day on which a request starts.
 
-    Of the bookings that end after a request starts, the one with the smallest (start, id) blocks it if any does. It is
-    found by a sweep from the latest end to the earliest that carries that minimum. Bookings are merged by (key, end day)
-    and requests by (key, start day) first, and each key is swept in stretches of ``sweep_days``; the minimum of all later
-    stretches comes from one row for each stretch. So a task never holds more than a stretch, however busy the key, and no
-    pairs are formed. Empty intervals and null keys neither block nor are blocked.
+    It is found by a sweep from the latest end to the earliest that carries that minimum, in stretches of ``sweep_days``;
+    the minimum of all later stretches comes from one row for each stretch. Bookings and days are dealt to as many tasks as
+    their number asks for and merged there by (key, day) before they are sorted, so a task holds about ``sweep_rows`` rows
+    whatever the size of the tables, and of a busy key no more than the days of a stretch.
     """
-    first = F.min(F.struct(F.col(booking_start).alias("s"), F.col(booking).alias("id")))
-    ends = bookings.where((F.col(booking_start) < F.col(booking_end)) & F.col(key).isNotNull()).groupBy(
-        F.col(key).alias("_key"), F.col(booking_end).alias("_day")).agg(first.alias("_first"))
-    asked = requests.where((F.col(start) < F.col(end)) & F.col(key).isNotNull()).select(F.col(key).alias("_key"), F.col(start).alias("_day")).distinct()
-    marks = ends.withColumn("_asks", F.lit(False)).unionByName(asked.withColumns({"_asks": F.lit(True), "_first": F.lit(None).cast(ends.schema["_first"].dataType)}))
-    marks = marks.withColumn("_stretch", F.floor(F.datediff(F.to_date("_day"), F.lit("1970-01-01").cast("date")) / sweep_days))
+    ends = bookings.where((F.col(booking_start) < F.col(booking_end)) & F.col(key).isNotNull()).select(
+        F.col(key).alias("_key"), F.col(booking_end).alias("_day"), F.lit(False).alias("_asks"), first.alias("_first"))
+    asked = requests.select(F.col(key).alias("_key"), F.col(start).alias("_day"), F.lit(True).alias("_asks"), F.lit(None).cast(ends.schema["_first"].dataType).alias("_first"))
+    tasks = max(1, -(-(ends.count() + asked.count()) // sweep_rows))
+    marks = ends.unionByName(asked).withColumn("_stretch", F.floor(F.datediff(F.to_date("_day"), F.lit("1970-01-01").cast("date")) / sweep_days))
+    marks = marks.repartition(tasks, "_key", "_stretch").groupBy("_key", "_stretch", "_day", "_asks").agg(F.min("_first").alias("_first"))
     # At equal days a request comes first: a booking that ends when it starts does not block it.
     inside = Window.partitionBy("_key", "_stretch").orderBy(F.col("_day").desc(), F.col("_asks").desc()).rowsBetween(Window.unboundedPreceding, 0)
     later = Window.partitionBy("_key").orderBy(F.col("_stretch").desc()).rowsBetween(Window.unboundedPreceding, -1)
     carried = marks.groupBy("_key", "_stretch").agg(F.min("_first").alias("_own")).select("_key", "_stretch", F.min("_own").over(later).alias("_carried"))
-    swept = marks.withColumn("_seen", F.min("_first").over(inside)).where("_asks").join(carried, ["_key", "_stretch"]).select("_key", "_day", F.least("_seen", "_carried").alias("_best"))
+    seen = marks.withColumn("_seen", F.min("_first").over(inside)).where("_asks")
+    return seen.join(carried, ["_key", "_stretch"]).select("_key", "_day", F.least("_seen", "_carried").alias("_best"))
+
+
+def first_blocker(requests: DataFrame, bookings: DataFrame, key: str, start: str, end: str, booking: str,
+                  booking_start: str, booking_end: str, sweep_days: int = SWEEP_DAYS, sweep_rows: int = SWEEP_ROWS) -> DataFrame:
+    """requests plus ``blocker`` and ``blocker_start``: the earliest booking of the same key that overlaps each, else null.
+
+    Of the bookings that end after a request starts, the one with the smallest (start, id) blocks it if any does; a sweep
+    finds it, so no pairs are formed. Empty intervals and null keys neither block nor are blocked.
+    """
+    asked = requests.where((F.col(start) < F.col(end)) & F.col(key).isNotNull())
+    first = F.struct(F.col(booking_start).alias("s"), F.col(booking).alias("id"))
+    swept = _swept(asked, bookings, key, start, booking_start, booking_end, first, sweep_days, sweep_rows)
     named = requests.join(swept, (F.col(key) == F.col("_key")) & (F.col(start) == F.col("_day")), "left")
     blocks = (F.col("_best.s") < F.col(end)) & (F.col(start) < F.col(end))
     return named.select(*[requests[c] for c in requests.columns], F.when(blocks, F.col("_best.id")).alias("blocker"), F.when(blocks, F.col("_best.s")).alias("blocker_start"))
 
 
+def with_blocked(requests: DataFrame, bookings: DataFrame, key: str, start: str, end: str, booking_start: str,
+                 booking_end: str, sweep_days: int = SWEEP_DAYS, sweep_rows: int = SWEEP_ROWS) -> DataFrame:
+    """requests plus ``blocked``: whether a booking of the same key overlaps each. The same sweep carries the start alone."""
+    asked = requests.where((F.col(start) < F.col(end)) & F.col(key).isNotNull())
+    swept = _swept(asked, bookings, key, start, booking_start, booking_end, F.col(booking_start), sweep_days, sweep_rows)
+    named = requests.join(swept, (F.col(key) == F.col("_key")) & (F.col(start) == F.col("_day")), "left")
+    blocks = (F.col("_best") < F.col(end)) & (F.col(start) < F.col(end))
+    return named.select(*[requests[c] for c in requests.columns], F.coalesce(blocks, F.lit(False)).alias("blocked"))
+
+
 def clip_days(start: Column, end: Column, first: date, last: date) -> Column:
     """Days of an interval inside a span; not cut at zero, so filter to overlapping rows first."""
     return F.datediff(

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from motorlot.functions.money import money, ratio
 from motorlot.operators.changes import assign_keys
 from motorlot.operators.ordered import ordered_scan
-from motorlot.operators.overlap import first_blocker
+from motorlot.operators.overlap import with_blocked
 from motorlot.operators.pricing import apply_loyalty, apply_promo, check_promos, price
 from motorlot.session import written
 
@@ -86,9 +86,9 @@ def contenders(requests: DataFrame, existing: DataFrame, order: str) -> DataFram
     """
     proper = (F.col("pickup_date") < F.col("dropoff_date")) & F.col("vehicle_id").isNotNull()
     asked = requests.where(proper).select(F.col(order).alias("o"), "vehicle_id", "pickup_date", "dropoff_date")
-    held = existing.select("vehicle_id", F.lit(0).alias("_id"), F.col("pickup_date").alias("_s"), F.col("dropoff_date").alias("_e"))
-    marked = written(first_blocker(asked, held, "vehicle_id", "pickup_date", "dropoff_date", "_id", "_s", "_e").select(
-        "o", "vehicle_id", F.col("pickup_date").alias("s"), F.col("dropoff_date").alias("e"), F.col("blocker").isNotNull().alias("blocked")))
+    held = existing.select("vehicle_id", F.col("pickup_date").alias("_s"), F.col("dropoff_date").alias("_e"))
+    marked = written(with_blocked(asked, held, "vehicle_id", "pickup_date", "dropoff_date", "_s", "_e").select(
+        "o", "vehicle_id", F.col("pickup_date").alias("s"), F.col("dropoff_date").alias("e"), "blocked"))
     free = with_islands(marked.where("not blocked").drop("blocked"))
     sizes = free.groupBy("vehicle_id", "island").agg(F.count(F.lit(1)).alias("n"))
     blocked = marked.where("blocked").select("o", "vehicle_id", "s", "e", F.lit(-1).cast("long").alias("island"), F.lit(1).cast("long").alias("n"))

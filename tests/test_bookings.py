@@ -216,3 +216,19 @@ def test_listings_are_ordered(spark):
         "*", "'e' email", "'l' license_number", "date '2030-01-01' license_expiry", "date '1990-01-01' date_of_birth", "0L loyalty_points", "'Y' is_active")
     assert [r.customer_id for r in L.list_customers(people, datetime(2024, 1, 1)).collect()] == [2, 1, 4, 3]
     assert [r.customer_id for r in L.search_customers(people, "ZED", datetime(2024, 1, 1)).collect()] == [1, 4, 3]
+
+
+@pytest.mark.parametrize("sweep_days, sweep_rows", [(7, 100), (7, 9), (1000, 20)])
+def test_the_sweep_takes_more_tasks_for_more_rows(spark, sweep_days, sweep_rows):
+    asked, held = bookings(150, 6, 21), bookings(120, 6, 22)
+    asked += [(900, None, D0, D0 + timedelta(3), True), (901, 77, D0, D0 + timedelta(3), True), (902, 1, None, D0, True)]
+    held += [(910, None, D0, D0 + timedelta(3), True), (911, 2, None, D0, True)]
+    want = {i: any(v is not None and v == vehicle and s is not None and None not in (start, end) and s < e and start < end and s < end and e > start for _, v, s, e, _ in held)
+            for i, vehicle, start, end, _ in asked}
+    stored = spark.createDataFrame(held, SCHEMA).select("vehicle_id", F.col("pickup_date").alias("s"), F.col("dropoff_date").alias("e"))
+    got = O.with_blocked(spark.createDataFrame(asked, SCHEMA), stored, "vehicle_id", "pickup_date", "dropoff_date", "s", "e", sweep_days, sweep_rows)
+    assert dict(rows(got, "id", "blocked")) == want
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    swept = sum(None not in x[1:4] and x[2] < x[3] for x in asked) + sum(None not in x[1:4] and x[2] < x[3] for x in held)
+    tasks = -(-swept // sweep_rows)
+    assert f", {tasks}), REPARTITION_BY_NUM" in plan and "SortAggregate" not in plan
