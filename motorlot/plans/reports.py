@@ -156,24 +156,28 @@ def revenue_rollup(rentals: DataFrame, vehicles: DataFrame, locations: DataFrame
 def customers_rollup(rentals: DataFrame, vehicles: DataFrame, locations: DataFrame) -> DataFrame:
     """Different customers by location, category and month with subtotals and a grand total, exact.
 
-    Distinct counts cannot be added up, sets can: customers become bits of maps of 32,768 each, built once for the finest
-    groups, and the levels above merge the maps of the level below it by OR. Facts are read and shuffled once, and a
-    customer with very many rentals is a single bit. Rentals without a customer count for none.
+    Each customer counts once in every cell it is in. Its cells are put in the order of the names, where the first one of
+    each place and category, of each place and of all carries the count of that level, so counts add up over the cells.
+    Rentals are merged to a row for each customer and cell before they are sorted, so a customer with very many rentals has
+    no more rows than there are cells. Rentals without a customer count for none.
     """
     named = completed(rentals).join(vehicles.select("vehicle_id", "category_name"), "vehicle_id").join(
         locations.select(F.col("location_id").alias("pickup_location"), "location_name"), "pickup_location")
     names = ["location_name", "category_name", "month"]
-    maps = named.where(F.col("customer_id").isNotNull()).groupBy("location_name", "category_name", month_of("actual_dropoff").alias("month"), F.bitmap_bucket_number("customer_id").alias("bucket")).agg(
-        F.bitmap_construct_agg(F.bitmap_bit_position("customer_id")).alias("bits"))
-    levels = maps.withColumn("level", F.lit(0))
-    part = maps
-    for k in range(len(names) - 1, -1, -1):
-        part = part.groupBy(*names[:k], "bucket").agg(F.bitmap_or_agg("bits").alias("bits"))
-        levels = levels.unionByName(part.withColumn("level", F.lit(len(names) - k)), allowMissingColumns=True)
-    return levels.groupBy("level", *names).agg(F.sum(F.bitmap_count("bits")).alias("customers")).select(
+    visits = named.where(F.col("customer_id").isNotNull()).select(
+        "customer_id", "location_name", "category_name", month_of("actual_dropoff").alias("month")).distinct()
+    for k in range(len(names)):
+        line = Window.partitionBy("customer_id", *names[:k]).orderBy(*names[k:])
+        visits = visits.withColumn(f"first_{k}", (F.row_number().over(line) == 1).cast("long"))
+    firsts = [f"first_{k}" for k in range(len(names))]
+    cells = visits.groupBy(*names).agg(F.count(F.lit(1)).alias("first_3"), *[F.sum(c).alias(c) for c in firsts])
+    levels = cells.rollup(*names).agg(
+        sum(F.grouping(c).cast("int") for c in names).alias("level"), *[F.sum(c).alias(c) for c in [*firsts, "first_3"]])
+    return levels.select(
         F.when(F.col("level") >= 3, "ALL LOCATIONS").otherwise(F.col("location_name")).alias("location"),
         F.when(F.col("level") >= 2, "ALL CATEGORIES").otherwise(F.col("category_name")).alias("category"),
-        month_label().alias("month"), "level", "customers")
+        month_label().alias("month"), "level",
+        F.element_at(F.array("first_3", *firsts[::-1]), F.col("level") + 1).alias("customers"))
 
 
 def revenue_grouping_sets(rentals: DataFrame, vehicles: DataFrame, locations: DataFrame,

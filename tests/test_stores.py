@@ -132,6 +132,26 @@ def test_distinct_customers_do_not_add_up(spark):
     assert R.customers_rollup(rentals.limit(0), cars, places).count() == 0
 
 
+def test_distinct_customers_are_counted_without_maps(spark):
+    """Sparse maps of bits shrink in a shuffle and grow again in the sort of the task that merges them."""
+    draw = random.Random(5)
+    data = [(draw.choice([1, 1, 1, 2, 3, -4, 2**40, None]), draw.choice([1, 2, 3]), draw.choice([1, 2]), draw.choice([datetime(2024, 1, 1), datetime(2024, 2, 1), datetime(2025, 1, 3)]), "COMPLETED") for _ in range(400)]
+    rentals = spark.createDataFrame(data, "customer_id long, vehicle_id long, pickup_location long, actual_dropoff timestamp_ntz, status string")
+    cars, places = {1: "SUV", 2: "Van", 3: None}, {1: "Town", 2: "Port"}
+    want = {}
+    for customer, car, place, day, _ in data:
+        if customer is not None:
+            full = (places[place], cars[car], f"{day:%Y-%m}")
+            for level in range(4):
+                cell = full[:3 - level] + (None,) * level
+                want.setdefault((level, "ALL LOCATIONS" if level == 3 else cell[0], "ALL CATEGORIES" if level >= 2 else cell[1], cell[2]), set()).add(customer)
+    got = R.customers_rollup(rentals, spark.createDataFrame(list(cars.items()), "vehicle_id long, category_name string"), spark.createDataFrame(list(places.items()), "location_id long, location_name string"))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "bitmap" not in plan and "SortAggregate" not in plan
+    counts = lambda found: sorted((level, place, str(kind), n) for level, place, kind, n in found)
+    assert counts((r["level"], r["location"], r["category"], r["customers"]) for r in got.collect()) == counts((k[0], k[1], k[2], len(v)) for k, v in want.items())
+
+
 def test_shallow_pages_are_top_rows(spark):
     rentals = R.completed(A.order_rentals(spark, DATA)).select("rental_id", "total_charge")
     top = R.numbered_page(rentals, "total_charge", "rental_id", 11, 20, task_rows=1)
