@@ -345,7 +345,9 @@ def _audit_sides(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 def _stored_rental(s: SparkSession, d: str, rental_id: int) -> DataFrame:
     rentals, path = _booked(s, d), _folder(s, "by_id")
-    lookup_store.write_lookup(rentals, "rental_id", path, ("rental_ref",))
+    lookup_store.write_lookup(
+        A.lines_with_customer(s, d), "rental_id", path, ("rental_ref",), by=F.expr(A.RENTAL_ID),
+        derived=lambda lines: A.rentals_of(lines, "customer_id").select(*rentals.columns))
     return L.rental_by_id(lookup_store.lookup(s, path, rentals.schema, "rental_id", rental_id), *_view(s, d), rental_id)
 
 

@@ -36,7 +36,11 @@ def rentals(spark: SparkSession, folder: str, status: str | None = None) -> Data
     return rentals_of(_only(load(spark, folder, "lineitem"), "l_returnflag", LINE_STATUS, status))
 
 
-def rentals_of(lines: DataFrame) -> DataFrame:
+RENTAL_ID = "l_orderkey * 10 + l_linenumber"
+
+
+def rentals_of(lines: DataFrame, *more: str) -> DataFrame:
+    """Rental columns of line rows, and ``more`` columns as they are."""
     base, tax, share = "cast(l_extendedprice as decimal(10,2))", "cast(l_tax as decimal(4,2))", "cast(l_discount as decimal(4,2))"
     fuel = f"cast(round({base} * {tax}, 2) as decimal(10,2))"
     damage = f"cast(if({tax} = 0.08, 250, 0) as decimal(10,2))"
@@ -45,7 +49,7 @@ def rentals_of(lines: DataFrame) -> DataFrame:
     pickup = f"l_shipdate - make_dt_interval({days})"
     closed = "l_returnflag != 'N'"
     return lines.selectExpr(
-        "l_orderkey * 10 + l_linenumber as rental_id",
+        f"{RENTAL_ID} as rental_id",
         "concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, cast(l_shipdate as date)) as rental_ref",
         "l_orderkey as order_id",
         "cast(l_linenumber as bigint) as line_number",
@@ -67,6 +71,7 @@ def rentals_of(lines: DataFrame) -> DataFrame:
         f"if({closed}, cast({base} + {fuel} + {damage} + {late} as decimal(10,2)), null) as total_charge",
         f"{_label('l_returnflag', LINE_STATUS)} as status",
         f"if({tax} = 0.08, 'scratched', null) as damage_notes",
+        *more,
     )
 
 
@@ -78,6 +83,12 @@ def with_customer(rows: DataFrame, spark: SparkSession, folder: str) -> DataFram
     return rows.join(orders, "order_id")
 
 
+def lines_with_customer(spark: SparkSession, folder: str) -> DataFrame:
+    """The stored columns from which ``rentals_of`` makes the rentals, with the customer of each: narrow rows to move."""
+    lines = load(spark, folder, "lineitem").drop("l_linestatus").withColumnRenamed("l_orderkey", "order_id")
+    return with_customer(lines, spark, folder).withColumnRenamed("order_id", "l_orderkey")
+
+
 def order_rentals(spark: SparkSession, folder: str, status: str | None = None) -> DataFrame:
     """Order-grain rentals with a unique ``rental_id``."""
     orders = _only(load(spark, folder, "orders"), "o_orderstatus", ORDER_STATUS, status)

@@ -184,3 +184,21 @@ def test_lookups_open_few_row_groups(spark, tmp_path):
     by_ref = lookup_store.lookup(spark, path, table.schema, "ref", ref)
     assert rows(by_ref) == rows(table.where("id = 9000")) and rows_read(by_ref) <= 60_000
     assert rows_read(lookup_store.lookup(spark, path, table.schema, "ref", "0" * 32)) <= 20_000
+
+
+def test_stored_columns_are_made_after_the_shuffle(spark, tmp_path):
+    path = str(tmp_path / "stored")
+    table = spark.range(0, 20_000).selectExpr("id as n", "id % 7 as k")
+    made = lambda rows: rows.selectExpr("n * 10 + k as id", "md5(cast(n as string)) as ref")
+    lookup_store.write_lookup(table, "id", path, ("ref",), row_group_bytes=1 << 16, by=F.expr("n * 10 + k"), derived=made)
+    want = made(table)
+    assert rows(spark.read.parquet(path)) == rows(want)
+    assert rows(lookup_store.lookup(spark, path, want.schema, "id", 50_000 + 5000 % 7)) == rows(want.where("ref = md5('5000')"))
+    spans = sorted(tuple(r) for r in spark.read.parquet(path).groupBy(F.input_file_name()).agg(F.min("id"), F.max("id")).select("min(id)", "max(id)").collect())
+    assert all(a[1] < b[0] for a, b in zip(spans, spans[1:])) and len(spans) > 1
+
+
+def test_rentals_are_the_same_from_narrow_rows(spark):
+    booked = A.with_customer(A.rentals(spark, DATA), spark, DATA)
+    made = A.rentals_of(A.lines_with_customer(spark, DATA), "customer_id").select(*booked.columns)
+    assert made.dtypes == booked.dtypes and made.exceptAll(booked).isEmpty() and booked.exceptAll(made).isEmpty()
