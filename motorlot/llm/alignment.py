@@ -12,12 +12,15 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from motorlot.llm.store import saved
 
 CHUNK_BYTES = 2 << 20
+# Characters that are taken to tokens at a time: a task's arrays hold about this much text, however large a chunk is.
+PIECE_CHARS = 1 << 17
 SPACE = "▁"
 # Fixed value: the word pattern of byte-level vocabularies.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -149,11 +152,23 @@ def aligned(texts: list[str], tools: Tokenizers) -> dict[str, np.ndarray | list]
     }
 
 
+def pieces(lengths: list[int], chunk: int, piece: int) -> Iterator[tuple[int, int, bool]]:
+    """(start, stop, whether a chunk ends there) of runs of texts that reach the length of a piece or end a chunk."""
+    start, held, part = 0, 0, 0
+    for stop, n in enumerate(lengths, 1):
+        held, part = held + n, part + n
+        full = held >= chunk or stop == len(lengths)
+        if full or part >= piece:
+            yield start, stop, full
+            start, part, held = stop, 0, 0 if full else held
+
+
 def alignments(docs: DataFrame, byte_file: str, piece_model: str, key: str = "doc_id", text: str = "text", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """One row for each row of docs: key, chunk, n_a, n_b, n_groups, n_links, groups_sha256, pairs, links.
 
     pairs are the distinct (A id, B id) pairs of the text as A id * size of B + B id, links their numbers of links. A chunk
-    is a run of rows in one task with about chunk_bytes of text, or one longer text.
+    is a run of rows in one task with about chunk_bytes of text, or one longer text; it is worked off in pieces of about
+    PIECE_CHARS, so that a worker's memory hangs on neither the chunk nor the batch.
     """
     with open(byte_file, encoding="utf-8") as a, open(piece_model, "rb") as b:
         shared = docs.sparkSession.sparkContext.broadcast((a.read(), b.read()))
@@ -162,19 +177,16 @@ def alignments(docs: DataFrame, byte_file: str, piece_model: str, key: str = "do
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         tools, chunk = loaded(*shared.value), TaskContext.get().partitionId() << 32
         for batch in batches:
-            texts = [x or "" for x in batch.column(1).to_pylist()]
-            start, held = 0, 0
-            for i, x in enumerate(texts):
-                held += len(x)
-                if held >= chunk_bytes or i + 1 == len(texts):
-                    c = aligned(texts[start:i + 1], tools)
-                    n = i + 1 - start
-                    offsets = pa.array(c["offsets"], pa.int32())
-                    lists = [pa.ListArray.from_arrays(offsets, pa.array(c[name], kind)) for name, kind in (("pairs", pa.int64()), ("links", pa.int32()))]
-                    counts = [pa.array(c[name], pa.int64()) for name in ("n_a", "n_b", "n_groups", "n_links")]
-                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, n), pa.array(np.full(n, chunk), pa.int64()), *counts, pa.array(c["digest"], pa.string()), *lists],
-                                                     ["key", "chunk", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "pairs", "links"])
-                    start, held, chunk = i + 1, 0, chunk + 1
+            lengths = pc.fill_null(pc.utf8_length(batch.column(1)), 0).to_pylist()
+            for start, stop, full in pieces(lengths, chunk_bytes, PIECE_CHARS):
+                n = stop - start
+                c = aligned([x or "" for x in batch.column(1).slice(start, n).to_pylist()], tools)
+                offsets = pa.array(c["offsets"], pa.int32())
+                lists = [pa.ListArray.from_arrays(offsets, pa.array(c[name], kind)) for name, kind in (("pairs", pa.int64()), ("links", pa.int32()))]
+                counts = [pa.array(c[name], pa.int64()) for name in ("n_a", "n_b", "n_groups", "n_links")]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, n), pa.array(np.full(n, chunk), pa.int64()), *counts, pa.array(c["digest"], pa.string()), *lists],
+                                                 ["key", "chunk", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "pairs", "links"])
+                chunk += full
 
     kind = docs.schema[key].dataType.simpleString()
     return docs.select(key, text).mapInArrow(made, f"key {kind}, chunk long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs array<long>, links array<int>")
