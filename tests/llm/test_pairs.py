@@ -163,3 +163,20 @@ def test_large_nodes_are_compared_in_blocks(monkeypatch):
     assert (n == near.sum(1) - 1).all()
     links = [(a, b) for a, b in zip(*np.nonzero(near)) if a < b]
     assert groups(range(300), links) == dict(enumerate(root.tolist()))
+
+
+@pytest.mark.parametrize("dim, wide", [(3, 0.0), (64, 0.3), (64, 0.0), (900, 1.2)])
+def test_centres_that_touch(dim, wide):
+    """Single precision leaves out nothing that is near, also right at the threshold, and lets nothing else through."""
+    rng = np.random.default_rng(dim)
+    reach = float(vectors.chord(np.array(0.95)))
+    x = vectors.unit(rng.normal(size=(70, dim)))
+    side = vectors.unit(rng.normal(size=(70, dim)))
+    side = vectors.unit(side - np.einsum("ij,ij->i", side, x)[:, None] * x)
+    edge = 0.95 + rng.choice([-1e-9, 1e-9, -1e-5, 1e-5], size=70)[:, None]
+    y = np.concatenate((edge * x + np.sqrt(1 - edge**2) * side, x[:5], vectors.unit(rng.normal(size=(20, dim)))))
+    rx, ry = np.where(rng.random(70) < 0.5, 0, wide * rng.random(70)), np.where(rng.random(len(y)) < 0.5, 0, wide * rng.random(len(y)))
+    want = np.nonzero(vectors.chord(x @ y.T) <= reach + rx[:, None] + ry[None, :] + vectors.SLACK)
+    i, j, cos = vectors.touching(x, y, rx, ry, reach)
+    assert sorted(zip(i.tolist(), j.tolist())) == sorted(zip(*(v.tolist() for v in want))) and len(i) > 5
+    assert np.allclose(cos, (x @ y.T)[i, j], atol=1e-12, rtol=0)
