@@ -165,6 +165,90 @@ def test_large_nodes_are_compared_in_blocks(monkeypatch):
     assert groups(range(300), links) == dict(enumerate(root.tolist()))
 
 
+def grown_trees(x, cells, basis=None):
+    """Trees of the rows that are nearest to each cell's centre, with the places of their rows in x."""
+    cell = (x @ cells.T).argmax(1)
+    for k in range(len(cells)):
+        at = np.flatnonzero(cell == k)
+        order, *levels = vectors.Tree.built(x[at])
+        yield at[order], vectors.Tree(x[at[order]], *levels, basis) if basis is not None else vectors.Tree(x[at[order]], *levels)
+
+
+def test_cells_that_no_radius_excludes_compare_few_rows(monkeypatch):
+    """Rows without clusters: two cells meet in a small part of their pairs, and every near pair is found."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(4000, 64))
+    x[:, 0] += np.repeat([2, -2], 2000)
+    # Pairs on both sides of the plane between the cells.
+    x[:100, 0] = rng.uniform(0, 1.5, size=100)
+    x[2000:2100] = x[:100]
+    x[2000:2100, 0] *= -1
+    x = vectors.unit(x)
+    (here, left), (there, right) = grown_trees(x, np.eye(64)[:1] * [[1], [-1]])
+    compared, plain = [], vectors.touching
+
+    def counted(a, b, *rest, **more):
+        rows, cols = rest[5:7] if len(rest) > 5 else (a, b)
+        compared.append(len(rows) * len(cols))
+        return plain(a, b, *rest, **more)
+
+    monkeypatch.setattr(vectors, "touching", counted)
+    n, root = vectors.traversed(left, right, 0.95)
+    near = x[here] @ x[there].T >= 0.95
+    assert 50 < near.sum() < 100 and (n == np.concatenate((near.sum(1), near.sum(0)))).all()
+    assert sum(compared) < 0.5 * len(here) * len(there)
+
+
+@pytest.mark.parametrize("kind", ["even", "flat", "clusters", "copies"])
+def test_trees_with_heads_against_all_pairs(kind):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(1500, 40))
+    if kind == "flat":
+        x = x[:, :5] @ rng.normal(size=(5, 40)) + 0.05 * x
+    if kind == "clusters":
+        x = rng.normal(size=(9, 40))[rng.integers(0, 9, 1500)] + 0.15 * x
+    if kind == "copies":
+        x = x[rng.integers(0, 40, 1500)] + rng.choice([0, 0.01, 0.1], size=(1500, 1)) * x
+    x = vectors.unit(x)
+    basis = vectors.leading(x[:300], 0.95)
+    trees = list(grown_trees(x, x[:3], basis))
+    n, links = np.zeros(len(x), dtype=int), []
+    for i, (at, left) in enumerate(trees):
+        for other, right in trees[i:]:
+            both = at if right is left else np.concatenate((at, other))
+            count, root = vectors.traversed(left, None if right is left else right, 0.95)
+            n[both] += count
+            links += zip(both.tolist(), both[root].tolist())
+    near = x @ x.T >= 0.95
+    assert (n == near.sum(1) - 1).all()
+    assert groups(range(len(x)), links) == groups(range(len(x)), [(int(a), int(b)) for a, b in zip(*np.nonzero(near)) if a < b])
+
+
+def test_heads_never_understate_a_cosine():
+    rng = np.random.default_rng(9)
+    x = vectors.unit(rng.normal(size=(400, 48)) * np.linspace(2, 0.1, 48))
+    for size in (1, 7, 47):
+        basis = np.linalg.svd(x[:100])[2].T[:, :size]
+        some = vectors.head(x, basis).astype(np.float64)
+        assert (some @ some.T >= x @ x.T - 1e-6).all()
+    basis = vectors.leading(x, 0.95)
+    assert basis is not None and basis.shape[1] < 48 and np.allclose(basis.T @ basis, np.eye(basis.shape[1]))
+
+
+@pytest.mark.parametrize("of", [1, 2, 5])
+def test_groups_of_chunks_against_all_pairs(spark, monkeypatch, of):
+    """Every pair of chunks meets once, however chunks are put into groups; a chunk is sent once for each other group."""
+    monkeypatch.setattr(vectors, "GROUPS", of)
+    rng = np.random.default_rng(10)
+    rows = [list(map(float, v)) for v in rng.normal(size=(60, 24))]
+    rows += [list(map(float, np.array(rows[i % 60]) + 0.04 * rng.normal(size=24))) for i in range(120)]
+    rows += [rows[7]] * 30 + [[1.0, 0.1 * i] for i in range(20)] + [[1e150, 1.0], [3.0, 0.1 + 1e-12]]
+    rows = list(enumerate(rows))
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r[0]: tuple(r[1:]) for r in vectors.near_vectors(df, chunk_rows=8).collect()}
+    assert got == all_pairs(rows)
+
+
 @pytest.mark.parametrize("dim, wide", [(3, 0.0), (64, 0.3), (64, 0.0), (900, 1.2)])
 def test_centres_that_touch(dim, wide):
     """Single precision leaves out nothing that is near, also right at the threshold, and lets nothing else through."""
